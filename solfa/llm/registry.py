@@ -1,10 +1,12 @@
 """Queries of the training-data operators, by name, with DuckDB twins where SQL can express them."""
 
 from .bpe import op4_byte_bpe
+from .packing import op5_packing
 from .token_counts import op7_token_counts
 
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_packing": op5_packing,
     "op7_token_counts": op7_token_counts,
 }
 ORACLES: dict[str, str] = {}
