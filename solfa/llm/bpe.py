@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,64 +22,60 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .shared import documents, key_schema, parts
 
-#: Pre-tokens kept with their ids in each Python worker; the memory for them is bounded by this and MEMO_BYTES.
-MEMO_ENTRIES, MEMO_BYTES = 400_000, 64
+#: Pre-tokens of up to MEMO_CHARS kept with their ids in each Python worker, in two generations of MEMO_ENTRIES.
+MEMO_ENTRIES, MEMO_CHARS = 500_000, 64
 
 
 class RankQueue:
-    """Buckets of positions by rank under a bitmap of three levels."""
+    """Buckets of positions by rank under a bitmap of two levels: words of 64 ranks, and one word over all words."""
 
-    def __init__(self, ranks: int) -> None:
-        sizes = [ranks]
-        while sizes[-1] > 1:
-            sizes.append(-(-sizes[-1] // 64))
-        self.levels = [[0] * n for n in sizes[1:]] or [[0]]
+    __slots__ = ("buckets", "top", "words")
+
+    def __init__(self) -> None:
         self.buckets: dict[int, list[int]] = {}
+        self.words: dict[int, int] = {}
+        self.top = 0
 
     def put(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            for level in self.levels:
-                word, bit = rank >> 6, 1 << (rank & 63)
-                had = level[word]
-                level[word] = had | bit
-                if had:
-                    break
-                rank = word
-        else:
+        if bucket is not None:
             heapq.heappush(bucket, position)
+            return
+        self.buckets[rank] = [position]
+        word = rank >> 6
+        had = self.words.get(word, 0)
+        if not had:
+            self.top |= 1 << word
+        self.words[word] = had | 1 << (rank & 63)
 
     def take(self) -> tuple[int, int] | None:
         """The leftmost position of the lowest rank, removed."""
-        at = 0
-        for level in reversed(self.levels):
-            bits = level[at]
-            if not bits:
-                return None
-            at = (at << 6) | ((bits & -bits).bit_length() - 1)
-        bucket = self.buckets[at]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            rank = at
-            for level in self.levels:
-                level[rank >> 6] &= ~(1 << (rank & 63))
-                if level[rank >> 6]:
-                    break
-                rank >>= 6
-        return at, position
+        top = self.top
+        if not top:
+            return None
+        word = (top & -top).bit_length() - 1
+        bits = self.words[word]
+        lowest = bits & -bits
+        rank = word << 6 | lowest.bit_length() - 1
+        bucket = self.buckets[rank]
+        if len(bucket) > 1:
+            return rank, heapq.heappop(bucket)
+        del self.buckets[rank]
+        self.words[word] = bits ^ lowest
+        if bits == lowest:
+            self.top = top ^ 1 << word
+        return rank, bucket[0]
 
 
 class ByteBpe:
     """Encoder and decoder for a table of byte strings and their ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.top = ranks, max(ranks.values()) + 1
-        self.split = regex.compile(pattern).finditer
+        self.ranks = ranks
         self.words = regex.compile(pattern).findall
         self.table = {rank: token for token, rank in ranks.items()}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBpe:
@@ -93,7 +90,7 @@ class ByteBpe:
             return [whole]
         n = len(piece)
         after, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        queue, wanted = RankQueue(self.top), [-1] * n
+        queue, wanted = RankQueue(), [-1] * n
         for i in range(n - 1):
             if (rank := ranks.get(piece[i : i + 2])) is not None:
                 wanted[i] = rank
@@ -128,10 +125,14 @@ class ByteBpe:
         for piece in self.words(text):
             ids = memo.get(piece)
             if ids is None:
-                ids = np.array(self.merge(piece.encode()), "<u4").tobytes()
-                if len(piece) <= MEMO_BYTES:
+                ids = self.older.get(piece)
+                if ids is None:
+                    found = self.merge(piece.encode())
+                    ids = struct.pack(f"<{len(found)}I", *found)
+                if len(piece) <= MEMO_CHARS:
                     if len(memo) >= MEMO_ENTRIES:
-                        memo.clear()
+                        self.older = memo
+                        memo = self.memo = {}
                     memo[piece] = ids
             out.append(ids)
         return b"".join(out)
