@@ -1,12 +1,16 @@
 """Queries of the training-data operators, by name, with DuckDB twins where SQL can express them."""
 
 from .bpe import op4_byte_bpe
+from .media import op10_media_columns
 from .packing import op5_packing
 from .token_counts import op7_token_counts
+from .url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_packing": op5_packing,
     "op7_token_counts": op7_token_counts,
+    "op9_url_filter": op9_url_filter,
+    "op10_media_columns": op10_media_columns,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_url_filter": OP9_SQL}
