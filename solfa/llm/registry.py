@@ -3,6 +3,7 @@
 from .bpe import op4_byte_bpe
 from .media import op10_media_columns
 from .packing import op5_packing
+from .simhash import op8_simhash
 from .token_counts import op7_token_counts
 from .url_filter import OP9_SQL, op9_url_filter
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_packing": op5_packing,
     "op7_token_counts": op7_token_counts,
+    "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,
     "op10_media_columns": op10_media_columns,
 }
