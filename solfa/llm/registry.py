@@ -1,5 +1,6 @@
 """Queries of the training-data operators, by name, with DuckDB twins where SQL can express them."""
 
+from .bit_sliced import OP6_SQL, op6_bit_sliced
 from .bpe import op4_byte_bpe
 from .media import op10_media_columns
 from .packing import op5_packing
@@ -10,9 +11,10 @@ from .url_filter import OP9_SQL, op9_url_filter
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_packing": op5_packing,
+    "op6_bit_sliced": op6_bit_sliced,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,
     "op10_media_columns": op10_media_columns,
 }
-ORACLES: dict[str, str] = {"op9_url_filter": OP9_SQL}
+ORACLES: dict[str, str] = {"op6_bit_sliced": OP6_SQL, "op9_url_filter": OP9_SQL}
