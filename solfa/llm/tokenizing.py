@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
 
 import numpy as np
 import regex
@@ -29,43 +28,75 @@ def library(path: str):
     return _LOADED[path]
 
 
-#: str.split() takes these for white space, the tokenizers library doesn't.
+#: str.split() takes the first four for white space, the tokenizers library doesn't.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
+#: Lower-casing a whole text could make a special token, or a final sigma that the library doesn't make.
+_CASED = regex.compile("<\\||\u03a3")
+_MARKS = frozenset(".,;:!?")
 
 
 class WordIds:
-    """Ids of texts for a vocabulary that drops white space: no token crosses it, so each run of other
-    characters is encoded once by the library and kept. The memo is emptied at max_entries."""
+    """Ids of texts for a lower-casing vocabulary that drops white space: no token crosses it, so each run of other
+    characters is encoded once by the library and kept, in two generations of max_entries.
 
-    def __init__(self, path: str, max_entries: int = 400_000, max_chars: int = 64) -> None:
+    Words of letters only are one pre-token each, so many of them are encoded together and cut after each token that
+    ends a word; a mark after letters is a pre-token of its own."""
+
+    def __init__(self, path: str, max_entries: int = 500_000, max_chars: int = 64) -> None:
         self.path, self.max_entries, self.max_chars = path, max_entries, max_chars
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        vocabulary = library(path).get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out = library(self.path).encode_batch(texts, add_special_tokens=False)
+    def _each(self, texts: list[str]) -> list[bytes]:
+        out = library(self.path).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in out]
 
-    def learn(self, texts: Iterable[str]) -> None:
-        new = {w for t in texts for w in t.split()}.difference(self.memo)
-        new = [w for w in new if len(w) <= self.max_chars]
-        if len(self.memo) + len(new) > self.max_entries:
-            self.memo.clear()
-        for at in range(0, len(new), 4096):
-            self.memo.update(zip(new[at : at + 4096], self._encode(new[at : at + 4096])))
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters."""
+        ids = np.array(library(self.path).encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._each(words)
+        flat, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [flat[i:j] for i, j in zip(at, at[1:])]
+
+    def _learn(self, texts: list[list[str]]) -> dict[str, bytes]:
+        """Ids of every word of texts that is not too long."""
+        if len(self.memo) > self.max_entries:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        new = {w for t in texts for w in t if w not in memo}
+        kept = [w for w in new if w in older]
+        memo.update((w, older[w]) for w in kept)
+        new.difference_update(kept)
+        new = {w for w in new if len(w) <= self.max_chars}
+        marked = [w for w in new if w[-1] in _MARKS and w[:-1].isalpha()]
+        letters = list({w for w in new if w.isalpha()} | {s for w in marked if (s := w[:-1]) not in memo})
+        others = [w for w in new if not w.isalpha() and not (w[-1] in _MARKS and w[:-1].isalpha())]
+        marks = [m for m in _MARKS if m not in memo]
+        for at in range(0, len(letters), 2048):
+            memo.update(zip(letters[at : at + 2048], self._words(letters[at : at + 2048])))
+        memo.update(zip(others, self._each(others)))
+        memo.update(zip(marks, self._each(marks)))
+        memo.update((w, memo[w[:-1]] + memo[w[-1]]) for w in marked)
+        return memo
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        self.learn(t for t in texts if not _SEPARATORS.search(t))
-        memo, out = self.memo, []
-        for text in texts:
-            if _SEPARATORS.search(text):
-                out += self._encode([text])
+        plain = [not _SEPARATORS.search(t) for t in texts]
+        split = [((t if _CASED.search(t) else t.lower()).split() if p else []) for t, p in zip(texts, plain)]
+        memo, out = self._learn(split), []
+        for text, words, p in zip(texts, split, plain):
+            if not p:
+                out += self._each([text])
                 continue
-            words = text.split()
             try:
                 out.append(b"".join([memo[w] for w in words]))
-            except KeyError:
-                out.append(b"".join([memo[w] if w in memo else self._encode([w])[0] for w in words]))
+            except KeyError:  # a word too long to keep
+                out.append(b"".join([memo[w] if w in memo else self._each([w])[0] for w in words]))
         return out
 
 
