@@ -3,6 +3,7 @@
 from .bit_sliced import OP6_SQL, op6_bit_sliced
 from .bpe import op4_byte_bpe
 from .language import op1_language_id
+from .line_dedup import op3_line_dedup
 from .media import op10_media_columns
 from .packing import op5_packing
 from .simhash import op8_simhash
@@ -11,6 +12,7 @@ from .url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_line_dedup": op3_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_packing": op5_packing,
     "op6_bit_sliced": op6_bit_sliced,
