@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import documents, parts, rows_needed, written
 from .tokenizing import word_ids
 
-CAPACITY, BLOCK, END_ID = 4096, 2000, 2
+CAPACITY, BLOCK, END_ID = 4096, 1000, 2
 
 
 def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

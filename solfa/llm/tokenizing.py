@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from string import punctuation
 
 import numpy as np
 import regex
@@ -32,7 +33,6 @@ def library(path: str):
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: Lower-casing a whole text could make a special token, or a final sigma that the library doesn't make.
 _CASED = regex.compile("<\\||\u03a3")
-_MARKS = frozenset(".,;:!?")
 
 
 class WordIds:
@@ -40,9 +40,9 @@ class WordIds:
     characters is encoded once by the library and kept, in two generations of max_entries.
 
     Words of letters only are one pre-token each, so many of them are encoded together and cut after each token that
-    ends a word; a mark after letters is a pre-token of its own."""
+    ends a word; ASCII marks after letters are a pre-token of their own."""
 
-    def __init__(self, path: str, max_entries: int = 500_000, max_chars: int = 64) -> None:
+    def __init__(self, path: str, max_entries: int = 400_000, max_chars: int = 64) -> None:
         self.path, self.max_entries, self.max_chars = path, max_entries, max_chars
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -63,41 +63,47 @@ class WordIds:
         flat, at = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [flat[i:j] for i, j in zip(at, at[1:])]
 
-    def _learn(self, texts: list[list[str]]) -> dict[str, bytes]:
-        """Ids of every word of texts that is not too long."""
+    def _table(self, texts: list[list[str]]) -> dict[str, bytes]:
+        """Ids of every word of texts; only words of letters are kept for later calls."""
         if len(self.memo) > self.max_entries:
             self.older, self.memo = self.memo, {}
-        memo, older = self.memo, self.older
-        new = {w for t in texts for w in t if w not in memo}
-        kept = [w for w in new if w in older]
-        memo.update((w, older[w]) for w in kept)
-        new.difference_update(kept)
-        new = {w for w in new if len(w) <= self.max_chars}
-        marked = [w for w in new if w[-1] in _MARKS and w[:-1].isalpha()]
-        letters = list({w for w in new if w.isalpha()} | {s for w in marked if (s := w[:-1]) not in memo})
-        others = [w for w in new if not w.isalpha() and not (w[-1] in _MARKS and w[:-1].isalpha())]
-        marks = [m for m in _MARKS if m not in memo]
+        memo, older, table = self.memo, self.older, {}
+        marked, others, wanted = [], set(), set()
+        for w in set().union(*texts):
+            if w.isalpha():
+                wanted.add(w)
+            elif (stem := w.rstrip(punctuation)).isalpha():
+                wanted.add(stem)
+                marked.append((w, stem, w[len(stem) :]))
+            else:
+                others.add(w)
+        others.update({tail for _, _, tail in marked})
+        letters = []
+        for w in wanted:
+            ids = memo.get(w)
+            if ids is None and (ids := older.get(w)) is not None:
+                memo[w] = ids
+            if ids is None:
+                letters.append(w)
+            else:
+                table[w] = ids
         for at in range(0, len(letters), 2048):
-            memo.update(zip(letters[at : at + 2048], self._words(letters[at : at + 2048])))
-        memo.update(zip(others, self._each(others)))
-        memo.update(zip(marks, self._each(marks)))
-        memo.update((w, memo[w[:-1]] + memo[w[-1]]) for w in marked)
-        return memo
+            part = letters[at : at + 2048]
+            found = self._words(part)
+            table.update(zip(part, found))
+            memo.update((w, ids) for w, ids in zip(part, found) if len(w) <= self.max_chars)
+        others = list(others)
+        for at in range(0, len(others), 2048):
+            table.update(zip(others[at : at + 2048], self._each(others[at : at + 2048])))
+        table.update((w, table[stem] + table[tail]) for w, stem, tail in marked)
+        return table
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         plain = [not _SEPARATORS.search(t) for t in texts]
         split = [((t if _CASED.search(t) else t.lower()).split() if p else []) for t, p in zip(texts, plain)]
-        memo, out = self._learn(split), []
-        for text, words, p in zip(texts, split, plain):
-            if not p:
-                out += self._each([text])
-                continue
-            try:
-                out.append(b"".join([memo[w] for w in words]))
-            except KeyError:  # a word too long to keep
-                out.append(b"".join([memo[w] if w in memo else self._each([w])[0] for w in words]))
-        return out
+        ids = self._table(split).__getitem__
+        return [b"".join(map(ids, words)) if p else self._each([t])[0] for t, words, p in zip(texts, split, plain)]
 
 
 _WORDS: dict[str, WordIds] = {}
