@@ -136,8 +136,11 @@ def trained(labelled: DataFrame, text: str = "text", lang: str = "lang", key: st
     """A net from SAMPLE labelled rows, taken in the order of a hash of their key."""
     place = lambda i: F.pmod(F.xxhash64(key, F.lit(i)), F.greatest(F.lit(1), F.length(text) - WINDOW // 2)) + 1
     pieces = F.array(*(F.substring(F.col(text), place(i).cast("int"), F.lit(WINDOW)) for i in range(WINDOWS)))
+    usable = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    # each task would send SAMPLE rows; a share of the hashes leaves about twice as many in all
+    share = min(1.0, 2 * SAMPLE / max(1, usable.count()))
     rows = (
-        labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
+        usable.filter(F.xxhash64(key) <= F.lit(int((2 * share - 1) * (2**63 - 1))))
         .select(lang, pieces.alias("pieces"), F.xxhash64(key).alias("order"))
         .orderBy("order", "pieces")
         .limit(SAMPLE)
