@@ -7,11 +7,13 @@ from .line_dedup import op3_line_dedup
 from .media import op10_media_columns
 from .packing import op5_packing
 from .simhash import op8_simhash
+from .suffix_dedup import op2_suffix_dedup
 from .token_counts import op7_token_counts
 from .url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_packing": op5_packing,
