@@ -140,7 +140,7 @@ def trained(labelled: DataFrame, text: str = "text", lang: str = "lang", key: st
     # each task would send SAMPLE rows; a share of the hashes leaves about twice as many in all
     share = min(1.0, 2 * SAMPLE / max(1, usable.count()))
     rows = (
-        usable.filter(F.xxhash64(key) <= F.lit(int((2 * share - 1) * (2**63 - 1))))
+        usable.filter(F.xxhash64(key) <= F.lit(min(2**63 - 1, int((2 * share - 1) * 2**63))))
         .select(lang, pieces.alias("pieces"), F.xxhash64(key).alias("order"))
         .orderBy("order", "pieces")
         .limit(SAMPLE)

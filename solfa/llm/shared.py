@@ -68,6 +68,11 @@ def key_schema(df: DataFrame, keys: tuple[str, ...]) -> str:
     return ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
 
+def packed(df: DataFrame, *without: str) -> DataFrame:
+    """The column rest: a structure of df's columns but those named, which no name of an operator can clash with."""
+    return df.withColumn("rest", F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in without)))
+
+
 def rows_needed(df: DataFrame, per_part: int) -> int:
     """How many parts of per_part rows the rows of df fill, at least one."""
     return max(1, -(-df.select(F.count(F.lit(1))).first()[0] // per_part))

@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_dedup import sieve
-from .shared import documents, parts, text_bytes, written
+from .shared import documents, key_schema, packed, parts, text_bytes, written
 
 LENGTH = 400
 #: Bytes of the leading run at each level.
@@ -256,8 +256,10 @@ def _with_verdicts(docs: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with kept (binary: the bytes that stay), n_bytes, n_removed and n_spans in place of text."""
-    own = docs.withColumn("k", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    """docs with kept (binary: the bytes that stay), n_bytes, n_removed and n_spans in place of text (and of columns
+    that had those names)."""
+    k = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    own = packed(docs, "text", "kept", "n_bytes", "n_removed", "n_spans").select("rest", "text", k.alias("k"))
     slim = own.select("k", "text").filter(F.octet_length("text") >= LENGTH)
     verdicts, told = _judged(_emitted(slim, 0), 0), None
     told = sieve(verdicts, "k", F.col("k"))
@@ -265,12 +267,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         open_ = verdicts.filter((F.col("level") == level - 1) & (F.col("kind").bitwiseAND(F.lit(OPEN)) > 0)).select("k").distinct()
         texts = _with_verdicts(slim.filter(told), verdicts.join(open_, "k", "left_semi"), "inner").select("k", "text", "verdicts")
         verdicts = verdicts.unionByName(_judged(_emitted(texts, level), level))
-    names = [c for c in docs.columns if c != "text"]
     repeated = verdicts.filter(F.col("kind").bitwiseAND(F.lit(REPEATED | OPEN)) > 0)
     hit = F.coalesce(told, F.lit(False)) & (F.octet_length("text") >= LENGTH)
-    touched = _with_verdicts(own.filter(hit), repeated, "left").select("k", "text", "verdicts", *names)
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", kept binary, n_bytes long, n_removed long, n_spans long"
+    touched = _with_verdicts(own.filter(hit), repeated, "left").select("k", "text", "verdicts", "rest")
+    schema = key_schema(own, ("rest",)) + ", kept binary, n_bytes long, n_removed long, n_spans long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,12 +281,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     spans = int((np.diff(gone.view(np.int8), prepend=0) == 1).sum())
                     rows.append((np.frombuffer(raw, np.uint8)[~gone].tobytes(), len(raw), int(gone.sum()), spans))
                 columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[3:], *columns], [*names, "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([part.column(3), *columns], ["rest", "kept", "n_bytes", "n_removed", "n_spans"])
 
     zero = F.lit(0).cast("long")
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    rest = own.filter(~F.coalesce(hit, F.lit(False))).select(*names, raw.alias("kept"), F.octet_length(raw).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"))
-    return touched.mapInArrow(run, schema).unionByName(rest)
+    rest = own.filter(~F.coalesce(hit, F.lit(False))).select("rest", raw.alias("kept"), F.octet_length(raw).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"))
+    return touched.mapInArrow(run, schema).unionByName(rest).select("rest.*", "kept", "n_bytes", "n_removed", "n_spans")
+
+
+def kept_text(kept: Column) -> Column:
+    """The bytes that stay as text, without the characters of which a part was removed."""
+    text = kept.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.translate(F.make_valid_utf8(text), "\ufffd", ""))
 
 
 def covered(raw: np.ndarray, verdicts: list) -> np.ndarray:

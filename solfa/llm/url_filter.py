@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import packed, written
 
 MAX_LISTED = 100_000
 #: (host, path, verdict)
@@ -113,11 +113,13 @@ def _hits(cascade: Cascade, verdict: str) -> Column:
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow") -> DataFrame:
-    """pages with host, path, rule and verdict by the longest rule that fits; default where none does."""
+    """pages with host, path, rule and verdict (in place of columns that had those names) by the longest rule that
+    fits; default where none does."""
     spark = pages.sparkSession
     lengths = sorted({len(path) for _, path, _ in rules})
     host, path = host_and_path(F.col("url"))
-    rows = pages.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
+    own = packed(pages, "host", "path", "rule", "verdict").select("rest", "url")
+    rows = own.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
     keyed = rows.select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("key"))
     size = keyed.agg(F.approx_count_distinct("key")).first()[0]
     keys, found = candidate_keys(F.col("host"), F.col("path"), lengths), []
@@ -131,7 +133,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
         .withColumn("_best", best)
         .withColumn("rule", F.col("_best.key"))
         .withColumn("verdict", F.coalesce("_best.verdict", F.lit(default)))
-        .drop("_keys", "_best")
+        .select("rest.*", "host", "path", "rule", "verdict")
     )
 
 
