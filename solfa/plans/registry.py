@@ -1,4 +1,6 @@
 """Queries over the driver's tables, by name, with their DuckDB twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import catalog
+
+QUERIES: dict = {**catalog.QUERIES}
+ORACLES: dict = {**catalog.ORACLES}
