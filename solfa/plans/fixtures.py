@@ -56,7 +56,7 @@ SELECT seq, CASE WHEN l_orderkey % 97 = 0 THEN '  ' ELSE 'W' || CAST(l_orderkey
   CASE WHEN l_linenumber % 2 = 0 THEN upper(p_type) || ', ' || upper(p_name) ELSE s_name END AS name,
   CASE WHEN l_suppkey % 50 = 0 THEN '' ELSE CASE l_linenumber WHEN 1 THEN 'C' WHEN 2 THEN 'CA' WHEN 3 THEN 'A' WHEN 4 THEN 'E' WHEN 5 THEN 'E' WHEN 6 THEN 'SE' ELSE 'AR' END END AS role,
   CAST(l_suppkey AS STRING) AS ipi, '052:' || n_name AS society
-FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq FROM {lineitem}) l
+FROM (SELECT *, CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS seq FROM {lineitem}) l
 JOIN {part} ON p_partkey = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey JOIN {nation} ON n_nationkey = s_nationkey
 """
 

@@ -1,6 +1,7 @@
 """Queries over the driver's tables, by name, with their DuckDB twins."""
 
-from . import catalog
+from . import catalog, entities, reshapes
 
-QUERIES: dict = {**catalog.QUERIES}
-ORACLES: dict = {**catalog.ORACLES}
+MODULES = (catalog, entities, reshapes)
+QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
