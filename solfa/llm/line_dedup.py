@@ -4,9 +4,10 @@ A line's set is its character shingles of WIDTH. Its signature holds minima of i
 seeds; a band's key hashes ROWS of them. Lines of many words sign only shingles that start a word (of WORD_WIDTH, or
 unrelated lines would share them), lines of few words all shingles, and lines between the two bounds both ways, so that lines of similar length always share a way.
 Lines that share a key are compared by exact Jaccard similarity over all shingles: all pairs where up to CROWD lines
-share it; beyond, each with the most central line of the key (the one whose keys are shared most), and lines that this
-does not link are dealt anew by keys of two bands together, then three, up to DEPTH, where similar lines still meet and
-lines that only share a passage part. Links then go to distributed union-find.
+share it; beyond, each with the most central line of the key (the one whose keys are shared most). All lines of the keys
+where that leaves a line unlinked meet again, by an exact prefix filter: similar lines share one of their rarest shingles.
+Lines of a shingle that are in one component already aren't compared again; all others are, in cells of BLOCK lines, so
+no pair that shares a key is dropped. Links then go to distributed union-find.
 
 Only numbers are shuffled to find candidates. Texts of candidate lines are picked by a sieve of fixed size before
 they are shuffled to be compared, and each document's text moves once, to meet its kept positions.
@@ -30,8 +31,8 @@ from .shared import documents, packed, written
 WIDTH, WORD_WIDTH, THRESHOLD = 8, 12, 0.8
 BANDS, ROWS = 8, 3
 FEW, MANY = 8, 16
-CROWD, DEPTH = 32, 4
-SIEVE_BITS = 1 << 22
+CROWD, BLOCK = 32, 1024
+SIEVE_BITS, SLOTS = 1 << 22, 1 << 18
 _seed = random.Random(11)
 SEEDS = [_seed.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
 
@@ -66,11 +67,9 @@ def signed(lines: DataFrame) -> DataFrame:
     return hashed.groupBy("id", "way").agg(*minima).select("id", F.array(*keys).alias("keys"))
 
 
-def keyed(rows: DataFrame, depth: int) -> DataFrame:
-    """id and key, a row for each choice of depth bands: runs of them, and every third one, from each band on."""
-    choices = sorted({tuple(sorted((b + step * i) % BANDS for i in range(depth))) for b in range(BANDS) for step in (1, 3)})
-    keys = [F.col("keys")[c[0]] if depth == 1 else F.xxhash64(*(F.col("keys")[i] for i in c)) for c in choices]
-    return rows.select("id", F.explode(F.array(*keys)).alias("key"))
+def keyed(rows: DataFrame) -> DataFrame:
+    """id and key, a row for each band."""
+    return rows.select("id", F.explode("keys").alias("key"))
 
 
 def sieve(keys: DataFrame, column: str, test: Column) -> Column:
@@ -88,29 +87,100 @@ def sieve(keys: DataFrame, column: str, test: Column) -> Column:
 
 
 def similar_links(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b: keys of lines whose Jaccard similarity reaches threshold."""
-    signatures = written(signed(lines), "signatures")
-    links, members = None, signatures
-    for depth in range(1, DEPTH + 1):
-        rows = keyed(members, depth)
-        shared = written(rows.groupBy("key").count().filter("count > 1"), "shared")
-        met = written(rows.filter(sieve(shared, "key", F.col("key"))).join(shared, "key").distinct(), "met")
-        small, large = met.filter(F.col("count") <= CROWD), met.filter(F.col("count") > CROWD)
-        pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
-        central = large.groupBy("id").agg(F.sum("count").alias("weight"))
-        best = large.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("best"))
-        starred = written(large.join(best.select("key", F.col("best.id").alias("b")), "key").filter("id <> b").select(F.col("id").alias("a"), "b"), "starred")
-        pairs = pairs.unionByName(starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-        near = written(similar(lines, written(pairs, "pairs"), threshold), "near")
-        links = near if links is None else links.unionByName(near)
-        found = near.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        both = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        rest = starred.join(both, (starred.a == both.x) & (starred.b == both.y), "left_anti").select(F.col("a").alias("id")).distinct()
-        rest = written(rest, "rest")
-        if rest.isEmpty():
-            break
-        members = written(members.join(rest, "id", "left_semi"), "members")
-    return links
+    """a, b: keys of lines whose Jaccard similarity reaches threshold. All lines of a key that do are linked,
+    if not by a pair of their own then through others."""
+    rows = keyed(written(signed(lines), "signatures"))
+    shared = written(rows.groupBy("key").count().filter("count > 1"), "shared")
+    met = written(rows.filter(sieve(shared, "key", F.col("key"))).join(shared, "key").distinct(), "met")
+    small, large = met.filter(F.col("count") <= CROWD), met.filter(F.col("count") > CROWD)
+    pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
+    central = large.groupBy("id").agg(F.sum("count").alias("weight"))
+    best = large.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("best"))
+    starred = written(large.join(best.select("key", F.col("best.id").alias("b")), "key").filter("id <> b").select("key", F.col("id").alias("a"), "b"), "starred")
+    pairs = pairs.unionByName(starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    near = written(similar(lines, written(pairs, "pairs"), threshold), "near")
+    found = near.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    both = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    # a key whose central line is linked to all its lines is settled; of any other, all lines stay comparands
+    unsettled = starred.join(both, (starred.a == both.x) & (starred.b == both.y), "left_anti").select("key").distinct()
+    unsettled = written(unsettled, "unsettled")
+    if unsettled.isEmpty():
+        return near
+    crowd = written(large.join(unsettled, "key", "left_semi").select("id").distinct(), "crowd")
+    return near.unionByName(crowded_links(lines, crowd, near, threshold))
+
+
+def crowded_links(lines: DataFrame, crowd: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links that the lines of crowd (id, stored) need besides links to be linked as all pairs of them would."""
+    texts = lines.filter(sieve(crowd, "id", F.col("id"))).groupBy("id").agg(F.min("line").alias("line")).join(crowd, "id", "left_semi")
+    texts = written(texts, "texts")
+    rarest = written(rare_shingles(texts, threshold), "rarest")
+    ends = [crowd.select(F.col("id").alias(x)) for x in ("a", "b")]
+    known = written(links.join(ends[0], "a", "left_semi").join(ends[1], "b", "left_semi").select("a", "b"), "known")
+    out, before = texts.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), None
+    while True:
+        roots = components(known)
+        placed = rarest.join(roots, F.col("id") == F.col("node"), "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"))
+        placed = written(placed, "placed")
+        own = placed.groupBy("token", "root").count()
+        total, square = F.sum("count"), F.sum(F.col("count") * F.col("count"))
+        open_ = own.groupBy("token").agg(total.alias("total"), ((total * total - square) / 2).alias("pairs")).filter("pairs > 0")
+        open_ = written(open_, "open")
+        pairs, rows = open_.agg(F.sum("pairs"), F.sum("total")).first()
+        if not pairs:
+            return out
+        left = placed.join(open_, "token")
+        # stars while they at least halve the pairs between components, then all pairs that are left
+        last = pairs <= CROWD * rows or (before is not None and 2 * pairs > before)
+        before = pairs
+        met = _all_pairs(left, threshold) if last else _stars(left)
+        near = written(similar(texts, written(met.distinct(), "pairs"), threshold), "near")
+        out, known = out.unionByName(near), known.unionByName(near)
+        if last:
+            return out
+
+
+def rare_shingles(texts: DataFrame, threshold: float) -> DataFrame:
+    """token, id and n (the size of its set): so many of each line's rarest shingles that lines whose similarity
+    reaches threshold share one. Rarity is that of a shingle's slot in a table of fixed size, the same for all lines,
+    so no shingles are shuffled to find it. Those of one line alone are left out as far as slots tell."""
+    sets = texts.select("id", hashed("line").alias("set"))
+    slot = lambda x: F.pmod(x, F.lit(SLOTS)).cast("int")
+    counts = [0] * SLOTS
+    for row in sets.select(F.explode("set").alias("token")).groupBy(slot(F.col("token")).alias("slot")).count().collect():
+        counts[row["slot"]] = row["count"]
+    table = F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")  # a constant, folded once
+    order = F.array_sort(F.transform("set", lambda x: F.struct(F.element_at(table, slot(x) + 1).alias("count"), x.alias("token"))))
+    n = F.size("set")
+    need = (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int")
+    first = sets.filter(n > 0).select("id", n.alias("n"), F.explode(F.slice(order, F.lit(1), need)).alias("own"))
+    return first.filter("own.count > 1").select("own.token", "id", "n")
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """Pairs of each line with the line of the largest component of each token (of equal ones the greatest root)."""
+    sizes = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("b"))
+    best = sizes.groupBy("token").agg(F.max(F.struct("size", "root", "b")).alias("best")).select("token", "best.root", "best.b")
+    met = rows.select("token", F.col("id").alias("a"), F.col("root").alias("own")).join(best, "token").filter("own <> root")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _all_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of lines of a token but those of one component, dealt in cells of BLOCK lines by BLOCK."""
+    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), blocks).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("low"), F.greatest(F.col("block"), j).alias("high")))
+    dealt = dealt.select("token", "id", "n", "root", "block", F.explode(cells).alias("cell")).select("*", "cell.*").drop("cell")
+    left = dealt.filter("block = low").select("token", "low", "high", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
+    right = dealt.filter("block = high").select("token", "low", "high", F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"))
+    met = left.join(right, ["token", "low", "high"]).filter("root_x <> root_y and (low < high or x < y)")
+    met = met.filter(F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def hashed(line: Column | str) -> Column:
+    """The set of hashed shingles."""
+    return F.array_distinct(F.transform(shingles(line), lambda x: F.xxhash64(x)))
 
 
 def similar(lines: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -121,7 +191,6 @@ def similar(lines: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     # lines move as text, which is an eighth of their hashed shingles
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    hashed = lambda line: F.array_distinct(F.transform(shingles(line), lambda x: F.xxhash64(x)))
     sets = both.select("a", "b", hashed("x").alias("x"), hashed("y").alias("y"))
     least, most = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     likely = sets.filter(least >= threshold * most)  # else even one set within the other falls short

@@ -7,6 +7,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -89,6 +90,26 @@ def test_lines(spark):
     assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in rows} == dict(enumerate(expected))
 
 
+def test_templated_lines(spark):
+    """Lines of one template share crowded keys, but few are similar to the most central one."""
+    own = random.Random(23)
+    fields = [["".join(own.choices("abcdefghijklmnoprstuvw", k=3)) for _ in range(18)] for _ in range(4)]
+    fixed = ["".join(own.choices("abcdefghijklmnoprstuvw", k=12)) for _ in range(11)]
+    lines = sorted({" ".join([*fixed[:2], v[0], *fixed[2:5], v[1], *fixed[5:7], v[2], *fixed[7:9], v[3], *fixed[9:]]) for _ in range(2000) for v in [[own.choice(f) for f in fields]]})
+    own.shuffle(lines)
+    sets = [shingle_set(x) for x in lines]
+    place = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    table = np.zeros((len(lines), len(place)), np.float32)
+    for i, x in enumerate(sets):
+        table[i, [place[y] for y in x]] = 1
+    common, sizes = table @ table.T, table.sum(1)
+    a, b = np.nonzero(np.triu(common >= 0.8 * (sizes[:, None] + sizes[None] - common), 1))
+    expected = roots(len(lines), zip(a.tolist(), b.tolist()))
+    kept = [r["doc_id"] for r in line_dedup.dedup(frame(spark, lines)).collect() if not r["n_removed"]]
+    assert 100 < len(set(expected)) < len(lines) - 100
+    assert sorted(kept) == sorted(set(expected))
+
+
 def test_no_lines(spark):
     assert line_dedup.dedup(frame(spark, [])).count() == 0
     assert [r["n_removed"] for r in line_dedup.dedup(frame(spark, [None, ""])).collect()] == [0, 0]
