@@ -110,6 +110,33 @@ def test_templated_lines(spark):
     assert sorted(kept) == sorted(set(expected))
 
 
+def test_repeated_phrases(spark):
+    """Lines of one set of shingles, whose phrase repeats a few times or many."""
+    lines = ["spam eggs " * 4, "spam eggs " * 20, "- " * 10 + "-", "- " * 40 + "-", "a quite different line of text"]
+    rows = line_dedup.dedup(frame(spark, lines)).collect()
+    assert sorted(r["doc_id"] for r in rows if not r["n_removed"]) == [0, 2, 4]
+
+
+def test_long_lines_meet(spark):
+    """Pairs of long lines at a similarity of about 0.8 by scattered single edits share a key."""
+    own, lines = random.Random(29), []
+    while len(lines) < 1200:
+        line = " ".join(own.choices(VOCABULARY, k=30))
+        edited = list(line)
+        for at in own.sample(range(len(line)), 3):
+            edited[at] = "z"
+        x, y = shingle_set(line), shingle_set("".join(edited))
+        if 0.8 <= len(x & y) / len(x | y) < 0.82:
+            lines += [line, "".join(edited)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    keys = {}
+    for r in line_dedup.signed(rows).collect():
+        keys.setdefault(r["id"], set()).update(r["keys"])
+    met = sum(bool(keys[i] & keys[i + 1]) for i in range(0, len(lines), 2))
+    print("met", met, "of", len(lines) // 2)
+    assert met >= 0.99 * len(lines) // 2
+
+
 def test_no_lines(spark):
     assert line_dedup.dedup(frame(spark, [])).count() == 0
     assert [r["n_removed"] for r in line_dedup.dedup(frame(spark, [None, ""])).collect()] == [0, 0]
