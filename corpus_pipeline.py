@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from solfa.llm.graph import components
 from solfa.llm.language import REJECT, identify, trained
 from solfa.llm.line_dedup import dedup
+from solfa.llm.near_copies import near_links
 from solfa.llm.packing import pack, pieces
 from solfa.llm.shared import documents, packed, written
-from solfa.llm.simhash import near_duplicates
 from solfa.llm.suffix_dedup import kept_text, remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -38,10 +39,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints, that of the least doc_id."""
-    stay = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*COLUMNS)
+    """One document of each component of texts whose five-word shingles have similarity 0.8 or more: that of the least
+    doc_id, of equal ones that of the least hash of its text. Texts without words are one component."""
+    words = F.coalesce("text", F.lit("")).rlike(r"\S")
+    named = docs.filter(F.col("doc_id").isNotNull()).withColumn("_id", F.when(words, F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
+    roots = components(near_links(named.filter(words).select(F.col("_id").alias("id"), F.col("text").alias("line"))))
+    rows = written(named.select("doc_id", "_id").distinct(), "rows")
+    classes = rows.join(roots, F.col("_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "_id"))
+    stay = classes.groupBy("root").agg(F.min(F.struct("doc_id", "_id")).alias("first")).select("first.*")
+    kept = named.join(stay, ["doc_id", "_id"], "left_semi").dropDuplicates(["doc_id", "_id"])
+    return kept.select(*COLUMNS).unionByName(docs.filter(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

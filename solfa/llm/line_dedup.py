@@ -23,6 +23,7 @@ two different lines ever have the same 64-bit key, which a second hash tells, al
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ BANDS, WORD_BANDS, ROWS = 8, 14, 3
 FEW, MANY = 8, 16
 CROWD, BLOCK = 32, 1024
 SIEVE_BITS, SLOTS = 1 << 22, 1 << 18
+Kernel = Callable[..., Column | DataFrame]
 _seed = random.Random(11)
 SEEDS = [_seed.getrandbits(64) - (1 << 63) for _ in range(WORD_BANDS * ROWS)]
 
@@ -89,10 +91,11 @@ def sieve(keys: DataFrame, column: str, test: Column) -> Column:
     return F.getbit(F.element_at(bits, (F.floor(own / 64) + 1).cast("int")), (own % 64).cast("int")) == 1
 
 
-def similar_links(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def similar_links(lines: DataFrame, threshold: float = THRESHOLD, sign: Kernel | None = None, sets: Kernel | None = None) -> DataFrame:
     """a, b: keys of lines whose Jaccard similarity reaches threshold. All lines of a key that do are linked,
-    if not by a pair of their own then through others."""
-    rows = keyed(written(signed(lines), "signatures"))
+    if not by a pair of their own then through others. sign and sets stand for signed() and hashed()."""
+    sets = sets or hashed
+    rows = keyed(written((sign or signed)(lines), "signatures"))
     shared = written(rows.groupBy("key").count().filter("count > 1"), "shared")
     met = written(rows.filter(sieve(shared, "key", F.col("key"))).join(shared, "key").distinct(), "met")
     small, large = met.filter(F.col("count") <= CROWD), met.filter(F.col("count") > CROWD)
@@ -101,7 +104,7 @@ def similar_links(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     best = large.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("best"))
     starred = written(large.join(best.select("key", F.col("best.id").alias("b")), "key").filter("id <> b").select("key", F.col("id").alias("a"), "b"), "starred")
     pairs = pairs.unionByName(starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    near = written(similar(lines, written(pairs, "pairs"), threshold), "near")
+    near = written(similar(lines, written(pairs, "pairs"), threshold, sets), "near")
     found = near.select(F.col("a").alias("x"), F.col("b").alias("y"))
     both = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
     # a key whose central line is linked to all its lines is settled; of any other, all lines stay comparands
@@ -110,14 +113,14 @@ def similar_links(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if unsettled.isEmpty():
         return near
     crowd = written(large.join(unsettled, "key", "left_semi").select("id").distinct(), "crowd")
-    return near.unionByName(crowded_links(lines, crowd, near, threshold))
+    return near.unionByName(crowded_links(lines, crowd, near, threshold, sets))
 
 
-def crowded_links(lines: DataFrame, crowd: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+def crowded_links(lines: DataFrame, crowd: DataFrame, links: DataFrame, threshold: float, sets: Kernel) -> DataFrame:
     """a, b: links that the lines of crowd (id, stored) need besides links to be linked as all pairs of them would."""
     texts = lines.filter(sieve(crowd, "id", F.col("id"))).groupBy("id").agg(F.min("line").alias("line")).join(crowd, "id", "left_semi")
     texts = written(texts, "texts")
-    rarest = written(rare_shingles(texts, threshold), "rarest")
+    rarest = written(rare_shingles(texts, threshold, sets), "rarest")
     ends = [crowd.select(F.col("id").alias(x)) for x in ("a", "b")]
     known = written(links.join(ends[0], "a", "left_semi").join(ends[1], "b", "left_semi").select("a", "b"), "known")
     out, before = texts.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), None
@@ -137,17 +140,17 @@ def crowded_links(lines: DataFrame, crowd: DataFrame, links: DataFrame, threshol
         last = pairs <= CROWD * rows or (before is not None and 2 * pairs > before)
         before = pairs
         met = _all_pairs(left, threshold) if last else _stars(left)
-        near = written(similar(texts, written(met.distinct(), "pairs"), threshold), "near")
+        near = written(similar(texts, written(met.distinct(), "pairs"), threshold, sets), "near")
         out, known = out.unionByName(near), known.unionByName(near)
         if last:
             return out
 
 
-def rare_shingles(texts: DataFrame, threshold: float) -> DataFrame:
+def rare_shingles(texts: DataFrame, threshold: float, own: Kernel) -> DataFrame:
     """token, id and n (the size of its set): so many of each line's rarest shingles that lines whose similarity
     reaches threshold share one. Rarity is that of a shingle's slot in a table of fixed size, the same for all lines,
     so no shingles are shuffled to find it. Those of one line alone are left out as far as slots tell."""
-    sets = texts.select("id", hashed("line").alias("set"))
+    sets = texts.select("id", own("line").alias("set"))
     slot = lambda x: F.pmod(x, F.lit(SLOTS)).cast("int")
     counts = [0] * SLOTS
     for row in sets.select(F.explode("set").alias("token")).groupBy(slot(F.col("token")).alias("slot")).count().collect():
@@ -186,7 +189,7 @@ def hashed(line: Column | str) -> Column:
     return F.array_distinct(F.transform(shingles(line), lambda x: F.xxhash64(x)))
 
 
-def similar(lines: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def similar(lines: DataFrame, pairs: DataFrame, threshold: float, own: Kernel) -> DataFrame:
     """Those pairs (a, b, stored) whose lines' shingles have at least this Jaccard similarity."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     texts = lines.filter(sieve(wanted, "id", F.col("id"))).groupBy("id").agg(F.min("line").alias("line")).join(wanted, "id", "left_semi")
@@ -194,7 +197,7 @@ def similar(lines: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     # lines move as text, which is an eighth of their hashed shingles
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    sets = both.select("a", "b", hashed("x").alias("x"), hashed("y").alias("y"))
+    sets = both.select("a", "b", own("x").alias("x"), own("y").alias("y"))
     least, most = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     likely = sets.filter(least >= threshold * most)  # else even one set within the other falls short
     common = likely.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -92,3 +94,38 @@ def test_odd_rows(spark, tmp_path):
     assert {r["doc_id"] for r in found} <= {None, *range(6)} and len(found) >= 1
     docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_near_copies_go(spark):
+    """Pairs of five-word similarity 0.8 to 0.9 by scattered word edits, a large group of them, and clashing ids."""
+    own = random.Random(31)
+    vocabulary = ["".join(own.choices("abcdefghijklmnoprstuvw", k=own.randint(2, 9))) for _ in range(3000)]
+
+    def copy(words, edits):
+        out = list(words)
+        for at in own.sample(range(len(out)), edits):
+            out[at] = own.choice(vocabulary)
+        return out
+
+    def similarity(a, b):
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        return len(x & y) / len(x | y)
+
+    pairs = []
+    while len(pairs) < 200:
+        a = own.choices(vocabulary, k=200)
+        b = copy(a, own.randint(2, 5))
+        if 0.8 <= similarity(a, b) < 0.9:
+            pairs.append((a, b))
+    found = [t for pair in pairs for t in pair]
+    base = own.choices(vocabulary, k=200)
+    found += [copy(base, 1) for _ in range(100)]  # each 0.9 or more to the next
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(found)]
+    rows += [(0, "another text of the same id as the first one has", "en", "s", 1), rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    after = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert len(after) == len(set(after)) and (0, rows[0][1]) in after and (0, rows[-2][1]) in after
+    assert sum(i >= 400 for i, _ in after) == 1
+    missed = sum(i < 400 and i % 2 for i, _ in after)
+    print("missed", missed, "of 200")
+    assert missed <= 1
