@@ -16,7 +16,7 @@ from solfa.llm.line_dedup import dedup
 from solfa.llm.near_copies import near_links
 from solfa.llm.packing import pack, pieces
 from solfa.llm.shared import documents, packed, written
-from solfa.llm.suffix_dedup import kept_text, remove_repeats
+from solfa.llm.suffix_dedup import WORDS, kept_text, remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -51,8 +51,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*COLUMNS).unionByName(docs.filter(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
+def word_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of over 50 words that repeat."""
+    return _documents(remove_repeats(docs, WORDS).withColumn("text", kept_text(F.col("kept"))))
+
+
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that repeat."""
+    """Documents without the passages of 400 bytes that repeat, which can have fewer words."""
     return _documents(remove_repeats(docs).withColumn("text", kept_text(F.col("kept"))))
 
 
@@ -67,6 +72,7 @@ STAGES = [
     ("language_id", language_id),
     ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
+    ("word_passages", word_passages),
     ("suffix_dedup", suffix_dedup),
     ("packing", packing),
 ]

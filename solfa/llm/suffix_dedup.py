@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings of LENGTH bytes by distributed suffix sorting.
+"""Removal of repeated byte strings of LENGTH bytes, or of passages of so many words, by distributed suffix sorting.
 
 A suffix matters for its first LENGTH bytes only, which are a few leading tokens here: hashes of runs of bytes. At each
 level a window of LENGTH bytes is led by one run of `size` bytes inside it, the one with the least hash (leftmost of
@@ -16,7 +16,8 @@ At the last level the two tokens are the two halves of the window itself, and su
 compared across boundaries. Before it, an edge only sends its suffix on to the next level.
 
 Only tokens and places are shuffled, and texts that still have open windows (picked by a sieve of fixed size).
-Equality is that of 64-bit hashes of both halves of a window.
+Equality is that of 64-bit hashes of both halves of a window. Where passages are measured in words, each word's hash
+stands in the place of a byte, and the white space between words doesn't matter.
 
 Defined results: a null text is empty; texts under LENGTH bytes keep everything; repeated rows remove each other's
 windows; matches never cross rows; other columns are ignored. Rows are told apart by a 64-bit hash of doc_id and text.
@@ -24,10 +25,13 @@ windows; matches never cross rows; other columns are ignored. Rows are told apar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,24 +69,63 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@dataclass(frozen=True)
+class Measure:
+    """What a passage is measured by: its length in units, the runs that lead at each level, and whether units are words."""
+
+    length: int
+    levels: tuple[int, ...]
+    words: bool = False
+
+    @property
+    def least(self) -> int:
+        """Bytes of the shortest passage."""
+        return 2 * self.length - 1 if self.words else self.length
+
+    def units(self, raw: bytes) -> np.ndarray:
+        if self.words:
+            return np.fromiter((xxhash.xxh64_intdigest(x) for x in raw.split()), np.uint64)
+        return np.frombuffer(raw, np.uint8)
+
+    def gone(self, raw: bytes, verdicts: list) -> np.ndarray:
+        """Which bytes repeated windows cover: for words, from the first of them to the last in each span."""
+        own = covered(self.units(raw), verdicts, self)
+        if not self.words:
+            return own
+        out, change = np.zeros(len(raw), bool), np.diff(own.view(np.int8), prepend=0, append=0)
+        if own.any():
+            ends = np.array([x.span() for x in re.finditer(rb"\S+", raw)])
+            for first, last in zip(np.flatnonzero(change == 1), np.flatnonzero(change == -1)):
+                out[ends[first, 0] : ends[last - 1, 1]] = True
+        return out
+
+
+BYTES = Measure(LENGTH, LEVELS)
+#: Passages of over 50 words, whatever their bytes.
+WORDS = Measure(51, (26, 47, 51), True)
+
+
 class Segment:
-    """Windows first..last-1 of a text of n bytes, with the bytes around them that their suffixes need."""
+    """Windows of length first..last-1 of a text of n units (bytes, or hashes of words), with the units around them that
+    their suffixes need."""
 
-    def __init__(self, raw: np.ndarray, first: int, last: int) -> None:
+    def __init__(self, raw: np.ndarray, first: int, last: int, length: int) -> None:
+        self.length = length
         self.first, self.count, self.n = first, last - first, len(raw)
-        self.at = max(0, first - LENGTH)
-        own = raw[self.at : last + 2 * LENGTH]
+        self.at = max(0, first - length)
+        own = raw[self.at : last + 2 * length]
+        values = _BYTES[own] if own.dtype == np.uint8 else own
         up, self.down = _powers(len(own) + 1)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[own] * up[: len(own)], dtype=np.uint64)])
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(own)], dtype=np.uint64)])
 
     def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the bytes from begin to end (places in the text)."""
+        """Hash of the units from begin to end (places in the text)."""
         begin, end = begin - self.at, end - self.at
         return _mixed((self.sums[end] - self.sums[begin]) * self.down[begin])
 
     def leads(self, size: int) -> np.ndarray:
         """Where each window's leading run is in the text."""
-        width = LENGTH - size + 1
+        width = self.length - size + 1
         if width == 1:
             return np.arange(self.first, self.first + self.count)
         m, low = self.count + width - 1, self.first - self.at
@@ -98,22 +141,22 @@ class Segment:
 
     def tokens(self, leads: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """The two tokens of each leading run."""
-        if size == LENGTH:
-            half = leads + LENGTH // 2
-            return self.hashes(leads, half), self.hashes(half, leads + LENGTH)
-        begin, end = leads - (LENGTH - size), leads + LENGTH
+        if size == self.length:
+            half = leads + self.length // 2
+            return self.hashes(leads, half), self.hashes(half, leads + self.length)
+        begin, end = leads - (self.length - size), leads + self.length
         short = np.maximum(0, -begin), np.maximum(0, end - self.n)
         around = self.hashes(np.maximum(begin, 0), np.minimum(end, self.n))
         return self.hashes(leads, leads + size), _mixed(around + short[0].astype(np.uint64) * np.uint64(1000003) + short[1].astype(np.uint64) * np.uint64(2000029))
 
 
-def walk(raw: np.ndarray, verdicts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[Segment, np.ndarray, np.ndarray]]:
+def walk(raw: np.ndarray, verdicts: list[tuple[np.ndarray, np.ndarray]], by: Measure) -> Iterator[tuple[Segment, np.ndarray, np.ndarray]]:
     """Segments of a text, and which of their windows are open and which repeated after the levels judged so far.
     verdicts: of each level, the places of leading runs, ascending, and their kinds."""
-    for first in range(0, len(raw) - LENGTH + 1, SEGMENT):
-        segment = Segment(raw, first, min(first + SEGMENT, len(raw) - LENGTH + 1))
+    for first in range(0, len(raw) - by.length + 1, SEGMENT):
+        segment = Segment(raw, first, min(first + SEGMENT, len(raw) - by.length + 1), by.length)
         open_, repeated = np.ones(segment.count, bool), np.zeros(segment.count, bool)
-        for size, (places, kinds) in zip(LEVELS, verdicts):
+        for size, (places, kinds) in zip(by.levels, verdicts):
             if not open_.any():
                 break
             leads = segment.leads(size)
@@ -127,10 +170,10 @@ def walk(raw: np.ndarray, verdicts: list[tuple[np.ndarray, np.ndarray]]) -> Iter
         yield segment, open_, repeated
 
 
-def suffixes(raw: np.ndarray, verdicts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def suffixes(raw: np.ndarray, verdicts: list, by: Measure) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places and tokens of the leading runs of all open windows at the next level."""
-    size, out = LEVELS[len(verdicts)], []
-    for segment, open_, _ in walk(raw, verdicts):
+    size, out = by.levels[len(verdicts)], []
+    for segment, open_, _ in walk(raw, verdicts, by):
         leads = np.unique(segment.leads(size)[open_])
         out.append((leads, *segment.tokens(leads, size)))
     if not out:
@@ -180,7 +223,7 @@ ROWS = "k long, pos long, first long, second long"
 VERDICTS = "level int, k long, pos long, kind int, first long, second long"
 
 
-def _emitted(texts: DataFrame, level: int) -> DataFrame:
+def _emitted(texts: DataFrame, level: int, by: Measure) -> DataFrame:
     """Suffixes of texts: k, text, and (from level 1 on) verdicts, an array of (level, pos, kind)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +232,9 @@ def _emitted(texts: DataFrame, level: int) -> DataFrame:
                 out = []
                 lists = _verdict_lists(part, level)
                 for k, raw, verdicts in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), lists):
-                    if len(raw) >= LENGTH:
-                        places, first, second = suffixes(np.frombuffer(raw, np.uint8), verdicts)
+                    units = by.units(raw)
+                    if len(units) >= by.length:
+                        places, first, second = suffixes(units, verdicts, by)
                         out.append((np.full(len(places), k), places, first.view(np.int64), second.view(np.int64)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], ["k", "pos", "first", "second"])
@@ -221,9 +265,9 @@ def _verdict_lists(part: pa.RecordBatch, levels: int) -> list[list[tuple[np.ndar
     return out
 
 
-def _judged(rows: DataFrame, level: int) -> DataFrame:
+def _judged(rows: DataFrame, level: int, by: Measure) -> DataFrame:
     """VERDICTS of suffixes, stored. What is not reported is not repeated."""
-    last = level == len(LEVELS) - 1
+    last = level == len(by.levels) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -255,20 +299,20 @@ def _with_verdicts(docs: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
     return docs.join(lists, "k", how)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with kept (binary: the bytes that stay), n_bytes, n_removed and n_spans in place of text (and of columns
+def remove_repeats(docs: DataFrame, by: Measure = BYTES) -> DataFrame:
+    """docs without passages of by.length units that repeat: kept (binary: the bytes that stay), n_bytes, n_removed and n_spans in place of text (and of columns
     that had those names)."""
     k = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     own = packed(docs, "text", "kept", "n_bytes", "n_removed", "n_spans").select("rest", "text", k.alias("k"))
-    slim = own.select("k", "text").filter(F.octet_length("text") >= LENGTH)
-    verdicts, told = _judged(_emitted(slim, 0), 0), None
+    slim = own.select("k", "text").filter(F.octet_length("text") >= by.least)
+    verdicts, told = _judged(_emitted(slim, 0, by), 0, by), None
     told = sieve(verdicts, "k", F.col("k"))
-    for level in range(1, len(LEVELS)):
+    for level in range(1, len(by.levels)):
         open_ = verdicts.filter((F.col("level") == level - 1) & (F.col("kind").bitwiseAND(F.lit(OPEN)) > 0)).select("k").distinct()
         texts = _with_verdicts(slim.filter(told), verdicts.join(open_, "k", "left_semi"), "inner").select("k", "text", "verdicts")
-        verdicts = verdicts.unionByName(_judged(_emitted(texts, level), level))
+        verdicts = verdicts.unionByName(_judged(_emitted(texts, level, by), level, by))
     repeated = verdicts.filter(F.col("kind").bitwiseAND(F.lit(REPEATED | OPEN)) > 0)
-    hit = F.coalesce(told, F.lit(False)) & (F.octet_length("text") >= LENGTH)
+    hit = F.coalesce(told, F.lit(False)) & (F.octet_length("text") >= by.least)
     touched = _with_verdicts(own.filter(hit), repeated, "left").select("k", "text", "verdicts", "rest")
     schema = key_schema(own, ("rest",)) + ", kept binary, n_bytes long, n_removed long, n_spans long"
 
@@ -276,8 +320,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in parts(batch, 1):
                 rows = []
-                for raw, lists in zip(text_bytes(part.column(1)), _verdict_lists(part, len(LEVELS))):
-                    gone = covered(np.frombuffer(raw, np.uint8), lists)
+                for raw, lists in zip(text_bytes(part.column(1)), _verdict_lists(part, len(by.levels))):
+                    gone = by.gone(raw, lists)
                     spans = int((np.diff(gone.view(np.int8), prepend=0) == 1).sum())
                     rows.append((np.frombuffer(raw, np.uint8)[~gone].tobytes(), len(raw), int(gone.sum()), spans))
                 columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
@@ -295,13 +339,13 @@ def kept_text(kept: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(F.translate(F.make_valid_utf8(text), "\ufffd", ""))
 
 
-def covered(raw: np.ndarray, verdicts: list) -> np.ndarray:
-    """Which bytes a repeated window covers."""
+def covered(raw: np.ndarray, verdicts: list, by: Measure) -> np.ndarray:
+    """Which units a repeated window covers."""
     change = np.zeros(len(raw) + 1, np.int32)
-    for segment, _, repeated in walk(raw, verdicts):
+    for segment, _, repeated in walk(raw, verdicts, by):
         at = segment.first + np.flatnonzero(repeated)
         change[at] += 1
-        change[at + LENGTH] -= 1
+        change[at + by.length] -= 1
     return np.cumsum(change[:-1]) > 0
 
 

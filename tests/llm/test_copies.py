@@ -240,5 +240,18 @@ def test_hot_passage(spark):
     assert {r["doc_id"]: bytes(r["kept"]) for r in rows} == {i: x[3] for i, x in enumerate(expected)}
 
 
+def test_word_passages(spark):
+    """Passages of 51 words go, whatever their bytes and white space; those of 50 stay."""
+    own = random.Random(37)
+    fresh = lambda n: " ".join(f"{own.choice('abcdef')}{own.getrandbits(20):x}" for _ in range(n))
+    short, fifty, long = " ".join(own.choices("abcdefghijklm", k=51)), fresh(50), fresh(80)
+    texts = [f"{fresh(5)} {x} {fresh(5)}" for x in (short, fifty, long) for _ in range(3)] + [long.replace(" ", "\n"), short[:-2], None, "é " + fresh(300)]
+    spans = suffix_dedup.remove_repeats(frame(spark, texts), suffix_dedup.WORDS).collect()
+    got = {r["doc_id"]: bytes(r["kept"]).decode() for r in spans}
+    for i, t in enumerate(texts):
+        repeat = short if i < 3 else long if 6 <= i < 9 else t if i == 9 else "\0"
+        assert got[i] == (t or "").replace(repeat, "")
+
+
 def test_no_passages(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
