@@ -5,11 +5,15 @@ band's key hashes ROWS of them. Lines of many different words sign only shingles
 unrelated lines would share them), lines of few all shingles, and lines between the two bounds both ways, so that lines
 of similar length share a way. Scattered edits break more of the wider shingles (about 0.71 of them are common where
 0.8 of the verified ones are), so they have WORD_BANDS bands, the others BANDS.
+
 Lines that share a key are compared by exact Jaccard similarity over all shingles: all pairs where up to CROWD lines
-share it; beyond, each with the most central line of the key (the one whose keys are shared most). All lines of the keys
-where that leaves a line unlinked meet again, by an exact prefix filter: similar lines share one of their rarest shingles.
-Lines of a shingle that are in one component already aren't compared again; all others are, in cells of BLOCK lines, so
-no pair that shares a key is dropped. Links then go to distributed union-find.
+share it; beyond, each with the most central line of the key. A crowded key is settled once all its lines are in the
+central line's component. Of any other, what a line differs by from the central line (shingles that it has more or
+lacks) tells which pairs are left: lines of which one isn't linked to the central line can be similar only if they
+share so many of these differences that prefixes of both lists, new shingles first, have one in common. Lines that share
+a difference are a new group, and so on; groups that are crowded after LEVELS rounds are compared in cells of BLOCK
+lines by BLOCK. So no pair that shares a key is dropped, and few pairs are worked out in large families of near copies.
+Links then go to distributed union-find.
 
 Only numbers are shuffled to find candidates. Texts of candidate lines are picked by a sieve of fixed size before
 they are shuffled to be compared, and each document's text moves once, to meet its kept positions.
@@ -34,22 +38,13 @@ from .shared import documents, packed, written
 WIDTH, WORD_WIDTH, THRESHOLD = 8, 12, 0.8
 BANDS, WORD_BANDS, ROWS = 8, 14, 3
 FEW, MANY = 8, 16
-CROWD, BLOCK = 32, 1024
-SIEVE_BITS, SLOTS = 1 << 22, 1 << 18
+CROWD, LEVELS, BLOCK = 32, 4, 1024
+SIEVE_BITS = 1 << 22
 Kernel = Callable[..., Column | DataFrame]
 _seed = random.Random(11)
 SEEDS = [_seed.getrandbits(64) - (1 << 63) for _ in range(WORD_BANDS * ROWS)]
 
 
-def shingles(line: Column | str) -> Column:
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1))
-
-
-def word_shingles(line: Column | str) -> Column:
-    """Shingles of WORD_WIDTH that start a word."""
-    return F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(f"(?s)\\s(?=(\\S.{{{WORD_WIDTH - 1}}}))"), F.lit(1))
-
-
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc_id, pos, line and its key of every line that isn't blank."""
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
@@ -58,18 +53,22 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 def signed(lines: DataFrame) -> DataFrame:
     """id, way and keys (an array of the keys of the way's bands) of each different line."""
-    words = lines.select("id", "line", F.array_distinct(word_shingles("line")).alias("words"))
-    n = F.size("words")
-    ways = F.array_compact(F.array(
-        F.when(n >= FEW, F.struct(F.lit(0).alias("way"), F.col("words").alias("set"))),
-        F.when(n <= MANY, F.struct(F.lit(1).alias("way"), shingles("line").alias("set"))),
-    ))
-    sets = words.select("id", F.explode(ways).alias("own")).select("id", "own.way", F.explode("own.set").alias("shingle"))
-    hashed = sets.select("id", "way", F.xxhash64("shingle").alias("h"))
+    n, size = F.size(F.array_distinct(F.split("line", " "))), F.char_length("line")
+    # places of shingles: from 0 up for all of them, from -1 down for those of words
+    every = F.when((n <= MANY) & (size >= WIDTH), F.sequence(F.lit(0), size - WIDTH))
+    words = F.when((n >= FEW) & (size >= WORD_WIDTH), F.sequence(F.lit(-1), WORD_WIDTH - size - 1, F.lit(-1)))
+    none = F.array().cast("array<int>")
+    places = lines.select("id", F.encode("line", "UTF-32").alias("wide"), F.concat(F.coalesce(every, none), F.coalesce(words, none)).alias("at"))
+    cut = lambda at, width: F.substring("wide", 4 * at + 1, F.lit(4 * width))  # noqa: E731  characters of 4 bytes
+    own, space = -1 - F.col("at"), F.lit(" ".encode("utf-32-be"))
+    starts = (cut(own, 1) != space) & ((own == 0) | (cut(own - 1, 1) == space))
+    found = places.select("id", "wide", F.explode_outer("at").alias("at")).filter((F.col("at") >= 0) | starts)
+    way = F.when(F.col("at") < 0, 0).otherwise(1)
+    hashed = found.select("id", way.alias("way"), F.when(F.col("at") < 0, F.xxhash64(cut(own, WORD_WIDTH))).otherwise(F.xxhash64(cut(F.col("at"), WIDTH))).alias("h"))
     minima = [F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(s)), 32).cast("int")).alias(f"m{i}") for i, s in enumerate(SEEDS)]
     keys = [F.xxhash64("way", F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(WORD_BANDS)]
-    own = F.when(F.col("way") == 0, F.array(*keys)).otherwise(F.array(*keys[:BANDS]))
-    return hashed.groupBy("id", "way").agg(*minima).select("id", own.alias("keys"))
+    band = F.when(F.col("way") == 0, F.array(*keys)).otherwise(F.array(*keys[:BANDS]))
+    return hashed.groupBy("id", "way").agg(*minima).select("id", band.alias("keys"))
 
 
 def keyed(rows: DataFrame) -> DataFrame:
@@ -91,102 +90,108 @@ def sieve(keys: DataFrame, column: str, test: Column) -> Column:
     return F.getbit(F.element_at(bits, (F.floor(own / 64) + 1).cast("int")), (own % 64).cast("int")) == 1
 
 
-def similar_links(lines: DataFrame, threshold: float = THRESHOLD, sign: Kernel | None = None, sets: Kernel | None = None) -> DataFrame:
+def similar_links(lines: DataFrame, threshold: float = THRESHOLD, sign: Kernel | None = None, sets: Kernel | None = None, more: DataFrame | None = None) -> DataFrame:
     """a, b: keys of lines whose Jaccard similarity reaches threshold. All lines of a key that do are linked,
-    if not by a pair of their own then through others. sign and sets stand for signed() and hashed()."""
+    if not by a pair of their own then through others. sign and sets stand for signed() and hashed(); more has pairs
+    (a, b) to compare besides."""
     sets = sets or hashed
     rows = keyed(written((sign or signed)(lines), "signatures"))
     shared = written(rows.groupBy("key").count().filter("count > 1"), "shared")
-    met = written(rows.filter(sieve(shared, "key", F.col("key"))).join(shared, "key").distinct(), "met")
+    met = written(rows.filter(sieve(shared, "key", F.col("key"))).join(shared, "key"), "met")
     small, large = met.filter(F.col("count") <= CROWD), met.filter(F.col("count") > CROWD)
     pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
+    stars = written(_stars(large), "stars")
+    pairs = pairs if more is None else pairs.unionByName(_ordered(more))
+    near = written(similar(lines, written(pairs.unionByName(_ordered(stars)).distinct(), "pairs"), threshold, sets), "near")
+    return near if stars.isEmpty() else near.unionByName(_crowded_links(lines, stars, near, threshold, sets))
+
+
+def _stars(large: DataFrame) -> DataFrame:
+    """a, b: each line of a key (key, id, count) and the key's most central line, whose keys are shared most."""
     central = large.groupBy("id").agg(F.sum("count").alias("weight"))
     best = large.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("best"))
-    starred = written(large.join(best.select("key", F.col("best.id").alias("b")), "key").filter("id <> b").select("key", F.col("id").alias("a"), "b"), "starred")
-    pairs = pairs.unionByName(starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    near = written(similar(lines, written(pairs, "pairs"), threshold, sets), "near")
-    found = near.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    both = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    # a key whose central line is linked to all its lines is settled; of any other, all lines stay comparands
-    unsettled = starred.join(both, (starred.a == both.x) & (starred.b == both.y), "left_anti").select("key").distinct()
-    unsettled = written(unsettled, "unsettled")
-    if unsettled.isEmpty():
-        return near
-    crowd = written(large.join(unsettled, "key", "left_semi").select("id").distinct(), "crowd")
-    return near.unionByName(crowded_links(lines, crowd, near, threshold, sets))
-
-
-def crowded_links(lines: DataFrame, crowd: DataFrame, links: DataFrame, threshold: float, sets: Kernel) -> DataFrame:
-    """a, b: links that the lines of crowd (id, stored) need besides links to be linked as all pairs of them would."""
+    stars = large.join(best.select("key", F.col("best.id").alias("b")), "key").filter("id <> b")
+    return stars.select(F.col("id").alias("a"), "b").distinct()
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _crowded_links(lines: DataFrame, stars: DataFrame, near: DataFrame, threshold: float, sets: Kernel) -> DataFrame:
+    """a, b: links that the lines of stars (line a, central line b, compared) need besides near to be linked as all
+    pairs of the lines of one key would."""
+    crowd = written(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "crowd")
     texts = lines.filter(sieve(crowd, "id", F.col("id"))).groupBy("id").agg(F.min("line").alias("line")).join(crowd, "id", "left_semi")
     texts = written(texts, "texts")
-    rarest = written(rare_shingles(texts, threshold, sets), "rarest")
     ends = [crowd.select(F.col("id").alias(x)) for x in ("a", "b")]
-    known = written(links.join(ends[0], "a", "left_semi").join(ends[1], "b", "left_semi").select("a", "b"), "known")
-    out, before = texts.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), None
-    while True:
-        roots = components(known)
-        placed = rarest.join(roots, F.col("id") == F.col("node"), "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"))
+    known = near.join(ends[0], "a", "left_semi").join(ends[1], "b", "left_semi").select("a", "b")
+    out = None
+    for level in range(1, LEVELS + 1):
+        known = written(known, "known")
+        placed = crowd.join(components(known), F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
         placed = written(placed, "placed")
-        own = placed.groupBy("token", "root").count()
-        total, square = F.sum("count"), F.sum(F.col("count") * F.col("count"))
-        open_ = own.groupBy("token").agg(total.alias("total"), ((total * total - square) / 2).alias("pairs")).filter("pairs > 0")
-        open_ = written(open_, "open")
-        pairs, rows = open_.agg(F.sum("pairs"), F.sum("total")).first()
-        if not pairs:
-            return out
-        left = placed.join(open_, "token")
-        # stars while they at least halve the pairs between components, then all pairs that are left
-        last = pairs <= CROWD * rows or (before is not None and 2 * pairs > before)
-        before = pairs
-        met = _all_pairs(left, threshold) if last else _stars(left)
-        near = written(similar(texts, written(met.distinct(), "pairs"), threshold, sets), "near")
-        out, known = out.unionByName(near), known.unionByName(near)
-        if last:
+        ends = [placed.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b")]
+        own = written(stars.join(ends[0], "a").join(ends[1], "b"), "own")
+        unsettled = own.filter("root_a <> root_b").select("b").distinct()
+        tokens = written(_differences(texts, own.join(unsettled, "b", "left_semi"), threshold, sets), "tokens")
+        counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min("root").alias("low"), F.max("root").alias("high"))
+        groups = written(tokens.join(counts.filter("low <> high").select("token", "count"), "token"), "groups")
+        if groups.isEmpty():
+            return near.limit(0) if out is None else out
+        last = level == LEVELS
+        small, large = groups.filter(F.lit(last) | (F.col("count") <= CROWD)), groups.filter(~F.lit(last) & (F.col("count") > CROWD))
+        stars = written(_stars(large.withColumnRenamed("token", "key")), "stars")
+        apart = stars.join(ends[0], "a").join(ends[1], "b").filter("root_a <> root_b")
+        pairs = _all_pairs(small, threshold).unionByName(_ordered(apart)).distinct()
+        found = written(similar(texts, written(pairs, "pairs"), threshold, sets), "near")
+        out, known = found if out is None else out.unionByName(found), known.unionByName(found)
+        if last or stars.isEmpty():
             return out
 
 
-def rare_shingles(texts: DataFrame, threshold: float, own: Kernel) -> DataFrame:
-    """token, id and n (the size of its set): so many of each line's rarest shingles that lines whose similarity
-    reaches threshold share one. Rarity is that of a shingle's slot in a table of fixed size, the same for all lines,
-    so no shingles are shuffled to find it. Those of one line alone are left out as far as slots tell."""
-    sets = texts.select("id", own("line").alias("set"))
-    slot = lambda x: F.pmod(x, F.lit(SLOTS)).cast("int")
-    counts = [0] * SLOTS
-    for row in sets.select(F.explode("set").alias("token")).groupBy(slot(F.col("token")).alias("slot")).count().collect():
-        counts[row["slot"]] = row["count"]
-    table = F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")  # a constant, folded once
-    order = F.array_sort(F.transform("set", lambda x: F.struct(F.element_at(table, slot(x) + 1).alias("count"), x.alias("token"))))
-    n = F.size("set")
-    need = (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int")
-    first = sets.filter(n > 0).select("id", n.alias("n"), F.explode(F.slice(order, F.lit(1), need)).alias("own"))
-    return first.filter("own.count > 1").select("own.token", "id", "n")
-
+def _differences(texts: DataFrame, stars: DataFrame, threshold: float, sets: Kernel) -> DataFrame:
+    """token, id, n (the size of its set), root and open: so many of the differences of line a from central line b that
+    lines of one b that are similar share a token, unless the roots of both are b's. open: a's root isn't b's.
 
-def _stars(rows: DataFrame) -> DataFrame:
-    """Pairs of each line with the line of the largest component of each token (of equal ones the greatest root)."""
-    sizes = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("b"))
-    best = sizes.groupBy("token").agg(F.max(F.struct("size", "root", "b")).alias("best")).select("token", "best.root", "best.b")
-    met = rows.select("token", F.col("id").alias("a"), F.col("root").alias("own")).join(best, "token").filter("own <> root")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    Sets x and y have similarity t if their differences from the set c have o in common with
+    2 o >= |x - c| + |c - x| + |y - c| + |c - y| - q (|x| + |y|), where q = (1 - t) / (1 + t). If y isn't similar to c,
+    its own differences are more than q (|y| + |c|)."""
+    q = (1 - threshold) / (1 + threshold)
+    both = stars.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    both = both.select("a", "b", "root_a", "root_b", sets("x").alias("x"), sets("y").alias("y"))
+    apart = both.select("a", "b", "root_a", (F.col("root_a") != F.col("root_b")).alias("open"), F.size("x").alias("n"), F.size("y").alias("n_b"),
+                        F.concat(F.array_sort(F.array_except("x", "y")), F.array_sort(F.array_except("y", "x"))).alias("own"))
+    d, n, n_b = F.size("own"), F.col("n"), F.col("n_b")
+    open_need = F.greatest(F.lit(1), F.ceil((d - q * (n + n_b)) / 2 - 1e-9))
+    other_need = F.floor((d + q * (n_b - n)) / 2 - 1e-9) + 1
+    first = F.least(d, F.greatest(F.lit(0), d - F.when(F.col("open"), open_need).otherwise(other_need) + 1)).cast("int")
+    rows = apart.withColumn("own", F.slice("own", F.lit(1), first))
+    rows = rows.select("a", "b", "n", "root_a", "open", F.explode_outer("own").alias("own")).filter("own is not null")
+    return rows.select(F.xxhash64("b", "own").alias("token"), F.col("a").alias("id"), "n", F.col("root_a").alias("root"), "open")
 
 
 def _all_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of lines of a token but those of one component, dealt in cells of BLOCK lines by BLOCK."""
-    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+    """All pairs of lines of a token of which one is open, but those of one component, dealt in cells of BLOCK lines by BLOCK."""
+    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), blocks).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("low"), F.greatest(F.col("block"), j).alias("high")))
-    dealt = dealt.select("token", "id", "n", "root", "block", F.explode(cells).alias("cell")).select("*", "cell.*").drop("cell")
-    left = dealt.filter("block = low").select("token", "low", "high", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
-    right = dealt.filter("block = high").select("token", "low", "high", F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"))
-    met = left.join(right, ["token", "low", "high"]).filter("root_x <> root_y and (low < high or x < y)")
-    met = met.filter(F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y"))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    dealt = dealt.select("token", "id", "n", "root", "open", "block", F.explode(cells).alias("cell")).select("*", "cell.*").drop("cell")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "root", "open")]
+    left = dealt.filter("block = low").select("token", "low", "high", *side("a"))
+    right = dealt.filter("block = high").select("token", "low", "high", *side("b"))
+    met = left.join(right, ["token", "low", "high"]).filter("root_a <> root_b and (open_a or open_b) and (low < high or id_a < id_b)")
+    met = met.filter(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
 
 def hashed(line: Column | str) -> Column:
     """The set of hashed shingles."""
-    return F.array_distinct(F.transform(shingles(line), lambda x: F.xxhash64(x)))
+    line = F.col(line) if isinstance(line, str) else line
+    places = F.when(F.char_length(line) >= WIDTH, F.sequence(F.lit(0), F.char_length(line) - WIDTH)).otherwise(F.array().cast("array<int>"))
+    # characters of 4 bytes, encoded once as the one element of an array
+    found = F.transform(F.array(F.encode(line, "UTF-32")), lambda wide: F.transform(places, lambda i: F.xxhash64(F.substring(wide, 4 * i + 1, F.lit(4 * WIDTH)))))
+    return F.array_distinct(F.get(found, F.lit(0)))
 
 
 def similar(lines: DataFrame, pairs: DataFrame, threshold: float, own: Kernel) -> DataFrame:

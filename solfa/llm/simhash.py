@@ -47,13 +47,13 @@ def fingerprint(raw: bytes, width: int = SHINGLE) -> int:
     return int((2 * ones > n) @ (np.uint64(1) << np.arange(64, dtype=np.uint64)))
 
 
-def fingerprints(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def fingerprints(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), width: int = SHINGLE) -> DataFrame:
     """keys and fp, the fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, len(keys)):
-                values = np.array([fingerprint(x) for x in text_bytes(part.column(len(keys)))], np.uint64)
+                values = np.array([fingerprint(x, width) for x in text_bytes(part.column(len(keys)))], np.uint64)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], pa.array(values.view(np.int64))], [*keys, "fp"])
 
     return df.select(*keys, text).mapInArrow(run, key_schema(df, keys) + ", fp long")
