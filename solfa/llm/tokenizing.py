@@ -37,12 +37,12 @@ _CASED = regex.compile("<\\||\u03a3")
 
 class WordIds:
     """Ids of texts for a lower-casing vocabulary that drops white space: no token crosses it, so each run of other
-    characters is encoded once by the library and kept, in two generations of max_entries.
+    characters is encoded once by the library and kept, in two generations of max_entries (some 25 MB each).
 
     Words of letters only are one pre-token each, so many of them are encoded together and cut after each token that
     ends a word; ASCII marks after letters are a pre-token of their own."""
 
-    def __init__(self, path: str, max_entries: int = 400_000, max_chars: int = 64) -> None:
+    def __init__(self, path: str, max_entries: int = 120_000, max_chars: int = 64) -> None:
         self.path, self.max_entries, self.max_chars = path, max_entries, max_chars
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
