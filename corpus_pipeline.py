@@ -51,14 +51,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*COLUMNS).unionByName(docs.filter(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
-def word_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of over 50 words that repeat."""
-    return _documents(remove_repeats(docs, WORDS).withColumn("text", kept_text(F.col("kept"))))
-
-
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 400 bytes that repeat, which can have fewer words."""
-    return _documents(remove_repeats(docs).withColumn("text", kept_text(F.col("kept"))))
+    """Documents without the passages of over 50 words that repeat, whatever their bytes."""
+    return _documents(remove_repeats(docs, WORDS).withColumn("text", kept_text(F.col("kept"))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +67,6 @@ STAGES = [
     ("language_id", language_id),
     ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
-    ("word_passages", word_passages),
     ("suffix_dedup", suffix_dedup),
     ("packing", packing),
 ]
