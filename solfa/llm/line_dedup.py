@@ -8,12 +8,11 @@ of similar length share a way. Scattered edits break more of the wider shingles
 
 Lines that share a key are compared by exact Jaccard similarity over all shingles: all pairs where up to CROWD lines
 share it; beyond, each with the most central line of the key. A crowded key is settled once all its lines are in the
-central line's component. Of any other, what a line differs by from the central line (shingles that it has more or
-lacks) tells which pairs are left: lines of which one isn't linked to the central line can be similar only if they
-share so many of these differences that prefixes of both lists, new shingles first, have one in common. Lines that share
-a difference are a new group, and so on; groups that are crowded after LEVELS rounds are compared in cells of BLOCK
-lines by BLOCK. So no pair that shares a key is dropped, and few pairs are worked out in large families of near copies.
-Links then go to distributed union-find.
+central line's component. Of any other, each line is described by its differences from the central line (shingles that
+it has more or lacks), which tell the similarity of any two of them exactly. All its lines are compared with up to
+CENTRES of those that are left, then all pairs of different components of which one is left, dealt in cells of BLOCK
+lines by BLOCK: a few machine words of each (bits of its differences) refute most pairs, and only links come out.
+So no pair that shares a key is dropped. Links then go to distributed union-find.
 
 Only numbers are shuffled to find candidates. Texts of candidate lines are picked by a sieve of fixed size before
 they are shuffled to be compared, and each document's text moves once, to meet its kept positions.
@@ -38,7 +37,7 @@ from .shared import documents, packed, written
 WIDTH, WORD_WIDTH, THRESHOLD = 8, 12, 0.8
 BANDS, WORD_BANDS, ROWS = 8, 14, 3
 FEW, MANY = 8, 16
-CROWD, LEVELS, BLOCK = 32, 4, 1024
+CROWD, CENTRES, BLOCK = 32, 16, 1024
 SIEVE_BITS = 1 << 22
 Kernel = Callable[..., Column | DataFrame]
 _seed = random.Random(11)
@@ -51,20 +50,22 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return rows.filter(F.trim("line") != "").withColumn("id", F.xxhash64("line"))
 
 
+def shingles(line: Column | str) -> Column:
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1))
+
+
+def word_shingles(line: Column | str) -> Column:
+    """Shingles of WORD_WIDTH that start a word."""
+    return F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(f"(?s)\\s(?=(\\S.{{{WORD_WIDTH - 1}}}))"), F.lit(1))
+
+
 def signed(lines: DataFrame) -> DataFrame:
     """id, way and keys (an array of the keys of the way's bands) of each different line."""
-    n, size = F.size(F.array_distinct(F.split("line", " "))), F.char_length("line")
-    # places of shingles: from 0 up for all of them, from -1 down for those of words
-    every = F.when((n <= MANY) & (size >= WIDTH), F.sequence(F.lit(0), size - WIDTH))
-    words = F.when((n >= FEW) & (size >= WORD_WIDTH), F.sequence(F.lit(-1), WORD_WIDTH - size - 1, F.lit(-1)))
-    none = F.array().cast("array<int>")
-    places = lines.select("id", F.encode("line", "UTF-32").alias("wide"), F.concat(F.coalesce(every, none), F.coalesce(words, none)).alias("at"))
-    cut = lambda at, width: F.substring("wide", 4 * at + 1, F.lit(4 * width))  # noqa: E731  characters of 4 bytes
-    own, space = -1 - F.col("at"), F.lit(" ".encode("utf-32-be"))
-    starts = (cut(own, 1) != space) & ((own == 0) | (cut(own - 1, 1) == space))
-    found = places.select("id", "wide", F.explode_outer("at").alias("at")).filter((F.col("at") >= 0) | starts)
-    way = F.when(F.col("at") < 0, 0).otherwise(1)
-    hashed = found.select("id", way.alias("way"), F.when(F.col("at") < 0, F.xxhash64(cut(own, WORD_WIDTH))).otherwise(F.xxhash64(cut(F.col("at"), WIDTH))).alias("h"))
+    n, none = F.size(F.array_distinct(F.split("line", " "))), F.array().cast("array<string>")
+    sets = F.concat(F.when(n >= FEW, word_shingles("line")).otherwise(none), F.when(n <= MANY, shingles("line")).otherwise(none))
+    # outer, or Spark works the arrays out once more to leave out empty ones; the width of a shingle tells its way
+    cut = lines.select("id", F.explode_outer(sets).alias("s")).filter("s is not null")
+    hashed = cut.select("id", F.when(F.char_length("s") == WORD_WIDTH, 0).otherwise(1).alias("way"), F.xxhash64("s").alias("h"))
     minima = [F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(s)), 32).cast("int")).alias(f"m{i}") for i, s in enumerate(SEEDS)]
     keys = [F.xxhash64("way", F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(WORD_BANDS)]
     band = F.when(F.col("way") == 0, F.array(*keys)).otherwise(F.array(*keys[:BANDS]))
@@ -122,76 +123,65 @@ def _crowded_links(lines: DataFrame, stars: DataFrame, near: DataFrame, threshol
     """a, b: links that the lines of stars (line a, central line b, compared) need besides near to be linked as all
     pairs of the lines of one key would."""
     crowd = written(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "crowd")
-    texts = lines.filter(sieve(crowd, "id", F.col("id"))).groupBy("id").agg(F.min("line").alias("line")).join(crowd, "id", "left_semi")
-    texts = written(texts, "texts")
     ends = [crowd.select(F.col("id").alias(x)) for x in ("a", "b")]
-    known = near.join(ends[0], "a", "left_semi").join(ends[1], "b", "left_semi").select("a", "b")
-    out = None
-    for level in range(1, LEVELS + 1):
-        known = written(known, "known")
-        placed = crowd.join(components(known), F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
-        placed = written(placed, "placed")
-        ends = [placed.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b")]
-        own = written(stars.join(ends[0], "a").join(ends[1], "b"), "own")
-        unsettled = own.filter("root_a <> root_b").select("b").distinct()
-        tokens = written(_differences(texts, own.join(unsettled, "b", "left_semi"), threshold, sets), "tokens")
-        counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min("root").alias("low"), F.max("root").alias("high"))
-        groups = written(tokens.join(counts.filter("low <> high").select("token", "count"), "token"), "groups")
-        if groups.isEmpty():
-            return near.limit(0) if out is None else out
-        last = level == LEVELS
-        small, large = groups.filter(F.lit(last) | (F.col("count") <= CROWD)), groups.filter(~F.lit(last) & (F.col("count") > CROWD))
-        stars = written(_stars(large.withColumnRenamed("token", "key")), "stars")
-        apart = stars.join(ends[0], "a").join(ends[1], "b").filter("root_a <> root_b")
-        pairs = _all_pairs(small, threshold).unionByName(_ordered(apart)).distinct()
-        found = written(similar(texts, written(pairs, "pairs"), threshold, sets), "near")
-        out, known = found if out is None else out.unionByName(found), known.unionByName(found)
-        if last or stars.isEmpty():
-            return out
-
-
-def _differences(texts: DataFrame, stars: DataFrame, threshold: float, sets: Kernel) -> DataFrame:
-    """token, id, n (the size of its set), root and open: so many of the differences of line a from central line b that
-    lines of one b that are similar share a token, unless the roots of both are b's. open: a's root isn't b's.
-
-    Sets x and y have similarity t if their differences from the set c have o in common with
-    2 o >= |x - c| + |c - x| + |y - c| + |c - y| - q (|x| + |y|), where q = (1 - t) / (1 + t). If y isn't similar to c,
-    its own differences are more than q (|y| + |c|)."""
-    q = (1 - threshold) / (1 + threshold)
-    both = stars.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    both = both.select("a", "b", "root_a", "root_b", sets("x").alias("x"), sets("y").alias("y"))
-    apart = both.select("a", "b", "root_a", (F.col("root_a") != F.col("root_b")).alias("open"), F.size("x").alias("n"), F.size("y").alias("n_b"),
-                        F.concat(F.array_sort(F.array_except("x", "y")), F.array_sort(F.array_except("y", "x"))).alias("own"))
-    d, n, n_b = F.size("own"), F.col("n"), F.col("n_b")
-    open_need = F.greatest(F.lit(1), F.ceil((d - q * (n + n_b)) / 2 - 1e-9))
-    other_need = F.floor((d + q * (n_b - n)) / 2 - 1e-9) + 1
-    first = F.least(d, F.greatest(F.lit(0), d - F.when(F.col("open"), open_need).otherwise(other_need) + 1)).cast("int")
-    rows = apart.withColumn("own", F.slice("own", F.lit(1), first))
-    rows = rows.select("a", "b", "n", "root_a", "open", F.explode_outer("own").alias("own")).filter("own is not null")
-    return rows.select(F.xxhash64("b", "own").alias("token"), F.col("a").alias("id"), "n", F.col("root_a").alias("root"), "open")
-
-
-def _all_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of lines of a token of which one is open, but those of one component, dealt in cells of BLOCK lines by BLOCK."""
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), blocks).cast("int"))
+    known = written(near.join(ends[0], "a", "left_semi").join(ends[1], "b", "left_semi").select("a", "b"), "known")
+    placed = written(_placed(crowd, known), "placed")
+    roots = [placed.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b")]
+    own = written(stars.join(roots[0], "a").join(roots[1], "b"), "own")
+    unsettled = own.filter("root_a <> root_b").select("b").distinct()
+    held = written(own.join(unsettled, "b", "left_semi").select("a", "b"), "held")
+    if held.isEmpty():
+        return near.limit(0)
+    wanted = written(held.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    texts = lines.filter(sieve(wanted, "id", F.col("id"))).groupBy("id").agg(F.min("line").alias("line")).join(wanted, "id", "left_semi")
+    apart = written(_differences(written(texts, "texts"), held, sets), "apart")
+    rows = apart.join(placed, "id").join(roots[1], F.col("centre") == F.col("b")).withColumn("open", F.col("root") != F.col("root_b")).drop("b", "root_b")
+    # some of the lines that are left, as centres of their own
+    left = rows.filter("open").withColumn("place", F.pmod(F.xxhash64("id", "centre"), F.lit(CENTRES)))
+    picked = left.groupBy("centre", "place").agg(F.min_by(F.struct(*(c for c in rows.columns if c != "centre")), "id").alias("pick"))
+    first = written(_compared(rows, picked.select("centre", "pick.*"), ["centre"], threshold), "near")
+    placed = written(_placed(crowd, written(known.unionByName(first), "known")), "placed")
+    roots = placed.select(F.col("id").alias("b"), F.col("root").alias("root_b"))
+    rows = apart.join(placed, "id").join(roots, F.col("centre") == F.col("b")).withColumn("open", F.col("root") != F.col("root_b")).drop("b", "root_b")
+    sizes = rows.groupBy("centre").agg(F.count(F.lit(1)).alias("size")).join(rows.filter("open").select("centre").distinct(), "centre", "left_semi")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = written(rows, "rows").join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), blocks).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("low"), F.greatest(F.col("block"), j).alias("high")))
-    dealt = dealt.select("token", "id", "n", "root", "open", "block", F.explode(cells).alias("cell")).select("*", "cell.*").drop("cell")
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "root", "open")]
-    left = dealt.filter("block = low").select("token", "low", "high", *side("a"))
-    right = dealt.filter("block = high").select("token", "low", "high", *side("b"))
-    met = left.join(right, ["token", "low", "high"]).filter("root_a <> root_b and (open_a or open_b) and (low < high or id_a < id_b)")
-    met = met.filter(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    dealt = dealt.select(*rows.columns, "block", F.explode_outer(cells).alias("cell")).select("*", "cell.low", "cell.high").drop("cell")
+    sides = dealt.filter("block = low").drop("block"), dealt.filter("block = high").drop("block")
+    return first.unionByName(written(_compared(*sides, ["centre", "low", "high"], threshold), "near"))
+
+
+def _placed(crowd: DataFrame, links: DataFrame) -> DataFrame:
+    """id and root of the lines of crowd."""
+    return crowd.join(components(links), F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
+def _differences(texts: DataFrame, stars: DataFrame, sets: Kernel) -> DataFrame:
+    """centre, id, n (the size of its set), own (its differences from the centre's set) and bits of them, of each line a
+    and of the central line b itself."""
+    stars = stars.unionByName(stars.select(F.col("b").alias("a"), "b").distinct())
+    both = stars.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    both = both.select("a", "b", sets("x").alias("x"), sets("y").alias("y"))
+    own = both.select(F.col("b").alias("centre"), F.col("a").alias("id"), F.size("x").alias("n"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("own"))
+    bit = lambda i: F.aggregate("own", F.lit(0).cast("long"), lambda all_, t: F.when(F.pmod(t, F.lit(256)).between(64 * i, 64 * i + 63), all_.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int")))).otherwise(all_))
+    return own.select("*", *(bit(i).alias(f"bits{i}") for i in range(4)))
+
+
+def _compared(left: DataFrame, right: DataFrame, on: list[str], threshold: float) -> DataFrame:
+    """a, b: pairs of rows of _differences() with root and open that are similar, of different components, one open."""
+    x, y = left.select(*on, *(F.col(c).alias(f"{c}_x") for c in left.columns if c not in on)), right.select(*on, *(F.col(c).alias(f"{c}_y") for c in right.columns if c not in on))
+    total, apart = F.col("n_x") + F.col("n_y"), F.size("own_x") + F.size("own_y")
+    lacks = lambda p, q: sum((F.bit_count(F.col(f"bits{i}_{p}").bitwiseAND(F.bitwise_not(f"bits{i}_{q}"))) for i in range(4)), F.lit(0))
+    similar_ = lambda common: (total - apart + 2 * common) / 2 >= threshold * (total - (total - apart + 2 * common) / 2)
+    likely = similar_(F.least(F.size("own_x") - lacks("x", "y"), F.size("own_y") - lacks("y", "x")))
+    met = x.join(y, on).filter((F.col("root_x") != F.col("root_y")) & (F.col("open_x") | F.col("open_y")) & likely & similar_(F.size(F.array_intersect("own_x", "own_y"))))
+    return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def hashed(line: Column | str) -> Column:
     """The set of hashed shingles."""
-    line = F.col(line) if isinstance(line, str) else line
-    places = F.when(F.char_length(line) >= WIDTH, F.sequence(F.lit(0), F.char_length(line) - WIDTH)).otherwise(F.array().cast("array<int>"))
-    # characters of 4 bytes, encoded once as the one element of an array
-    found = F.transform(F.array(F.encode(line, "UTF-32")), lambda wide: F.transform(places, lambda i: F.xxhash64(F.substring(wide, 4 * i + 1, F.lit(4 * WIDTH)))))
-    return F.array_distinct(F.get(found, F.lit(0)))
+    return F.array_distinct(F.transform(shingles(line), lambda x: F.xxhash64(x)))
 
 
 def similar(lines: DataFrame, pairs: DataFrame, threshold: float, own: Kernel) -> DataFrame:
