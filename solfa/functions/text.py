@@ -50,7 +50,10 @@ def title_case(value: Column) -> Column:
         before = lambda i: F.element_at(letters, F.greatest(i, F.lit(1)))
         return F.transform(letters, lambda c, i: F.when((i > 0) & before(i).rlike("[\\p{Lu}\\p{Ll}\\p{Lt}]"), F.lower(c)).otherwise(F.upper(c)))
 
-    return F.array_join(let(F.split(value, ""), cased), "")
+    # ASCII: a marked space behind each character without case, which initcap starts a word after
+    marked = F.initcap(F.regexp_replace(value, "[^A-Za-z]", "$0\u0001 "))
+    plain = F.replace(marked, F.lit("\u0001 "), F.lit(""))
+    return F.when(value.rlike("[^\\x02-\\x7F]"), F.array_join(let(F.split(value, ""), cased), "")).otherwise(plain)
 
 
 def name_problem(part: Column) -> Column:

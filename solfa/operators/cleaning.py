@@ -5,6 +5,8 @@ required columns, constants, lead artist; every step is a Column expression, so
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +36,19 @@ def lead_artist(value: Column | None, credits: list[Column]) -> Column:
 def clean_dataset(raw: DataFrame, mapping: dict[str, list[str]], constants: dict[str, str] | None = None, as_of: int = 2026, ascii_only: bool = False) -> DataFrame:
     """row_index, values, issues of raw (row_index and text columns) by mapping (canonical column -> source columns).
     Source columns that raw lacks count as blank. constants fill blank cells."""
+    present = tuple((c, tuple((s, s in raw.columns) for s in sources)) for c, sources in mapping.items())
+    cells, out, lead, final = _compiled(raw.sparkSession.sparkContext.applicationId, present, tuple((constants or {}).items()), as_of, ascii_only)
+    rows = raw.select("row_index", *cells).select("row_index", *out)
+    return (rows.select("*", *lead) if lead else rows).select("row_index", *final)
+
+
+@lru_cache(maxsize=16)
+def _compiled(application: str, mapping: tuple, constants: tuple, as_of: int, ascii_only: bool) -> tuple[list[Column], ...]:
+    """The columns of each step, which name their inputs only. They are thousands of small expressions, so a session
+    builds those of a mapping once."""
     options = {"as_of": as_of, "ascii_only": ascii_only}
-    found = {c: [F.coalesce(F.col(f"`{s}`"), F.lit("")) if s in raw.columns else F.lit("") for s in sources] for c, sources in mapping.items()}
-    cells = raw.select("row_index", *(clean_value(c, raws, **options).alias(f"c{i}") for i, (c, raws) in enumerate(found.items())))
+    found = {c: [F.coalesce(F.col(f"`{s}`"), F.lit("")) if held else F.lit("") for s, held in sources] for c, sources in mapping}
+    cells = [clean_value(c, raws, **options).alias(f"c{i}") for i, (c, raws) in enumerate(found.items())]
     value: dict[str, Column] = {c: F.col(f"c{i}.value") for i, c in enumerate(found)}
     issues: list[Column] = []
     for i, c in enumerate(found):
@@ -44,27 +56,26 @@ def clean_dataset(raw: DataFrame, mapping: dict[str, list[str]], constants: dict
         issues.append(F.when(cell["action"] != "ok", issue(c, cell["action"], cell["tag"], cell["message"], cell["value"], cell["original"], cell["cosmetic"])))
         if c in REQUIRED:
             issues.append(F.when(cell["value"] == "", issue(c, "error", "missing_required", f"{c} is required but empty.", F.lit(""), cell["original"])))
-    for c, constant in (constants or {}).items():
+    for c, constant in constants:
         filled = clean_cell(c, F.lit(constant), **options)
         blank = value[c] == "" if c in value else F.lit(True)
         fill = issue(c, "fixed", "filled_constant", "Filled this blank cell with the column value you set.", filled["value"], F.lit(""))
         wrong = issue(c, "error", filled["tag"], filled["message"], filled["value"], filled["original"], filled["cosmetic"])
         issues.append(F.when(blank, F.when(filled["action"] == "error", wrong).when(filled["value"] != "", fill)))
         value[c] = F.when(blank, filled["value"]).otherwise(value[c]) if c in value else filled["value"]
-    out = cells.select("row_index", F.filter(F.array(*issues), lambda x: x.isNotNull()).alias("issues"), *(v.alias(c) for c, v in value.items()))
-    values = {c: F.col(f"`{c}`") for c in value}
+    out = [F.filter(F.array(*issues), lambda x: x.isNotNull()).alias("issues"), *(v.alias(c) for c, v in value.items())]
+    values, lead, last = {c: F.col(f"`{c}`") for c in value}, [], F.col("issues")
     if any(c in values for c in (*CREDITS, LEAD)):
-        derived = lead_artist(values.get(LEAD), [values[c] for c in CREDITS if c in values])
-        out = out.withColumn("_lead", derived)
+        lead = [lead_artist(values.get(LEAD), [values[c] for c in CREDITS if c in values]).alias("_lead")]
         had = values.get(LEAD, F.lit(""))
         blocked = F.exists("issues", lambda x: (x["column"] == LEAD) & (x["action"] == "error"))
         fill = ~blocked & (F.col("_lead") != had)
         others = F.filter("issues", lambda x: ~((x["column"] == LEAD) & (x["action"] == "fixed")))
         note = issue(LEAD, "fixed", "derived_lead_artist", "Filled from Singer / Composer / Lyricist (duplicates removed).", F.col("_lead"), had)
-        out = out.withColumn("issues", F.when(fill, F.array_append(others, note)).otherwise(F.col("issues")))
+        last = F.when(fill, F.array_append(others, note)).otherwise(F.col("issues"))
         values[LEAD] = F.when(fill, F.col("_lead")).otherwise(had)
     pairs = F.create_map(*(x for c, v in values.items() for x in (F.lit(c), v)))
-    return out.select("row_index", pairs.alias("values"), "issues")
+    return cells, out, lead, [pairs.alias("values"), last.alias("issues")]
 
 
 def status() -> Column:
@@ -73,7 +84,7 @@ def status() -> Column:
 
 def issue_histogram(cleaned: DataFrame) -> DataFrame:
     """action, tag and the number of issues; a fix without a tag counts as trimmed."""
-    rows = cleaned.select(F.explode("issues").alias("i")).select("i.action", F.coalesce("i.tag", F.lit("trimmed")).alias("tag"))
+    rows = cleaned.select(F.explode_outer("issues").alias("i")).filter("i is not null").select("i.action", F.coalesce("i.tag", F.lit("trimmed")).alias("tag"))
     return rows.groupBy("action", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -155,6 +155,17 @@ def wide(rows: DataFrame, work_columns: list[str], fields: dict[str, str]) -> Da
     return works.join(issues(rows), "work_key")
 
 
+def blocks(rows: DataFrame, work_columns: list[str], fields: list[str]) -> DataFrame:
+    """One row a work: work_columns, issue, and parties: for each role group that it has, its parties' fields in order.
+    How many parties some other work has doesn't matter; wide() makes columns of them for a sheet."""
+    own = slotted(rows).groupBy("work_key", "grp").agg(
+        F.min_by(F.struct(*work_columns), "seq").alias("work"), F.min("seq").alias("seq"),
+        F.transform(F.sort_array(F.collect_list(F.struct("slot", F.struct(*fields).alias("party")))), lambda x: x["party"]).alias("parties"),
+    )
+    works = own.groupBy("work_key").agg(F.min_by("work", "seq").alias("work"), F.map_from_entries(F.collect_list(F.struct("grp", "parties"))).alias("parties"))
+    return works.select("work_key", "work.*", "parties").join(issues(rows), "work_key")
+
+
 def long_again(wide_rows: DataFrame, fields: dict[str, str], groups: dict[str, int]) -> DataFrame:
     """work_key, grp, slot and fields back from wide rows, to check that nothing moved."""
     places = [(g, i) for g in groups for i in range(1, groups[g] + 1)]

@@ -8,10 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed values of the output format.
-PUBLISHER = {"pub_number": "P301FF", "pub_name": "ULTRA MEDIA AND ENTERTAINMENT PVT LTD", "pub_ipi": "445815053", "collection_share": "100"}
-DEFAULT_LABEL = "Ultra Media And Entertainment Pvt. Ltd."
-HEAD = ("title", "aka_title", "aka_type", *PUBLISHER, "rec_title", "rec_artist", "rec_isrc", "rec_label")
+#: Columns that ride on a work's first writer.
+HEAD = ("title", "aka_title", "aka_type", "pub_number", "pub_name", "pub_ipi", "collection_share", "rec_title", "rec_artist", "rec_isrc", "rec_label")
 LIMIT = 299
 #: Header spellings, letters and digits only.
 WRITERS = {"C": r"(COMPOSER|COMPOSERNAME|MUSICCOMPOSER|MUSICDIRECTOR)\d*", "A": r"(LYRICIST|LYRICISTNAME|LYRICWRITER|LYRICS|AUTHOR|WRITER)\d*"}
@@ -53,7 +51,7 @@ def writer_rows(works: DataFrame, writers: list[tuple[str, str, str | None]], he
     """work_seq, writer_seq, HEAD (on the first writer only), last, first, ipi, role.
 
     works: work_seq and text columns. writers: (role, name column, identifier column), composers first. One person in
-    both roles of a work is one writer with role CA; the first identifier stays."""
+    both roles of a work is one writer with role CA; its first mention keeps its identifier, or takes that of the other role."""
     entries = []
     for place, (role, name, ipi) in enumerate(writers):
         plain, stuck = without_id(F.col(name))
@@ -65,10 +63,12 @@ def writer_rows(works: DataFrame, writers: list[tuple[str, str, str | None]], he
     person = Window.partitionBy("work_seq", "person").orderBy("place")
     every = person.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     both = F.size(F.collect_set("role").over(every)) > 1
-    given = F.first(F.when(F.col("ipi") != "", F.col("ipi")), ignorenulls=True).over(every)
     lead = F.first("role").over(every)
     # the first mention takes in those of the other role; more mentions in its own role stay rows
-    rows = rows.withColumn("both", both).withColumn("given", given).withColumn("nth", F.row_number().over(person)).withColumn("lead", lead)
+    rows = rows.withColumn("both", both).withColumn("nth", F.row_number().over(person)).withColumn("lead", lead)
+    # its own identifier, else that of a mention which it takes in
+    own = (F.col("ipi") != "") & ((F.col("nth") == 1) | (F.col("role") != F.col("lead")))
+    rows = rows.withColumn("given", F.first(F.when(own, F.col("ipi")), ignorenulls=True).over(every))
     rows = rows.filter(~F.col("both") | (F.col("nth") == 1) | (F.col("role") == F.col("lead")))
     merged = F.col("both") & (F.col("nth") == 1)
     rows = rows.withColumn("ipi", F.when(merged, F.coalesce("given", F.lit(""))).otherwise(F.col("ipi"))).withColumn("role", F.when(merged, "CA").otherwise(F.col("role")))

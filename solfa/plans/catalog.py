@@ -12,7 +12,8 @@ from .fixtures import CATALOG_MAPPING, RAW_CATALOG, spark_table
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark_table(spark, sf_dir, RAW_CATALOG)
+    """The sheet. It is one small file that Spark reads in one task, and its cells are dear to clean: its rows go to all cores."""
+    return spark_table(spark, sf_dir, RAW_CATALOG).repartition(max(8, spark.sparkContext.defaultParallelism))
 
 
 def cleaned(spark: SparkSession, sf_dir: str, constants: dict[str, str] | None = None) -> DataFrame:
@@ -43,11 +44,13 @@ def _cell_oracle(column: str, source: str) -> str:
 
 def clean_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cleaned value in long form."""
-    return cleaned(spark, sf_dir).select("row_index", F.explode("values").alias("col", "value"))
+    named = [x for c in (*CATALOG_MAPPING, cleaning.LEAD) for x in (F.lit(c), F.col("values")[c])]
+    return cleaned(spark, sf_dir).select("row_index", F.stack(F.lit(len(named) // 2), *named).alias("col", "value"))
 
 
 def clean_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cleaned(spark, sf_dir).select("row_index", F.explode("issues").alias("i"))
+    # outer: for an inner one Spark adds a test of the issues before it, with every cleaner in it once more
+    rows = cleaned(spark, sf_dir).select("row_index", F.explode_outer("issues").alias("i")).filter("i is not null")
     return rows.select("row_index", F.col("i.column").alias("col"), "i.action", "i.tag", "i.value", "i.original", "i.cosmetic")
 
 

@@ -56,7 +56,7 @@ SELECT seq, CASE WHEN l_orderkey % 97 = 0 THEN '  ' ELSE 'W' || CAST(l_orderkey
   CASE WHEN l_linenumber % 2 = 0 THEN upper(p_type) || ', ' || upper(p_name) ELSE s_name END AS name,
   CASE WHEN l_suppkey % 50 = 0 THEN '' ELSE CASE l_linenumber WHEN 1 THEN 'C' WHEN 2 THEN 'CA' WHEN 3 THEN 'A' WHEN 4 THEN 'E' WHEN 5 THEN 'E' WHEN 6 THEN 'SE' ELSE 'AR' END END AS role,
   CAST(l_suppkey AS STRING) AS ipi, '052:' || n_name AS society
-FROM (SELECT *, CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS seq FROM {lineitem}) l
+FROM (SELECT *, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq FROM {lineitem}) l
 JOIN {part} ON p_partkey = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey JOIN {nation} ON n_nationkey = s_nationkey
 """
 
@@ -65,7 +65,8 @@ RAW_WORKS = """
 SELECT o_orderkey AS work_seq, 'song ' || CAST(o_orderkey AS STRING) AS title, CASE WHEN o_orderkey % 3 = 0 THEN 'aka ' || o_orderpriority ELSE '' END AS alt_title,
   CASE WHEN o_orderkey % 5 = 0 THEN 'Traditional - 39657154' WHEN o_orderkey % 11 = 0 THEN '' ELSE c_mktsegment || ' ' || o_orderstatus || ' Khan' END AS composer_1,
   CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS STRING) ELSE '' END AS composer_1_cae,
-  CASE WHEN o_orderkey % 4 = 0 THEN 'Mono' || CAST(o_custkey % 7 AS STRING) ELSE '' END AS composer_2, '' AS composer_2_cae,
+  CASE WHEN o_orderkey % 9 = 0 THEN c_mktsegment || ' ' || o_orderstatus || ' Khan' WHEN o_orderkey % 4 = 0 THEN 'Mono' || CAST(o_custkey % 7 AS STRING) ELSE '' END AS composer_2,
+  CASE WHEN o_orderkey % 9 = 0 THEN '7' || CAST(o_custkey AS STRING) ELSE '' END AS composer_2_cae,
   CASE WHEN o_orderkey % 11 = 0 THEN '' WHEN o_orderkey % 3 = 0 THEN lower(c_mktsegment) || '  ' || o_orderstatus || ' khan' ELSE 'Lyric Writer ' || CAST(o_custkey % 13 AS STRING) END AS lyricist_1,
   CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_custkey AS STRING) ELSE CAST(o_custkey + 1 AS STRING) END AS lyricist_1_cae,
   c_name AS singer_1, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE c_mktsegment END AS singer_2, 'INA01' || lpad(CAST(o_orderkey AS STRING), 7, '0') AS isrc,
