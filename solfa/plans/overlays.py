@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import headers
 from ..operators import cleaning, master, overlay, review
+from ..sources.sheets import scan_csv
+from ..sources.storage import shared_folder
 from . import duck_cells as duck
 from .catalog import DATASET, catalog, cleaned
 from .entities import UPSERT, _master, column_profile, silver
 from .entities import ORACLES as ENTITY_ORACLES
-from .fixtures import RAW_CATALOG, RAW_PARTIES, duck_table, spark_table
+from .fixtures import RAW_CATALOG, RAW_PACKED, RAW_PARTIES, duck_table, spark_table
 
 #: Corrections by hand and by merges, some of rows that don't exist, some of one cell twice.
 EDITS = """SELECT p_partkey AS row_index, 'Language' AS col, CASE WHEN p_partkey % 10 = 0 THEN 'Hindi' ELSE p_type END AS value, p_partkey * 4 AS seq FROM {part} WHERE p_partkey % 5 = 0
@@ -147,7 +151,15 @@ def text_types(spark, sf_dir):
     return spark_table(spark, sf_dir, _TYPED).select("id", "value", headers.text_type(F.col("value")).alias("kind"))
 
 
-_NAMES = ["overlay_corrections", "overlay_values", "overlay_issues", "overlay_signature", "values_fingerprint", "drop_restore", "accept_rows", "revert_rows", "bulk_fix",
+def csv_scan(spark, sf_dir):
+    """The packed sheet, written as CSV and read back as text."""
+    path = f"{shared_folder(spark)}/sheet-{uuid.uuid4().hex}"
+    rows = spark_table(spark, sf_dir, RAW_PACKED).coalesce(1).sortWithinPartitions("row_index")
+    rows.drop("row_index").write.csv(path, header=True, escape='"', quoteAll=True)
+    return scan_csv(spark, path).select("row_index", "title", "credits", "seconds")
+
+
+_NAMES = ["csv_scan", "overlay_corrections", "overlay_values", "overlay_issues", "overlay_signature", "values_fingerprint", "drop_restore", "accept_rows", "revert_rows", "bulk_fix",
     "constant_fill", "commit_clean", "worst_columns", "master_page", "activity_of_user", "file_owners", "first_appearance", "header_tokens", "type_hits", "text_types"]
 QUERIES = {name: globals()[name] for name in _NAMES}
 _W = f"WITH {DATASET}"
@@ -170,6 +182,7 @@ _HITS = {
 }
 _HIT_ROWS = " UNION ALL ".join(f"SELECT row_index, '{c}' AS col, trim({c}) AS v FROM ({duck_table(RAW_CATALOG)})" for c in _SOURCES)
 ORACLES = {
+    "csv_scan": f"SELECT row_number() OVER (ORDER BY row_index) - 1 AS row_index, title, credits, seconds FROM ({duck_table(RAW_PACKED)})",
     "overlay_corrections": f"{_W}, {LOG} SELECT * FROM corr",
     "overlay_values": f"{_W}, {LOG} SELECT * FROM fin WHERE is_merge IS NOT NULL",
     "overlay_issues": f"""{_W}, {LOG}, ch AS (SELECT * FROM fin WHERE is_merge IS NOT NULL AND value <> was)
