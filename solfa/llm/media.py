@@ -25,6 +25,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .shared import documents, key_schema, parts, text_bytes
 
@@ -394,7 +395,7 @@ def store(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)
 
 
 def read(df: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keys, and of each file in the column media: payload, tensor (bytes, row-major), height, width."""
+    """keys, and of each file in the column media: payload, tensor (bytes, row-major), height, width and feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,34 +404,23 @@ def read(df: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
                 for media in part.column(len(keys)).to_pylist():
                     planes, factors, width, height, length = coefficients(media)
                     pixels = b"".join(x.tobytes() for x in rgb_strips(planes, factors, width, height))
-                    rows.append((payload_of(planes, length), pixels, height, width))
-                kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], [*keys, "payload", "tensor", "height", "width"])
+                    rows.append((payload_of(planes, length), pixels, height, width, feature(planes, factors, width, height)))
+                kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], [*keys, "payload", "tensor", "height", "width", "feature"])
 
-    return df.select(*keys, "media").mapInArrow(run, key_schema(df, keys) + ", payload binary, tensor binary, height int, width int")
-
-
-DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return df.select(*keys, "media").mapInArrow(run, key_schema(df, keys) + ", payload binary, tensor binary, height int, width int, feature string")
 
 
 def digests(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keys and DIGESTS: each text stored, read back and turned into features in one pass, so that neither files
-    nor tensors leave the task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in parts(batch, len(keys)):
-                rows = []
-                for raw in text_bytes(part.column(len(keys))):
-                    media = encode(padded_payload(raw))
-                    planes, factors, width, height, length = coefficients(media)
-                    payload = payload_of(planes, length)
-                    rows.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(planes, factors, width, height)))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                names = [x.split()[0] for x in DIGESTS.split(", ")]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], [*keys, *names])
-
-    return df.select(*keys, text).mapInArrow(run, f"{key_schema(df, keys)}, {DIGESTS}")
+    """keys, and digests of each text's payload, file and tensor: the files are a column of their own, read back from it."""
+    named = df.select(*keys, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text)
+    files = store(named, text, (*keys, "n_bytes"))
+    files = files.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    back = read(files, (*keys, "n_bytes", "media_bytes", "media_sha256"))
+    return back.select(
+        *keys, "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature",
+    )
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
