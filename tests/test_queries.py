@@ -17,5 +17,5 @@ def test_every_twin_has_a_query():
 
 def test_entry(spark):
     rows = __spark_entry__.entry(spark)
-    assert rows.count() >= 0
+    assert {"action", "tag", "n"} == set(rows.columns) and rows.count() > 10
     assert len(set(rows.columns)) == len(rows.columns)
