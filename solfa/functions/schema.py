@@ -57,6 +57,9 @@ DEDUP_FIELDS = ("ISRC", "UPC", "Label", "Album Name", "Track Name", "Singer", "C
 OWNERSHIP = ("Label", "Publisher", "Distributor")
 IDENTITY = tuple(c for c in COLUMNS if c not in ("Record #", *OWNERSHIP))
 CREDITS = ("Singer", "Composer", "Lyricist")
+#: Columns that the short export leaves out; the long one has all.
+MEDIA_PATHS = ("JPG folder (path)", "LRC File (path)", "Lyrical Video (path)")
+PRESETS = {"PDL": [c for c in COLUMNS if c not in MEDIA_PATHS], "SVF": COLUMNS}
 SEPARATOR = " | "
 FIRST_YEAR, LONGEST_SECONDS = 1950, 36_000
 

@@ -102,3 +102,14 @@ def parts(rows: DataFrame, file: str = "file", limit: int = LIMIT) -> DataFrame:
         return pdf[[file, "work_seq"]].assign(part=paginate(pdf["n"].tolist(), limit))
 
     return sizes.groupBy(file).applyInPandas(run, f"`{file}` {kind[file]}, work_seq {kind['work_seq']}, part int")
+
+
+def counted(works: DataFrame, writers: list[tuple[str, str, str | None]], rows: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """A row for each work, to check rows (writer_rows of works) against: cells (filled writer cells), n (rows), merged (of
+    them of both roles), heads (rows with its title), parts (how many of placed, parts() of rows, hold it)."""
+    filled = sum((F.coalesce(F.trim(name) != "", F.lit(False)).cast("int") for _, name, _ in writers), F.lit(0))
+    made = rows.groupBy("work_seq").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") == "CA").alias("merged"), F.count_if(F.col("title") != "").alias("heads"))
+    out = works.select("work_seq", filled.alias("cells")).join(made, "work_seq", "left").na.fill(0)
+    if placed is None:
+        return out.withColumn("parts", F.lit(1).cast("long"))
+    return out.join(placed.groupBy("work_seq").agg(F.count_distinct("part").alias("parts")), "work_seq", "left").na.fill(0)
