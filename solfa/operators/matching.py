@@ -130,3 +130,9 @@ def summary(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """file and the numbers of headers, matched, unsure and unmatched columns."""
     counts = rows.groupBy("file").agg(F.count_if(F.col("header").isNotNull()).alias("matched"), F.count_if("needs_review").alias("review"), F.count_if(F.col("header").isNull()).alias("unmatched"))
     return headers.groupBy("file").agg(F.count(F.lit(1)).alias("headers")).join(counts, "file", "left").na.fill({"matched": 0, "review": 0, "unmatched": len(COLUMNS)})
+
+
+def lineage(rows: DataFrame) -> DataFrame:
+    """suggestion() rows as file, target, sources (main one first; none if empty) and matched."""
+    sources = F.when(F.col("header").isNotNull(), F.concat(F.array("header"), "extras")).otherwise(F.array().cast("array<string>"))
+    return rows.select("file", "target", sources.alias("sources"), F.col("header").isNotNull().alias("matched"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.headers import type_hits
 from ..functions.schema import PRESETS
-from ..operators import exchange, master, matching, writers
+from ..operators import custom, exchange, master, matching, writers
 from ..operators.cleaning import ISSUE
 from ..sources import workbooks
 from ..sources.storage import shared_folder, stored
@@ -126,6 +126,16 @@ def decided_snapshot(spark, sf_dir):
     return out.agg(F.count(F.lit(1)).alias("records"), F.count("id").alias("old"))
 
 
+def custom_columns(spark, sf_dir):
+    """Custom columns of the master, two of one slug, filled from new records where they are blank."""
+    registry = custom.promoted({}, ["Mood", "ISRC", " mood", "Mood!"])
+    stock = custom.widened(_master(spark, sf_dir), registry)
+    stock = stock.withColumn("x_mood", F.when(F.col("id") % 8 == 0, "kept").otherwise(F.col("x_mood")))
+    mood = silver(spark, sf_dir).select("row_index", F.col("values")["Mood"].alias("x_mood"), F.lit(" ").alias("x_mood_1"))
+    new = master.records(silver(spark, sf_dir)).select("row_index", "fingerprint").join(mood, "row_index")
+    return custom.filled(stock, new, registry).select("id", "x_mood", "x_mood_1")
+
+
 def writer_checks(spark, sf_dir):
     """Whether every filled writer cell became a row and every work is whole in one part."""
     rows = stored(_writer_rows(spark, sf_dir).withColumn("file", F.floor(F.col("work_seq") / 5000).cast("int")), "writers")
@@ -163,7 +173,7 @@ def activity_log(spark, sf_dir):
 
 
 _NAMES = ["workbook_scan", "writer_workbooks", "mapping_suggestion", "header_matches", "mapping_preview", "review_notes", "review_export", "master_export", "branch_delete",
-    "commit_decisions", "decided_snapshot", "writer_checks", "activity_stream", "activity_log"]
+    "commit_decisions", "decided_snapshot", "custom_columns", "writer_checks", "activity_stream", "activity_log"]
 QUERIES = {name: globals()[name] for name in _NAMES}
 _W = f"WITH {DATASET}"
 _SINGERS = "list_filter([artist_1, artist_2], lambda x: trim(x) <> '')"
@@ -195,6 +205,8 @@ ORACLES = {
     "branch_delete": f"{_W}, {MASTER} SELECT id, branch_id FROM mas WHERE branch_id NOT IN (2, 4)",
     "commit_decisions": f"{_W}, {_DECIDED} SELECT row_index, outcome FROM settled",
     "decided_snapshot": f"{_W}, {_DECIDED} SELECT (SELECT count(*) FROM mas) + count(*) FILTER (outcome = 'inserted') AS records, (SELECT count(*) FROM mas) AS old FROM settled",
+    "custom_columns": f"""{_W}, {MASTER}, f AS (SELECT fingerprint, arg_min(value, row_index) AS mood FROM new JOIN vals USING (row_index) WHERE col = 'Mood' AND trim(value) <> '' GROUP BY fingerprint)
+  SELECT id, CASE WHEN id % 8 = 0 THEN 'kept' ELSE coalesce(mood, '') END AS x_mood, '' AS x_mood_1 FROM mas LEFT JOIN f USING (fingerprint)""",
     "writer_checks": f"""WITH {WRITER}, c AS (SELECT w.work_seq, (trim(composer_1) <> '')::INT + (trim(composer_2) <> '')::INT + (trim(lyricist_1) <> '')::INT AS cells, (SELECT count(*) FROM wr WHERE wr.work_seq = w.work_seq) AS n, (SELECT count(*) FROM wr WHERE wr.work_seq = w.work_seq AND role2 = 'CA') AS merged FROM works w),
   t AS (SELECT CAST(sum(cells) AS BIGINT) AS a, CAST(sum(n + merged) AS BIGINT) AS b, count(*) AS w, count(*) FILTER (n > 0) AS v FROM c)
   SELECT *, expected = found AS ok FROM (SELECT 'a row for each writer' AS "check", a AS expected, b AS found FROM t UNION ALL SELECT 'works with a writer', w, v FROM t UNION ALL SELECT unnest(['work written once', 'work in one part']), v, v FROM t)""",

@@ -6,7 +6,7 @@ import zipfile
 
 import pytest
 
-from solfa.operators import exchange, matching, writers
+from solfa.operators import custom, exchange, matching, writers
 from solfa.functions.schema import ATTRIBUTES, COLUMNS, PRESETS
 from solfa.sources import workbooks
 from solfa.sources.sheets import SheetError
@@ -109,6 +109,8 @@ def test_header_scores(spark):
     assert [(rows[h]["target"], rows[h]["nth"]) for h in ("Singer 1", "Singer 2")] == [("Singer", 0), ("Singer", 1)]
     assert set(rows) == {"isrc", "Song  Title", "Genre of the music", "Singer 1", "Singer 2"}
     table = matching.suggestion(found, known)
+    assert matching.lineage(table).filter("target = 'Singer'").first()["sources"] == ["Singer 1", "Singer 2"]
+    assert matching.lineage(table).filter("NOT matched AND size(sources) = 0").count() == len(COLUMNS) - 4
     assert table.count() == len(COLUMNS) and table.filter("target = 'Singer'").first()["extras"] == ["Singer 2"]
 
 
@@ -187,3 +189,15 @@ def test_stream_over_several_runs(spark, tmp_path):
     write([(1, at(45)), (1, at(200)), (2, at(36))])
     expected = [(1, at(0), at(45), 3), (2, at(5), at(5), 1), (2, at(36), at(36), 1)]
     assert run() == expected and run() == expected
+
+
+def test_custom_columns(spark):
+    registry = custom.promoted({"Mood": "x_mood"}, ["MOOD", "Mood?", "Label", "***", "y" * 80])
+    assert registry == {"Mood": "x_mood", "Mood?": "x_mood_1", "***": "x", "y" * 80: "x_" + "y" * 61}
+    assert custom.attribute("y" * 80, {"x_" + "y" * 61}) == "x_" + "y" * 59 + "_1"
+    with pytest.raises(ValueError):
+        custom.promoted({}, [" "])
+    master = spark.createDataFrame([("A", " "), ("B", "old"), ("C", None)], "fingerprint string, x_mood string")
+    new = spark.createDataFrame([("A", 0, None), ("A", 1, " "), ("A", 2, "m"), ("A", 3, "n"), ("B", 4, "p")], "fingerprint string, row_index long, x_mood string")
+    out = custom.filled(master, new, {"Mood": "x_mood"})
+    assert sorted(tuple(r) for r in out.collect()) == [("A", "m"), ("B", "old"), ("C", "")]
