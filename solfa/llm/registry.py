@@ -2,6 +2,7 @@
 
 from .bit_sliced import OP6_SQL, op6_bit_sliced
 from .bpe import op4_byte_bpe
+from .dominance import op11_dominance_packing
 from .language import op1_language_id
 from .line_dedup import op3_line_dedup
 from .media import op10_media_columns
@@ -10,6 +11,7 @@ from .simhash import op8_simhash
 from .suffix_dedup import op2_suffix_dedup
 from .token_counts import op7_token_counts
 from .url_filter import OP9_SQL, op9_url_filter
+from .whitening import op13_whitening
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -22,5 +24,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,
     "op10_media_columns": op10_media_columns,
+    "op11_dominance_packing": op11_dominance_packing,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {"op6_bit_sliced": OP6_SQL, "op9_url_filter": OP9_SQL}

@@ -113,3 +113,77 @@ def word_ids(path: str) -> WordIds:
     if path not in _WORDS:
         _WORDS[path] = WordIds(path)
     return _WORDS[path]
+
+
+class SpacedIds:
+    """Ids of texts for a byte-level vocabulary whose pre-tokens start, but for white space, at one space or at a change of
+    kind: a text is cut before each run of spaces and line ends, and each unit (the run and what follows) is encoded once
+    and kept, in two generations of max_entries.
+
+    Units of one space and other characters are encoded together and cut before each token that starts with the
+    space. Texts with other white space, or with a token that the vocabulary adds, go to the library whole."""
+
+    _UNITS = regex.compile(r"[ \n]*[^ \n]+|[ \n]+")
+    _OTHER_SPACE = regex.compile(r"[^\S \n]|[\x1c-\x1f]")
+
+    def __init__(self, path: str, max_entries: int = 200_000, max_chars: int = 64) -> None:
+        self.path, self.max_entries, self.max_chars = path, max_entries, max_chars
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        own = library(path)
+        self.added = [t.content for t in own.get_added_tokens_decoder().values()]
+        vocabulary = own.get_vocab()
+        self.first = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.first[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        out = library(self.path).encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in out]
+
+    def _together(self, units: list[str]) -> list[bytes]:
+        """Ids of units that start with their only space."""
+        ids = np.array(library(self.path).encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(self.first[ids])
+        if len(starts) != len(units) or starts[0]:
+            return self._each(units)
+        flat, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        return [flat[i:j] for i, j in zip(at, at[1:])]
+
+    def _table(self, units: set[str]) -> dict[str, bytes]:
+        if len(self.memo) > self.max_entries:
+            self.older, self.memo = self.memo, {}
+        memo, older, table = self.memo, self.older, {}
+        plain, others = [], []
+        for u in units:
+            ids = memo.get(u)
+            if ids is None and (ids := older.get(u)) is not None:
+                memo[u] = ids
+            if ids is not None:
+                table[u] = ids
+            elif len(u) > 1 and u[0] == " " and u[1] not in " \n":
+                plain.append(u)
+            else:
+                others.append(u)
+        for missing, found in ((plain, self._together), (others, self._each)):
+            for at in range(0, len(missing), 2048):
+                part = missing[at : at + 2048]
+                ids = found(part)
+                table.update(zip(part, ids))
+                memo.update((u, i) for u, i in zip(part, ids) if len(u) <= self.max_chars)
+        return table
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        plain = [not self._OTHER_SPACE.search(t) and not any(a in t for a in self.added) for t in texts]
+        split = [self._UNITS.findall(t) if p else [] for t, p in zip(texts, plain)]
+        ids = self._table(set().union(*split)).__getitem__
+        return [b"".join(map(ids, units)) if p else self._each([t])[0] for t, units, p in zip(texts, split, plain)]
+
+
+_SPACED: dict[str, SpacedIds] = {}
+
+
+def spaced_ids(path: str) -> SpacedIds:
+    if path not in _SPACED:
+        _SPACED[path] = SpacedIds(path)
+    return _SPACED[path]
