@@ -28,6 +28,8 @@ from .shared import documents, parts, written
 from .tokenizing import spaced_ids
 
 CAPACITY, END_ID = 1024, 2
+#: Bytes of text that are encoded together.
+BATCH = 8 << 20
 #: Sequences of one full piece are numbered from here: 2^62, the task times 2^36, the place in the task.
 FULL = 1 << 62
 
@@ -133,7 +135,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         own, end = spaced_ids(path), np.array([end_id], "<u4").tobytes()
         seen, number = [0] * (capacity + 1), TaskContext.get().partitionId()
         for batch in batches:
-            for part in parts(batch, 1):
+            for part in parts(batch, 1, BATCH):
                 rows = []
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc, ids in zip(part.column(0).to_pylist(), own.encode(texts)):

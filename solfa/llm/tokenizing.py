@@ -115,69 +115,91 @@ def word_ids(path: str) -> WordIds:
     return _WORDS[path]
 
 
+#: White space but the space and the line end, as str.isspace() or the tokenizers library has it.
+_OTHER_SPACE = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_UNEVEN = ["  ", "\n\n", " \n", "\n "]
+
+
 class SpacedIds:
-    """Ids of texts for a byte-level vocabulary whose pre-tokens start, but for white space, at one space or at a change of
-    kind: a text is cut before each run of spaces and line ends, and each unit (the run and what follows) is encoded once
-    and kept, in two generations of max_entries.
+    """Ids of texts for a byte-level vocabulary, whose pre-tokens take at most one space, and that before them: texts whose
+    words are parted by single spaces and line ends are cut before each of these. Each word is encoded once and kept, in
+    two generations of max_entries. Other texts, and those with a token that the vocabulary adds, go to the library whole.
 
-    Units of one space and other characters are encoded together and cut before each token that starts with the
-    space. Texts with other white space, or with a token that the vocabulary adds, go to the library whole."""
+    ASCII marks after letters are a pre-token of their own. Words of letters are one pre-token each; many of them are encoded
+    together by ranks (ids of a byte-level vocabulary rise in the order of its merges) and cut before each space."""
 
-    _UNITS = regex.compile(r"[ \n]*[^ \n]+|[ \n]+")
-    _OTHER_SPACE = regex.compile(r"[^\S \n]|[\x1c-\x1f]")
+    def __init__(self, path: str, max_entries: int = 300_000, max_chars: int = 64) -> None:
+        import tiktoken
 
-    def __init__(self, path: str, max_entries: int = 200_000, max_chars: int = 64) -> None:
         self.path, self.max_entries, self.max_chars = path, max_entries, max_chars
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         own = library(path)
         self.added = [t.content for t in own.get_added_tokens_decoder().values()]
-        vocabulary = own.get_vocab()
-        self.first = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.first[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]  # other bytes are shown from 256 on
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        ranks = {bytes(map(byte.__getitem__, token)): i for token, i in own.get_vocab().items() if token not in self.added}
+        self.letters = tiktoken.Encoding("letters", pat_str=r" ?\p{L}+", mergeable_ranks=ranks, special_tokens={})
+        self.first = np.zeros(max(ranks.values()) + 1, bool)
+        self.first[[i for token, i in ranks.items() if token[:1] == b" "]] = True
 
     def _each(self, texts: list[str]) -> list[bytes]:
         out = library(self.path).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in out]
 
-    def _together(self, units: list[str]) -> list[bytes]:
-        """Ids of units that start with their only space."""
-        ids = np.array(library(self.path).encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, "<u4")
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each with a space before it."""
+        ids = np.array(self.letters.encode_ordinary(" " + " ".join(words)), "<u4")
         starts = np.flatnonzero(self.first[ids])
-        if len(starts) != len(units) or starts[0]:
-            return self._each(units)
+        if len(starts) != len(words) or starts[0]:
+            return self._each([" " + w for w in words])
         flat, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
         return [flat[i:j] for i, j in zip(at, at[1:])]
 
-    def _table(self, units: set[str]) -> dict[str, bytes]:
+    def _table(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of each word. One that starts with a line end has that in place of the space, one with \\r neither."""
         if len(self.memo) > self.max_entries:
             self.older, self.memo = self.memo, {}
         memo, older, table = self.memo, self.older, {}
-        plain, others = [], []
-        for u in units:
-            ids = memo.get(u)
-            if ids is None and (ids := older.get(u)) is not None:
-                memo[u] = ids
+        marked, letters, others = [], [], []
+        for w in words:
+            ids = memo.get(w)
+            if ids is None and (ids := older.get(w)) is not None:
+                memo[w] = ids
             if ids is not None:
-                table[u] = ids
-            elif len(u) > 1 and u[0] == " " and u[1] not in " \n":
-                plain.append(u)
+                table[w] = ids
+            elif w.isalpha():
+                letters.append(w)
+            elif (stem := w.rstrip(punctuation)).isalpha():
+                marked.append((w, stem, "\r" + w[len(stem) :]))
             else:
-                others.append(u)
-        for missing, found in ((plain, self._together), (others, self._each)):
+                others.append(w)
+        parts = {x for _, stem, tail in marked for x in (stem, tail)}
+        for w in parts.difference(letters, others, table):
+            ids = memo.get(w)
+            if ids is None and (ids := older.get(w)) is not None:
+                memo[w] = ids
+            if ids is not None:
+                table[w] = ids
+            else:
+                (letters if w.isalpha() else others).append(w)
+        exact = lambda part: self._each([w.removeprefix("\r") if w[:1] in ("\r", "\n") else " " + w for w in part])
+        for missing, found in ((letters, self._words), (others, exact)):
             for at in range(0, len(missing), 2048):
                 part = missing[at : at + 2048]
                 ids = found(part)
                 table.update(zip(part, ids))
-                memo.update((u, i) for u, i in zip(part, ids) if len(u) <= self.max_chars)
+                memo.update((w, i) for w, i in zip(part, ids) if len(w) <= self.max_chars)
+        table.update((w, table[stem] + table[tail]) for w, stem, tail in marked)
         return table
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        plain = [not self._OTHER_SPACE.search(t) and not any(a in t for a in self.added) for t in texts]
-        split = [self._UNITS.findall(t) if p else [] for t, p in zip(texts, plain)]
+        odd = [*_OTHER_SPACE[:8], *_UNEVEN, *self.added]
+        plain = [not any(a in t for a in (odd if t.isascii() else odd + _OTHER_SPACE[8:])) for t in texts]
+        split = [("\r" + t.replace("\n", " \n")).split(" ") if p else [] for t, p in zip(texts, plain)]
         ids = self._table(set().union(*split)).__getitem__
-        return [b"".join(map(ids, units)) if p else self._each([t])[0] for t, units, p in zip(texts, split, plain)]
+        return [b"".join(map(ids, words)) if p else self._each([t])[0] for t, words, p in zip(texts, split, plain)]
 
 
 _SPACED: dict[str, SpacedIds] = {}

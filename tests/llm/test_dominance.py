@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from solfa.llm import dominance
 from solfa.llm.shared import written
+from solfa.llm.tokenizing import SpacedIds
 
 PATH = vocabulary.path("byte_bpe_50k.json")
 _rng = random.Random(7)
@@ -25,6 +26,15 @@ TEXTS = [
 ]
 
 
+def test_ids_of_every_token_and_of_even_texts():
+    own, mine = Tokenizer.from_file(PATH), SpacedIds(PATH, max_entries=500)
+    words = [own.decode([i]) for i in range(50_257)]
+    even = ["".join(_rng.choices([" ", "\n"])[0] + w for w in _rng.choices(["a", "it's", "Ünder,", "x1", "(b).", "'tis", "don't'", "’s", "ab'", "’", "ﬁ"], k=30)) for _ in range(200)]
+    for texts in ([" " + w for w in words], words, even, [e[1:] for e in even], [e + "\n" for e in even], [e + " " for e in even]):
+        expected = own.encode_batch(texts, add_special_tokens=False)
+        assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode(texts)] == [x.ids for x in expected]
+
+
 def frame(spark, texts=TEXTS):
     rows = [(None if i == 3 else i, t, None if i % 2 else 1, None) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id long, text string, length long, place string")
