@@ -2,6 +2,7 @@
 
 from .bit_sliced import OP6_SQL, op6_bit_sliced
 from .bpe import op4_byte_bpe
+from .collocations import OP12_SQL, op12_collocations
 from .dominance import op11_dominance_packing
 from .language import op1_language_id
 from .line_dedup import op3_line_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_media_columns": op10_media_columns,
     "op11_dominance_packing": op11_dominance_packing,
+    "op12_collocations": op12_collocations,
     "op13_whitening": op13_whitening,
 }
-ORACLES: dict[str, str] = {"op6_bit_sliced": OP6_SQL, "op9_url_filter": OP9_SQL}
+ORACLES: dict[str, str] = {"op6_bit_sliced": OP6_SQL, "op9_url_filter": OP9_SQL, "op12_collocations": OP12_SQL}
