@@ -6,10 +6,10 @@ bits that aren't empty are kept. A phrase's bitmap marks where it ends: shifted
 the next word) and ANDed with the bitmaps that meet it there it gives those of its extensions; popcounts are summed over
 shards.
 
-First words are counted, then pairs of frequent words. Each shard gets back which of its own words and pairs are frequent
-over all shards (counts over a window of the shards' rows, so the cost is that of what shards hold). Then every
-class of phrases with the same first words goes down to LONGEST words before the next one, along frequent pairs only: no
-other phrase can be frequent. Counts of phrases are joined to score the cuts; nothing is broadcast by hand or collected.
+First words are counted, then pairs of frequent words, then triples of frequent pairs. Each shard gets back which of its own
+words, pairs and triples are frequent over all shards (sums over windows of the shards' rows, so the cost is that of what
+shards hold). Then every class of phrases with the same first words goes down to LONGEST words before the next one, along
+frequent triples only: no other phrase can be frequent. Counts of phrases are joined to score the cuts; nothing is broadcast by hand or collected.
 
 Defined results: a null text has no words; a null language is `und`; other columns are ignored; rows that repeat count each;
 an empty table gives no rows.
@@ -18,6 +18,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .shared import documents, parts, written
 
 LEAST, LONGEST, TOP = 100, 5, 2000
+#: Phrases of up to so many words are counted length by length, and shards get back which are frequent.
+FEEDBACK = 3
 #: Positions of a shard, at most 2^22 codes; bits of a bitmap's word; pairs of words and bitmap words compared at once.
 SHARD, BITS, AT_ONCE = 1 << 21, 16, 1 << 22
 _KIND = np.uint16
@@ -128,14 +131,56 @@ class Bitmaps:
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _summed(key: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The different keys, their popcounts, the order by key, and the number of each row's key in that order."""
+def _summed(key: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys, their popcounts, the first row of each, the order by key, and each row's key in that order."""
     order = np.argsort(key, kind="stable")
     key = key[order]
     new = np.r_[True, key[1:] != key[:-1]][: len(key)]
     first = np.flatnonzero(new)
     counts = np.add.reduceat(np.bitwise_count(bits[order]).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-    return key[first], counts, order, np.cumsum(new) - 1
+    return key[first], counts, order[first], order, np.cumsum(new) - 1
+
+
+class Steps:
+    """Which word may follow which phrase: one may if the last k words are then a known phrase of k words.
+
+    States are the beginnings of known phrases, by length; a step from a beginning of k-1 words leads to the beginning that
+    the last k-1 words are, or to none (-1). With k = 1 any word may follow."""
+
+    def __init__(self, known: np.ndarray, n: int) -> None:
+        """known: rows of k word numbers below n."""
+        k = known.shape[1]
+        if k == 1:
+            self.start, self.keys, self.next = np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int64)
+            return
+        keys, nexts, levels, offset = [], [], [], 0
+        own, at = np.unique(known[:, 0], return_inverse=True)
+        levels.append((own, 0))
+        self.start = np.full(n, -1)
+        self.start[own] = np.arange(len(own))
+        for d in range(1, k - 1):
+            own, following = np.unique(at * n + known[:, d], return_inverse=True)
+            keys.append((own // n + offset) * n + own % n)
+            offset += len(levels[-1][0])
+            nexts.append(np.arange(len(own)) + offset)
+            levels.append((own, offset))
+            at = following
+        tail = np.zeros(len(known), np.int64)  # the beginning that the phrase without its first word is
+        for d, (own, _) in enumerate(levels):
+            wanted = known[:, 1] if not d else np.where(tail < 0, -1, tail * n + known[:, d + 1])
+            place = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+            tail = np.where(own[place] == wanted, place, -1)
+        keys.append((at + offset) * n + known[:, -1])
+        nexts.append(np.where(tail < 0, -1, tail + offset))
+        self.keys, self.next = np.concatenate(keys), np.concatenate(nexts)
+        order = np.argsort(self.keys)
+        self.keys, self.next = self.keys[order], self.next[order]
+
+    def taken(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of key (state times n, plus the word; negative: none) that are steps, and the states they lead to."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        keep = np.flatnonzero(self.keys[at] == key)
+        return keep, self.next[at[keep]]
 
 
 def _opened(row: dict) -> tuple[Bitmaps, np.ndarray]:
@@ -148,64 +193,43 @@ def _opened(row: dict) -> tuple[Bitmaps, np.ndarray]:
     return Bitmaps(number[codes], len(own)), ids[order]
 
 
-def shard_pairs(opened: DataFrame) -> DataFrame:
-    """number, a, b, n: how often the words of each pair follow each other in a shard."""
+def counted(opened: DataFrame, k: int, longest: int) -> DataFrame:
+    """How often the phrases of over k, up to longest words that follow known phrases of k words occur in each shard: word ids
+    w0, w1, ... (null beyond the phrase) and n with the shard's number. opened has the column phrases (array of structures of k
+    ids) where k is over 1."""
+    names = ["number", *(f"w{i}" for i in range(longest)), "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                maps, ids = _opened(row)
-                word, block, bits = maps.word, maps.block, maps.bits
-                cut = np.searchsorted(word, np.arange(0, maps.n + 2048, 2048))
-                for i, j in zip(cut, cut[1:]):
-                    a, b, _, hits = maps.all_extended(word[i:j], block[i:j], bits[i:j])
-                    pair, n, _, _ = _summed(a * maps.n + b, hits)
-                    if len(pair):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), row["number"])), pa.array(ids[pair // maps.n]), pa.array(ids[pair % maps.n]), pa.array(n)], ["number", "a", "b", "n"])
-
-    return opened.mapInArrow(run, "number bigint, a bigint, b bigint, n bigint")
-
-
-def shard_phrases(opened: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """ids (array of word ids) and n of the phrases of 3 to longest words of each shard that follow its frequent pairs.
-    opened also has pairs (array of (a, b)), the frequent pairs that are in the shard."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                pairs = one.column("pairs").flatten()
-                a, b = (pairs.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                row = one.drop_columns(["pairs"]).to_pylist()[0]
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                row = one.select(["number", "size", "codes", "known", "ids"]).to_pylist()[0]
                 maps, ids = _opened(row)
                 n = maps.n
-                allowed = np.sort(np.searchsorted(ids, a) * n + np.searchsorted(ids, b))
-
-                def frequent(key: np.ndarray) -> np.ndarray:
-                    at = np.minimum(np.searchsorted(allowed, key), len(allowed) - 1)
-                    return np.flatnonzero(allowed[at] == key)
-
+                if k == 1:
+                    steps = Steps(np.arange(n)[:, None], n)
+                else:
+                    held = one.column("phrases").flatten()
+                    steps = Steps(np.stack([np.searchsorted(ids, held.field(i).to_numpy(zero_copy_only=False)) for i in range(k)], 1), n)
                 # classes of first words: all phrases that start with some words, down to the longest, before the next
                 cut = np.searchsorted(maps.word, np.arange(0, n + 1024, 1024))
                 for i, j in zip(cut, cut[1:]):
-                    word, last, block, bits = maps.all_extended(maps.word[i:j], maps.block[i:j], maps.bits[i:j])
-                    before, ends = np.arange(n)[:, None], np.arange(n)
+                    begin = i + np.flatnonzero(steps.start[maps.word[i:j]] >= 0)
+                    node, block, bits = maps.word[begin], maps.block[begin], maps.bits[begin]
+                    paths, state = np.arange(n)[:, None], steps.start
                     for length in range(2, longest + 1):
-                        keep = frequent(ends[word] * n + last)
-                        key, counts, order, node = _summed(word[keep] * n + last[keep], bits[keep])
+                        node, last, block, bits = maps.all_extended(node, block, bits)
+                        keep, after = steps.taken(np.where(state[node] < 0, -1, state[node] * n + last))
+                        key, counts, first, order, node = _summed(node[keep] * n + last[keep], bits[keep])
                         if not len(key):
                             break
-                        paths = np.c_[before[key // n], key % n]
-                        if length > 2:
-                            values = pa.array(ids[paths].ravel())
-                            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, length), pa.int32()), values)
-                            yield pa.RecordBatch.from_arrays([lists, pa.array(counts)], ["ids", "n"])
-                        if length < longest:
-                            at, before, ends = keep[order], paths, paths[:, -1]
-                            word, last, block, bits = maps.all_extended(node, block[at], bits[at])
+                        paths, state = np.c_[paths[key // n], key % n], after[first]
+                        block, bits = block[keep[order]], bits[keep[order]]
+                        if length > k:
+                            words = [pa.array(ids[paths[:, i]]) if i < length else pa.nulls(len(key), pa.int64()) for i in range(longest)]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), row["number"])), *words, pa.array(counts)], names)
 
-    return opened.mapInArrow(run, "ids array<bigint>, n bigint")
+    return opened.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, size: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -222,13 +246,19 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, size: i
     known = own.groupBy("number").agg(F.collect_list(F.struct("code", "id")).alias("k"))
     opened = held.select("number", "size", "codes").join(known, "number")
     opened = opened.select("number", "size", "codes", F.col("k.code").alias("known"), F.col("k.id").alias("ids"))
-    pairs = Window.partitionBy("a", "b")
-    counted = shard_pairs(opened).withColumn("f", F.sum("n").over(pairs)).filter(F.col("f") >= least)
-    mine = written(counted.select("number", "a", "b", "f"), "pairs")
-    two = mine.groupBy("a", "b").agg(F.first("f").alias("a_")).select(F.array("a", "b").alias("ids"), F.col("a_").alias("a"))
-    wanted = mine.groupBy("number").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    more = shard_phrases(opened.join(wanted, "number"), longest).groupBy("ids").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-    return written(words, "frequent"), written(two.unionByName(more), "phrases"), totals
+    found = []
+    for k in range(1, min(FEEDBACK, longest)):  # phrases of k + 1 words, with the shards that hold them
+        w = [f"w{i}" for i in range(k + 1)]
+        total = counted(opened, k, k + 1).withColumn("a", F.sum("n").over(Window.partitionBy(*w))).filter(F.col("a") >= least)
+        mine = written(total.select("number", *w, "a"), f"phrases-{k + 1}")
+        found.append(mine.groupBy(*w).agg(F.first("a").alias("a")).select(F.array(*w).alias("ids"), "a"))
+        held_there = mine.groupBy("number").agg(F.collect_list(F.struct(*w)).alias("phrases"))
+        opened = opened.drop("phrases").join(held_there, "number")
+    if longest > FEEDBACK:
+        w = [f"w{i}" for i in range(longest)]
+        more = counted(opened, FEEDBACK, longest).groupBy(*w).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+        found.append(more.select(F.filter(F.array(*w), lambda x: x.isNotNull()).alias("ids"), "a"))
+    return written(words, "frequent"), written(reduce(DataFrame.unionByName, found), "phrases"), totals
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, size: int = SHARD) -> DataFrame:

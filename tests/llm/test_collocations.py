@@ -67,7 +67,7 @@ def test_bitmaps_carry_over_words():
     own = np.random.default_rng(0).integers(-1, 5, 3000)
     maps = C.Bitmaps(own, 5)
     a, b, _, bits = maps.all_extended(maps.word, maps.block, maps.bits)
-    found, n, _, _ = C._summed(a * 5 + b, bits)
+    found, n, *_ = C._summed(a * 5 + b, bits)
     plain = Counter(int(x) * 5 + int(y) for x, y in zip(own, own[1:]) if x >= 0 and y >= 0)
     assert dict(zip(found.tolist(), n.tolist())) == plain
 
