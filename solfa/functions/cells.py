@@ -211,15 +211,37 @@ def _cell(value: Column, action: Column, tag: Column, message: Column, original:
     )
 
 
-def clean_cell(column: str, raw: Column, as_of: int = 2026, ascii_only: bool = False) -> Column:
-    """The cleaned cell of a canonical column (text for any other). as_of: the year that bounds plausible dates."""
-    kind = TYPES.get(column, "text")
+def kind_of(column: Column) -> Column:
+    """The semantic type of the canonical column that a row names; text for any other."""
+    known = F.create_map(*(F.lit(x) for pair in TYPES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, column), F.lit("text"))
+
+
+def clean_cell(column: str | Column, raw: Column, as_of: int = 2026, ascii_only: bool = False) -> Column:
+    """The cleaned cell of a canonical column (text for any other). as_of: the year that bounds plausible dates.
+    column may be a Column with the name, where each row of a long table has its own: one expression with all cleaners."""
+    kind = kind_of(column) if isinstance(column, Column) else TYPES.get(column, "text")
+
+    def by_kind(base: Column, own: Column) -> Column:
+        if isinstance(kind, str):
+            return CLEANERS[kind](base, own, as_of=as_of)
+        found = _text(base, own)
+        for name, cleaner in CLEANERS.items():
+            if cleaner is not _text:
+                found = F.when(kind == name, cleaner(base, own, as_of=as_of)).otherwise(found)
+        return found
+
+    if isinstance(kind, str):
+        fix, plain = F.lit(FIX_TAGS.get(kind, "trimmed")), F.lit(kind in COSMETIC)
+    else:
+        fixes = F.create_map(*(F.lit(x) for pair in FIX_TAGS.items() for x in pair))
+        fix, plain = F.coalesce(F.try_element_at(fixes, kind), F.lit("trimmed")), kind.isin(*COSMETIC)
 
     def gated(s: Column) -> Column:
         base, own = s["base"], s["raw"]
         empty, junk = base == "", (base != "") & is_placeholder(base)
         blank = F.struct(F.lit("").alias("value"), _null().alias("tag"), _null().alias("message"))
-        found = F.when(empty | junk, blank).otherwise(CLEANERS[kind](base, own, as_of=as_of))
+        found = F.when(empty | junk, blank).otherwise(by_kind(base, own))
         return let(F.struct(own.alias("raw"), empty.alias("empty"), junk.alias("junk"), is_garbled(own).alias("garbled"), found.alias("found")), judged)
 
     def judged(s: Column) -> Column:
@@ -228,8 +250,8 @@ def clean_cell(column: str, raw: Column, as_of: int = 2026, ascii_only: bool = F
         message = F.coalesce(s["found"]["message"], F.when(error == "garbled_value", "This value looks corrupted — please check."))
         action = F.when(error.isNotNull(), "error").when(s["junk"] | (~s["empty"] & (value != raw)), "fixed").otherwise("ok")
         emptied = (F.trim(raw) != "") & (value == "")
-        tag = F.coalesce(error, F.when(action == "fixed", F.when(emptied, "removed_junk").otherwise(FIX_TAGS.get(kind, "trimmed"))))
-        cosmetic = (action == "fixed") & ~emptied if kind in COSMETIC else F.lit(False)
+        tag = F.coalesce(error, F.when(action == "fixed", F.when(emptied, "removed_junk").otherwise(fix)))
+        cosmetic = (action == "fixed") & ~emptied & plain
         return _cell(value, action, tag, message, raw, cosmetic)
 
     raw = F.coalesce(raw, F.lit(""))

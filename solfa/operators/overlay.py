@@ -23,28 +23,6 @@ def current(log: DataFrame) -> DataFrame:
     return last.select("row_index", "col", "last.*")
 
 
-def overridden(values: DataFrame, corrections: DataFrame) -> DataFrame:
-    """values with corrections in place of what cleaning gave: was, value and is_merge (null where nothing was corrected)."""
-    own = corrections.select("row_index", "col", F.col("value").alias("new"), "is_merge")
-    found = values.withColumnRenamed("value", "was").join(own, ["row_index", "col"], "left")
-    return found.select("row_index", "col", "was", F.coalesce("new", "was").alias("value"), "is_merge")
-
-
-def mark_corrected(issues: DataFrame, final: DataFrame) -> DataFrame:
-    """issues of a dataset after corrections, with a mark on each cell that a reviewer changed.
-
-    final: overridden() values. A changed cell that is still an error keeps its errors; else its cosmetic notes give way
-    to the mark corrected, or merged where the value came from a merge."""
-    changed = final.filter(F.col("is_merge").isNotNull() & (F.coalesce("value", F.lit("")) != F.coalesce("was", F.lit(""))))
-    errors = issues.filter("action = 'error'").select("row_index", "col").distinct()
-    kept = issues.filter("action = 'error'").unionByName(issues.filter("action <> 'error'").join(changed, ["row_index", "col"], "left_anti"))
-    marks = changed.join(errors, ["row_index", "col"], "left_anti").select(
-        "row_index", "col", F.lit("fixed").alias("action"), F.when(F.col("is_merge"), "merged").otherwise("corrected").alias("tag"),
-        "value", F.col("was").alias("original"), F.lit(False).alias("cosmetic"),
-    )
-    return kept.unionByName(marks)
-
-
 def united(marked: DataFrame, rows: DataFrame) -> DataFrame:
     """Dropped or accepted rows with more of them."""
     return marked.select("row_index").unionByName(rows.select("row_index")).distinct()

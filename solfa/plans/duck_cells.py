@@ -105,16 +105,25 @@ def cells(mapping: dict[str, list[str]] = CATALOG_MAPPING, raw: str = RAW_CATALO
         for pos, (c, sources) in enumerate(mapping.items())
         for src, s in enumerate(sources)
     )
+    return f"""raw AS ({duck_table(raw)}), long AS ({rows}), {cleaned_cells('long', kinds)}"""
+
+
+def kind_of(columns: list[str]) -> str:
+    return "CASE col " + " ".join(f"WHEN '{c}' THEN '{TYPES[c]}'" for c in columns if c in TYPES) + " ELSE 'text' END"
+
+
+def cleaned_cells(long: str, kinds: set[str], p: str = "", keep: str = "pos, src") -> str:
+    """CTEs, the last of them {p}cells, of the cells in long (row_index, col, kind, r and the columns to keep) cleaned."""
     fix = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FIX_TAGS.items()) + " END"
     cosmetic = ", ".join(f"'{k}'" for k in COSMETIC)
-    return f"""raw AS ({duck_table(raw)}), long AS ({rows}), based AS (SELECT *, {base('r')} AS b FROM long),
-found AS (SELECT *, b = '' AS empty, b <> '' AND {PLACEHOLDER} AS junk, {_by_kind(VALUE, 'b', kinds)} AS v,
-  CASE WHEN b <> '' AND NOT {PLACEHOLDER} THEN coalesce({_by_kind(ERROR, 'NULL', kinds)}, CASE WHEN {GARBLED} THEN 'garbled_value' END) WHEN {GARBLED} THEN 'garbled_value' END AS err FROM based),
-done AS (SELECT *, CASE WHEN empty OR junk THEN '' ELSE v END AS value,
-  CASE WHEN err IS NOT NULL THEN 'error' WHEN junk OR (NOT empty AND v <> r) THEN 'fixed' ELSE 'ok' END AS action FROM found),
-cells AS (SELECT row_index, col, pos, src, value, action, r AS original,
+    return f"""{p}based AS (SELECT *, {base('r')} AS b FROM {long}),
+{p}found AS (SELECT *, b = '' AS empty, b <> '' AND {PLACEHOLDER} AS junk, {_by_kind(VALUE, 'b', kinds)} AS v,
+  CASE WHEN b <> '' AND NOT {PLACEHOLDER} THEN coalesce({_by_kind(ERROR, 'NULL', kinds)}, CASE WHEN {GARBLED} THEN 'garbled_value' END) WHEN {GARBLED} THEN 'garbled_value' END AS err FROM {p}based),
+{p}done AS (SELECT *, CASE WHEN empty OR junk THEN '' ELSE v END AS value,
+  CASE WHEN err IS NOT NULL THEN 'error' WHEN junk OR (NOT empty AND v <> r) THEN 'fixed' ELSE 'ok' END AS action FROM {p}found),
+{p}cells AS (SELECT row_index, col, {keep}, value, action, r AS original,
   coalesce(err, CASE WHEN action = 'fixed' THEN CASE WHEN trim(r) <> '' AND value = '' THEN 'removed_junk' ELSE {fix} END END) AS tag,
-  action = 'fixed' AND kind IN ({cosmetic}) AND NOT (trim(r) <> '' AND value = '') AS cosmetic FROM done)"""
+  action = 'fixed' AND kind IN ({cosmetic}) AND NOT (trim(r) <> '' AND value = '') AS cosmetic FROM {p}done)"""
 
 
 def merged() -> str:

@@ -8,19 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import headers
-from ..operators import cleaning, master, overlay, review
+from ..functions.schema import CREDITS, TYPES
+from ..operators import cleaning, master, overlay, recleaning, review
 from ..sources.sheets import scan_csv
-from ..sources.storage import shared_folder
+from ..sources.storage import shared_folder, stored
 from . import duck_cells as duck
 from .catalog import DATASET, catalog, cleaned
-from .entities import UPSERT, _master, column_profile, silver
+from .entities import FIELDS, FLAGS, UPSERT, _master, column_profile, silver
 from .entities import ORACLES as ENTITY_ORACLES
-from .fixtures import RAW_CATALOG, RAW_PACKED, RAW_PARTIES, duck_table, spark_table
+from .fixtures import CATALOG_MAPPING, RAW_CATALOG, RAW_PACKED, RAW_PARTIES, duck_table, spark_table
 
 #: Corrections by hand and by merges, some of rows that don't exist, some of one cell twice.
 EDITS = """SELECT p_partkey AS row_index, 'Language' AS col, CASE WHEN p_partkey % 10 = 0 THEN 'Hindi' ELSE p_type END AS value, p_partkey * 4 AS seq FROM {part} WHERE p_partkey % 5 = 0
 UNION ALL SELECT p_partkey, 'Mood', 'second ' || p_type, p_partkey * 4 + 1 FROM {part} WHERE p_partkey % 7 = 0
 UNION ALL SELECT p_partkey, 'Mood', 'third', p_partkey * 4 + 2 FROM {part} WHERE p_partkey % 21 = 0
+UNION ALL SELECT p_partkey, 'UPC', CASE WHEN p_partkey % 4 = 0 THEN '89 0123-456789' ELSE 'twelve' END, p_partkey * 4 FROM {part} WHERE p_partkey % 6 = 0
+UNION ALL SELECT p_partkey, 'Composer', CASE WHEN p_partkey % 8 = 0 THEN 'new name | ' || p_size || ' Brown' ELSE 'respelled ' || p_type END, p_partkey * 4 FROM {part} WHERE p_partkey % 8 IN (0, 3)
+UNION ALL SELECT p_partkey, 'Track Name', CASE WHEN p_partkey % 2 = 0 THEN 'n/a' ELSE 'a track' END, p_partkey * 4 FROM {part} WHERE p_partkey % 13 = 4
+UNION ALL SELECT p_partkey, 'Lead Artist', 'typed BY hand', p_partkey * 4 FROM {part} WHERE p_partkey % 16 = 3
+UNION ALL SELECT p_partkey, 'Genre', 'n.a.', p_partkey * 4 FROM {part} WHERE p_partkey % 17 = 1
 UNION ALL SELECT p_partkey + 1000000000, 'Mood', 'nowhere', p_partkey * 4 + 3 FROM {part} WHERE p_partkey % 50 = 0"""
 ALIAS = {"Demoname": "Demo Name", "B": "Building Almond"}
 
@@ -45,13 +51,62 @@ def overlay_corrections(spark, sf_dir):
     return overlay.current(_log(spark, sf_dir))
 
 
+_RECLEANED: dict[tuple[str, str], DataFrame] = {}
+
+
+def corrected(spark, sf_dir) -> DataFrame:
+    """The cleaned catalogue with its corrections, worked out once for a session and its tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RECLEANED:
+        log = stored(overlay.current(_log(spark, sf_dir)), "corrections")
+        _RECLEANED[key] = stored(recleaning.recleaned(silver(spark, sf_dir), log, ascii_only=True), "corrected")
+    return _RECLEANED[key]
+
+
+def _issues_of(rows: DataFrame) -> DataFrame:
+    long = rows.select("row_index", F.explode("issues").alias("i"))
+    return long.select("row_index", F.col("i.column").alias("col"), "i.action", "i.tag", "i.value", "i.original", "i.cosmetic")
+
+
 def overlay_values(spark, sf_dir):
-    return overlay.overridden(_long(spark, sf_dir), overlay.current(_log(spark, sf_dir))).filter("is_merge is not null")
+    """Corrected cells: what cleaning gave before, and what it gives of the correction."""
+    final = corrected(spark, sf_dir).select("row_index", F.explode("values").alias("col", "value"))
+    own = overlay.current(_log(spark, sf_dir)).select("row_index", "col", "is_merge")
+    before = _long(spark, sf_dir).withColumnRenamed("value", "was")
+    return own.join(final, ["row_index", "col"]).join(before, ["row_index", "col"], "left")
 
 
 def overlay_issues(spark, sf_dir):
-    final = overlay.overridden(_long(spark, sf_dir), overlay.current(_log(spark, sf_dir)))
-    return overlay.mark_corrected(_issues(spark, sf_dir), final)
+    return _issues_of(corrected(spark, sf_dir))
+
+
+def lead_reflow(spark, sf_dir):
+    """Rows whose lead artist a correction changed."""
+    lead = lambda rows, name: rows.select("row_index", F.col("values")["Lead Artist"].alias(name))
+    both = lead(silver(spark, sf_dir), "was").join(lead(corrected(spark, sf_dir), "now"), "row_index")
+    return both.filter("was <> now")
+
+
+def _review(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    issues = _issues(spark, sf_dir)
+    dropped = overlay.united(overlay.tagged(issues, "implausible_date"), issues.filter("row_index % 11 = 3"))
+    accepted = issues.filter("row_index % 9 = 1").select("row_index").distinct()
+    return recleaning.reviewed(silver(spark, sf_dir), overlay.current(_log(spark, sf_dir)), dropped, accepted, FIELDS, ascii_only=True)
+
+
+def review_chain(spark, sf_dir):
+    """Each row after the whole review: kept or deleted, its status, and its issues by column and tag."""
+    kept, deleted = _review(spark, sf_dir)
+    listed = F.array_join(F.array_sort(F.transform("issues", lambda x: F.concat_ws(":", x["column"], x["action"], x["tag"]))), ",")
+    rows = kept.withColumn("state", F.lit("kept")).unionByName(deleted.withColumn("state", F.lit("deleted")))
+    return rows.select("row_index", "state", cleaning.status().alias("status"), listed.alias("issues"))
+
+
+def review_totals(spark, sf_dir):
+    """The summary after the whole review; rows with a correction count as touched."""
+    kept, deleted = _review(spark, sf_dir)
+    touched = overlay.current(_log(spark, sf_dir)).select("row_index")
+    return cleaning.summary(stored(kept, "kept"), touched, deleted.count())
 
 
 def overlay_signature(spark, sf_dir):
@@ -159,15 +214,49 @@ def csv_scan(spark, sf_dir):
     return scan_csv(spark, path).select("row_index", "title", "credits", "seconds")
 
 
-_NAMES = ["csv_scan", "overlay_corrections", "overlay_values", "overlay_issues", "overlay_signature", "values_fingerprint", "drop_restore", "accept_rows", "revert_rows", "bulk_fix",
+_NAMES = ["csv_scan", "overlay_corrections", "overlay_values", "overlay_issues", "lead_reflow", "review_chain", "review_totals", "overlay_signature", "values_fingerprint", "drop_restore", "accept_rows", "revert_rows", "bulk_fix",
     "constant_fill", "commit_clean", "worst_columns", "master_page", "activity_of_user", "file_owners", "first_appearance", "header_tokens", "type_hits", "text_types"]
 QUERIES = {name: globals()[name] for name in _NAMES}
 _W = f"WITH {DATASET}"
 _MERGE = f"flatten(list_transform(string_split(value, ' | '), lambda x: CASE x {' '.join(f"WHEN '{k}' THEN ['{v}']" for k, v in ALIAS.items())} ELSE [x] END))"
 LOG = f"""elog AS (SELECT row_index, col, array_to_string({duck.ordered_distinct('l')}, ' | ') AS value, true AS is_merge, 0 AS seq FROM (SELECT row_index, col, value AS was, {_MERGE} AS l FROM vals WHERE col = 'Singer' AND value <> '') WHERE array_to_string({duck.ordered_distinct('l')}, ' | ') <> was
   UNION ALL SELECT row_index, col, value, false, seq FROM ({duck_table(EDITS)}) WHERE row_index IN (SELECT row_index FROM vals)),
-corr AS (SELECT row_index, col, arg_max(value, seq) AS value, arg_max(is_merge, seq) AS is_merge FROM elog GROUP BY row_index, col),
-fin AS (SELECT v.row_index, v.col, v.value AS was, coalesce(c.value, v.value) AS value, c.is_merge FROM vals v LEFT JOIN corr c USING (row_index, col))"""
+corr AS (SELECT row_index, col, arg_max(value, seq) AS value, arg_max(is_merge, seq) AS is_merge FROM elog GROUP BY row_index, col)"""
+_KINDS = [*CATALOG_MAPPING, "Lead Artist", "Genre"]
+_PIECES = lambda x: f"list_filter(list_transform(string_split(coalesce({x}, ''), '|'), lambda x: trim(x)), lambda x: x <> '')"
+_LOWER = lambda x: f"list_transform({x}, lambda x: lower(x))"
+_CREDIT = [c.lower() for c in CREDITS]
+_PAIRS = ", ".join(f"CASE WHEN len(w_{c}) = len(v_{c}) THEN list_filter(list_transform(list_zip(w_{c}, v_{c}), lambda z: {{'k': lower(z[1]), 'v': z[2]}}), lambda z: z.k <> lower(z.v)) ELSE [] END" for c in _CREDIT)
+#: fvals (row_index, col, value) and fissues: the dataset after corrections, from elog and corr
+RECLEANED = f"""touched AS (SELECT DISTINCT row_index FROM corr),
+rlong AS (SELECT row_index, col, {duck.kind_of(_KINDS)} AS kind, v.value AS was, c.value AS new, c.is_merge, coalesce(c.value, v.value, '') AS r
+  FROM (SELECT * FROM vals WHERE row_index IN (SELECT row_index FROM touched)) v FULL JOIN corr c USING (row_index, col)),
+{duck.cleaned_cells('rlong', {TYPES.get(c, 'text') for c in _KINDS}, 'r', 'was, new, is_merge')},
+rrow AS (SELECT row_index, {', '.join(f"{_PIECES(f"max(was) FILTER (col = '{c}')")} AS w_{c.lower()}, {_PIECES(f"max(value) FILTER (col = '{c}')")} AS v_{c.lower()}" for c in CREDITS)},
+  max(value) FILTER (col = 'Lead Artist') AS lead, bool_or(col = 'Lead Artist' AND new IS NOT NULL) AS by_hand, bool_or(col = 'Lead Artist' AND action = 'error') AS blocked FROM rcells GROUP BY row_index),
+rstale AS (SELECT *, list_filter({_LOWER(f"list_concat({', '.join(f'w_{c}' for c in _CREDIT)})")}, lambda y: NOT list_contains({_LOWER(f"list_concat({', '.join(f'v_{c}' for c in _CREDIT)})")}, y)) AS stale, list_concat({_PAIRS}) AS renamed FROM rrow),
+rhad AS (SELECT *, CASE WHEN by_hand OR len(stale) = 0 THEN lead ELSE array_to_string(flatten(list_transform({_PIECES('lead')}, lambda q: CASE WHEN NOT list_contains(stale, lower(q)) THEN [q]
+  WHEN len(list_filter(renamed, lambda z: z.k = lower(q))) > 0 THEN [list_filter(renamed, lambda z: z.k = lower(q))[-1].v] ELSE [] END)), ' | ') END AS had FROM rstale),
+rall AS (SELECT *, list_concat({_PIECES('had')}, {', '.join(f'v_{c}' for c in _CREDIT)}) AS names FROM rhad),
+rlead AS (SELECT row_index, had, by_hand, NOT by_hand AND NOT blocked AND derived <> had AS fill, CASE WHEN by_hand OR blocked THEN had ELSE derived END AS value
+  FROM (SELECT *, array_to_string(list_filter(names, lambda x, i: list_position({_LOWER('names')}, lower(x)) = i), ' | ') AS derived FROM rall)),
+rvals AS (SELECT row_index, col, CASE WHEN col = 'Lead Artist' THEN l.value ELSE c.value END AS value, was, new, is_merge FROM rcells c JOIN rlead l USING (row_index)),
+rissues AS (SELECT row_index, col, action, tag, c.value, original, cosmetic FROM rcells c JOIN rlead USING (row_index) WHERE action <> 'ok' AND NOT (col = 'Lead Artist' AND action = 'fixed' AND fill)
+  UNION ALL SELECT row_index, col, 'error', 'missing_required', '', original, false FROM rcells WHERE col IN ('ISRC', 'Track Name') AND value = ''
+  UNION ALL SELECT row_index, 'Lead Artist', 'fixed', 'derived_lead_artist', value, had, false FROM rlead WHERE fill),
+rch AS (SELECT * FROM rvals WHERE new IS NOT NULL AND value <> coalesce(was, '')),
+fissues AS (SELECT * FROM issues WHERE row_index NOT IN (SELECT row_index FROM touched)
+  UNION ALL SELECT * FROM rissues WHERE action = 'error' OR (row_index, col) NOT IN (SELECT (row_index, col) FROM rch)
+  UNION ALL SELECT row_index, col, 'fixed', CASE WHEN is_merge THEN 'merged' ELSE 'corrected' END, value, coalesce(was, ''), false FROM rch WHERE (row_index, col) NOT IN (SELECT (row_index, col) FROM rissues WHERE action = 'error')),
+fvals AS (SELECT row_index, col, value FROM vals WHERE row_index NOT IN (SELECT row_index FROM touched) UNION ALL SELECT row_index, col, value FROM rvals)"""
+#: After RECLEANED: kissues, the issues of rows that stay with their duplicates, and accepted rows' errors cleared
+REVIEWED = f"""gone AS (SELECT DISTINCT row_index FROM issues WHERE tag = 'implausible_date' OR row_index % 11 = 3),
+kvals AS (SELECT * FROM fvals WHERE row_index NOT IN (SELECT row_index FROM gone)),
+kstate AS (SELECT row_index, CASE WHEN row_index IN (SELECT row_index FROM fissues WHERE action = 'error') THEN 'error' ELSE 'clean' END AS status FROM raw WHERE row_index NOT IN (SELECT row_index FROM gone)),
+{FLAGS.replace('FROM vals', 'FROM kvals').replace('JOIN state', 'JOIN kstate')},
+kissues AS (SELECT row_index, col, action, tag FROM (SELECT row_index, col, action, tag FROM fissues WHERE row_index NOT IN (SELECT row_index FROM gone) UNION ALL SELECT row_index, col, 'error', tag FROM flags)
+  WHERE NOT (action = 'error' AND row_index % 9 = 1 AND row_index IN (SELECT row_index FROM issues))),
+gissues AS (SELECT * FROM kissues UNION ALL SELECT row_index, col, action, tag FROM fissues WHERE row_index IN (SELECT row_index FROM gone))"""
 _DIGEST = "SELECT {by} sha256(string_agg(h, ',' ORDER BY h)) AS digest FROM (SELECT {by} substr(h, 1, 2) AS part, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM ({rows}) GROUP BY ALL) {group}"
 _DROPPED = "(row_index IN (SELECT row_index FROM issues WHERE tag = 'invalid_upc') OR row_index % 6 = 0) AND row_index % 4 <> 0"
 _TEXT = r"trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(header, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')), '[^a-z0-9]+', ' ', 'g'))"
@@ -184,10 +273,15 @@ _HIT_ROWS = " UNION ALL ".join(f"SELECT row_index, '{c}' AS col, trim({c}) AS v
 ORACLES = {
     "csv_scan": f"SELECT row_number() OVER (ORDER BY row_index) - 1 AS row_index, title, credits, seconds FROM ({duck_table(RAW_PACKED)})",
     "overlay_corrections": f"{_W}, {LOG} SELECT * FROM corr",
-    "overlay_values": f"{_W}, {LOG} SELECT * FROM fin WHERE is_merge IS NOT NULL",
-    "overlay_issues": f"""{_W}, {LOG}, ch AS (SELECT * FROM fin WHERE is_merge IS NOT NULL AND value <> was)
-  SELECT row_index, col, action, tag, value, original, cosmetic FROM issues WHERE action = 'error' OR (row_index, col) NOT IN (SELECT (row_index, col) FROM ch)
-  UNION ALL SELECT row_index, col, 'fixed', CASE WHEN is_merge THEN 'merged' ELSE 'corrected' END, value, was, false FROM ch WHERE (row_index, col) NOT IN (SELECT (row_index, col) FROM issues WHERE action = 'error')""",
+    "overlay_values": f"{_W}, {LOG}, {RECLEANED} SELECT row_index, col, is_merge, value, was FROM rvals WHERE new IS NOT NULL",
+    "overlay_issues": f"{_W}, {LOG}, {RECLEANED} SELECT row_index, col, action, tag, value, original, cosmetic FROM fissues",
+    "lead_reflow": f"{_W}, {LOG}, {RECLEANED} SELECT row_index, v.value AS was, f.value AS now FROM vals v JOIN fvals f USING (row_index, col) WHERE col = 'Lead Artist' AND v.value <> f.value",
+    "review_chain": f"""{_W}, {LOG}, {RECLEANED}, {REVIEWED} SELECT row_index, CASE WHEN row_index IN (SELECT row_index FROM gone) THEN 'deleted' ELSE 'kept' END AS state,
+  CASE WHEN bool_or(coalesce(action = 'error', false)) THEN 'error' ELSE 'clean' END AS status, coalesce(string_agg(col || ':' || action || ':' || tag, ',' ORDER BY col || ':' || action || ':' || tag), '') AS issues
+  FROM raw LEFT JOIN gissues USING (row_index) GROUP BY row_index""",
+    "review_totals": f"""{_W}, {LOG}, {RECLEANED}, {REVIEWED}, t AS (SELECT row_index, row_index IN (SELECT row_index FROM kissues WHERE action = 'error') AS bad, row_index IN (SELECT row_index FROM touched) AS hand FROM raw WHERE row_index NOT IN (SELECT row_index FROM gone))
+  SELECT count(*) AS total, count(*) FILTER (NOT bad) AS clean, count(*) FILTER (NOT bad AND NOT hand) AS auto_clean, count(*) FILTER (NOT bad AND hand) AS manual_clean, count(*) FILTER (bad) AS errors,
+  (SELECT count(*) FROM kissues WHERE action = 'fixed') AS auto_fixed, (SELECT count(*) FROM gone) AS deleted FROM t""",
     "overlay_signature": f"{_W}, {LOG} " + _DIGEST.format(by="", group="", rows="SELECT sha256(concat_ws(chr(2), CAST(row_index AS VARCHAR), col, value)) AS h FROM corr"),
     "values_fingerprint": f"{_W} " + _DIGEST.format(by="col,", group="GROUP BY col", rows="SELECT col, sha256(concat_ws(chr(2), value, CAST(count(*) AS VARCHAR))) AS h FROM vals GROUP BY col, value"),
     "drop_restore": f"{_W} SELECT row_index, CASE WHEN {_DROPPED} THEN 'deleted' ELSE 'kept' END AS state FROM raw",
