@@ -91,51 +91,57 @@ def without_branches(table: DataFrame, branches: DataFrame) -> DataFrame:
 
 
 def decided(new: DataFrame, master: DataFrame, decisions: DataFrame) -> DataFrame:
-    """new with master_id and outcome of a commit, in row order, with a reviewer's decisions (row_index, decision, master_id).
+    """new with master_id, record (the id of the stored record it stands for, null for a new one), overwrites and outcome of a
+    commit, in row order, with a reviewer's decisions (row_index, decision, master_id).
 
     master: the stored record stays, the row is skipped. cleaned: the row overwrites the stored record, unless another record
     or an earlier row has its identity, which makes it a duplicate; without such a record it is stored like any other.
-    both, anything else and no decision: like upsert_outcomes. A record that is overwritten still answers to its old identity
-    in this commit. Of several decisions on a row the least (by name, then id) holds."""
+    both, anything else and no decision: inserted, updated or duplicate as in upsert_outcomes. An identity stands for the stored record that has it,
+    or else for what its first row stands for; an overwritten record still answers to its old identity in this commit, and
+    later rows are compared with what it has become. Of several decisions on a row the least (by name, then id) holds."""
     one = decisions.groupBy("row_index").agg(F.min(F.struct("decision", "master_id")).alias("d")).select("row_index", "d.*")
-    ids = master.select(F.col("id").alias("master_id"), F.lit(True).alias("_held"))
-    rows = new.join(one, "row_index", "left").join(ids, "master_id", "left").withColumn("_owners", _owners())
-    over = F.coalesce((F.col("decision") == "cleaned") & F.col("_held"), F.lit(False))
-    rows = rows.withColumn("_over", over).withColumn("_skip", F.coalesce(F.col("decision") == "master", F.lit(False)))
-    old = master.join(new.select("fingerprint"), "fingerprint", "left_semi").select("fingerprint", F.lit(-1).cast("long").alias("row_index"), F.col("id").alias("_holder"), _owners().alias("_owners"), F.lit(False).alias("_over"), F.lit(False).alias("_skip"))
-    chain = rows.withColumn("_holder", F.when(F.col("_over"), F.col("master_id"))).unionByName(old, allowMissingColumns=True)
-    before = Window.partitionBy("fingerprint").orderBy("row_index").rowsBetween(Window.unboundedPreceding, -1)
-    counts = F.when(~F.col("_skip"), F.struct("_holder"))
-    # who holds the identity is settled by the first record or row that has it
-    chain = chain.withColumn("_first", F.first(counts, ignorenulls=True).over(before))
-    free = F.col("_first").isNull()
-    takes = F.col("_over") & (free | F.coalesce(F.col("_first._holder") == F.col("master_id"), F.lit(False)))
-    lost = (F.col("decision") == "cleaned") & ~free & ~takes
-    chain = chain.withColumn("_takes", takes).withColumn("_lost", F.coalesce(lost, F.lit(False)))
-    latest = F.last(F.when(~F.col("_skip") & ~F.col("_lost"), F.col("_owners")), ignorenulls=True).over(before)
+    held = master.select(F.col("id").alias("master_id"), F.lit(True).alias("_held"))
+    rows = new.join(one, "row_index", "left").join(held, "master_id", "left").withColumn("_owners", _owners())
+    cleaned = F.coalesce(F.col("decision") == "cleaned", F.lit(False))
+    rows = rows.withColumn("_over", cleaned & F.coalesce("_held", F.lit(False))).withColumn("_skip", F.coalesce(F.col("decision") == "master", F.lit(False)))
+    old = master.groupBy("fingerprint").agg(F.max("id").alias("_stored"))
+    first = rows.filter(~F.col("_skip")).groupBy("fingerprint").agg(F.min(F.struct("row_index", "_over", "master_id")).alias("_first"))
+    names = first.join(old, "fingerprint", "left").withColumn("record", F.coalesce("_stored", F.when(F.col("_first._over"), F.col("_first.master_id"))))
+    met = rows.join(names, "fingerprint", "left")
+    takes = F.coalesce(F.col("_over") & (F.col("record") == F.col("master_id")), F.lit(False))
+    clash = F.col("_stored").isNotNull() | (F.col("_first.row_index") < F.col("row_index"))
+    met = met.withColumn("_takes", takes & ~F.col("_skip")).withColumn("_lost", cleaned & ~takes & F.coalesce(clash, F.lit(False)))
+    chain = met.withColumn("_effect", ~F.col("_skip") & ~F.col("_lost"))
+    touched = met.select(F.col("record").alias("id")).distinct()
+    start = master.join(touched, "id", "left_semi").select(F.col("id").alias("record"), F.lit(-1).cast("long").alias("row_index"), _owners().alias("_owners"), F.lit(True).alias("_effect"))
+    chain = chain.unionByName(start, allowMissingColumns=True).withColumn("_object", F.coalesce(F.col("record").cast("string"), "fingerprint"))
+    before = Window.partitionBy("_object").orderBy("row_index").rowsBetween(Window.unboundedPreceding, -1)
+    latest = F.last(F.when(F.col("_effect"), F.col("_owners")), ignorenulls=True).over(before)
     outcome = (
-        F.when(F.col("_skip"), "skipped").when(F.col("_takes"), "updated").when(F.col("_lost"), "duplicate").when(F.col("_first").isNull(), "inserted")
+        F.when(F.col("_skip"), "skipped").when(F.col("_takes"), "updated").when(F.col("_lost"), "duplicate").when(F.col("_latest").isNull(), "inserted")
         .when(F.col("_latest") != F.col("_owners"), "updated").otherwise("duplicate")
     )
     out = chain.withColumn("_latest", latest).filter("row_index >= 0").withColumn("outcome", outcome)
-    return out.select(*new.columns, "master_id", F.col("_takes").alias("overwrites"), "outcome")
+    return out.select(*new.columns, "master_id", "record", F.col("_takes").alias("overwrites"), "outcome")
 
 
 def snapshot(found: DataFrame, master: DataFrame) -> DataFrame:
-    """The next snapshot of master after decided(): overwritten records, then rows stored as usual. An update of a record that
-    was overwritten by its old identity reaches its owners, if it came later."""
-    attributes, owners = list(ATTRIBUTES.values()), [ATTRIBUTES[c] for c in OWNERSHIP if c in ATTRIBUTES]
-    last = found.filter("overwrites").groupBy(F.col("master_id").alias("id")).agg(F.max("row_index").alias("at"), F.max_by(F.struct(*attributes, "fingerprint"), "row_index").alias("new"))
-    plain = found.filter("NOT overwrites AND outcome IN ('inserted', 'updated')").select("row_index", *attributes, "fingerprint")
-    plain = plain.join(master.select("fingerprint", "id").join(last.select("id"), "id", "left_semi"), "fingerprint", "left")
-    late = plain.filter("id IS NOT NULL").groupBy("id").agg(F.max("row_index").alias("later"), F.max_by(F.struct(*owners), "row_index").alias("owners"))
-    changed = master.join(last.join(late, "id", "left"), "id", "left")
+    """The next snapshot of master after decided(). A record takes all attributes (and branch and file, where both have them) of
+    its last row that changed it, and the identity of the last row that overwrote it. New records have no id yet."""
+    shared = [c for c in master.columns if c in found.columns and c not in ("row_index", "id", "fingerprint")]
+    events = found.filter("outcome IN ('inserted', 'updated')").withColumn("_object", F.coalesce(F.col("record").cast("string"), "fingerprint"))
+    last = events.groupBy("_object").agg(
+        F.max("record").alias("_id"), F.max_by(F.struct(*shared), "row_index").alias("_new"), F.min("fingerprint").alias("_own"),
+        F.max_by("fingerprint", F.when(F.col("overwrites"), F.col("row_index"))).alias("_fp"),
+    )
+    both = master.join(last, F.col("id") == F.col("_id"), "full_outer")
 
     def pick(c: str) -> Column:
-        new = F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)) if c in (*attributes, "fingerprint") else F.col(c)
-        return (F.when(F.col("later") > F.col("at"), F.col(f"owners.{c}")).otherwise(new) if c in owners else new).alias(c)
+        if c in shared:
+            return F.when(F.col("_object").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c))
+        return F.coalesce("_fp", c, "_own") if c == "fingerprint" else F.col(c)
 
-    return upsert(plain.filter("id IS NULL").drop("id"), changed.select(*map(pick, master.columns)))
+    return both.select(*(pick(c).alias(c) for c in master.columns))
 
 
 def check_rows(rows: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:

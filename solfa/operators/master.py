@@ -45,15 +45,39 @@ def upsert_outcomes(new: DataFrame, master: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", outcome).filter("row_index >= 0").select("row_index", "outcome")
 
 
+def changing_rows(new: DataFrame, master: DataFrame) -> DataFrame:
+    """The row of new that settles each record that new inserts or updates: the last one whose owners differ from those before
+    it, which is the first after the last row with other owners. Groups only, so that a crowded identity is no task's burden."""
+    own = new.select("fingerprint", "row_index", _owners().alias("owners"))
+    old = master.select("fingerprint", F.lit(-1).cast("long").alias("row_index"), _owners().alias("owners")).join(own.select("fingerprint"), "fingerprint", "left_semi")
+    every = own.unionByName(old)
+    runs = every.groupBy("fingerprint", "owners").agg(F.max("row_index").alias("until"))
+    last = runs.groupBy("fingerprint").agg(F.max_by("owners", "until").alias("final"))
+    other = runs.join(last, "fingerprint").filter("owners <> final").groupBy("fingerprint").agg(F.max("until").alias("since"))
+    settled = every.join(last.join(other, "fingerprint", "left"), "fingerprint").filter((F.col("owners") == F.col("final")) & (F.col("row_index") > F.coalesce("since", F.lit(-2))))
+    first = settled.groupBy("fingerprint").agg(F.min("row_index").alias("row_index"))
+    return new.join(first.filter("row_index >= 0"), ["fingerprint", "row_index"], "left_semi")
+
+
 def upsert(new: DataFrame, master: DataFrame) -> DataFrame:
-    """The next snapshot of master: identity and extra columns of the stored record (or the first new one), owners of
-    the last one."""
-    attributes, owners = list(ATTRIBUTES.values()), [ATTRIBUTES[c] for c in OWNERSHIP if c in ATTRIBUTES]
-    last = new.groupBy("fingerprint").agg(F.min_by(F.struct(*attributes), "row_index").alias("first"), F.max_by(F.struct(*owners), "row_index").alias("last"))
-    both = master.withColumnRenamed("fingerprint", "fp").join(last, F.col("fp") == F.col("fingerprint"), "full_outer")
-    pick = [F.coalesce(F.col(f"last.{a}"), F.col(a)).alias(a) if a in owners else F.coalesce(F.col(a), F.col(f"first.{a}")).alias(a) for a in attributes]
-    rest = [c for c in master.columns if c not in (*attributes, "fingerprint")]
-    return both.select(*rest, *pick, F.coalesce("fp", "fingerprint").alias("fingerprint"))
+    """The next snapshot of master. A record takes all attributes, and what else new and master share (branch and file), from
+    the row that settles it; a record without such a row stays. New records have no id yet."""
+    shared = [c for c in master.columns if c in new.columns and c not in ("row_index", "id", "fingerprint")]
+    row = changing_rows(new, master).select(F.col("fingerprint").alias("_fp"), F.struct(*shared).alias("_new"))
+    both = master.join(row, F.col("fingerprint") == F.col("_fp"), "full_outer")
+    pick = lambda c: F.when(F.col("_fp").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) if c in shared else F.coalesce(c, "_fp") if c == "fingerprint" else F.col(c)
+    return both.select(*(pick(c).alias(c) for c in master.columns))
+
+
+def numbered(rows: DataFrame, by: str, after: int, name: str = "id", per_part: int = 200_000) -> DataFrame:
+    """rows with a number in the order of by (no two alike), from after + 1 on: parts are ranges of by, and each counts on
+    from the sum of those before it."""
+    parts = max(1, -(-rows.count() // per_part))
+    placed = stored(rows.repartitionByRange(parts, by).withColumn("_part", F.spark_partition_id()), "numbered")
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a part
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(by))
+    return placed.withColumn("_place", place).join(counts.select("_part", before.alias("_before")), "_part").withColumn(name, F.lit(after).cast("long") + F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
 
 
 def conflicts(new: DataFrame, master: DataFrame) -> DataFrame:

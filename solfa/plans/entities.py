@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.schema import ATTRIBUTES, COLUMNS, GRADES, IDENTITY
 from ..operators import cleaning, duplicates, master, review
-from ..sources.storage import stored
+from ..sources.storage import shared_folder, stored
+from ..sources.versions import VersionedMaster
 from . import duck_cells as duck
 from .catalog import DATASET, cleaned
 from .fixtures import CATALOG_MAPPING
@@ -114,9 +117,34 @@ def commit_counters(spark, sf_dir):
     return master_upsert(spark, sf_dir).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+def batch(spark, sf_dir) -> DataFrame:
+    """A file's records, a third of them again with a number and sometimes other owners, some a third time."""
+    source = lambda branch, file: {"branch_id": F.lit(branch).cast("long"), "file_id": F.lit(file).cast("long")}
+    rows = master.records(silver(spark, sf_dir)).withColumns(source(7, 2))
+    n = F.col("row_index")
+    later = {"row_index": n + 10_000_000, "record_no": F.concat(F.lit("R"), n), "label": F.when(n % 2 == 0, "Later Label").otherwise(F.col("label"))}
+    last = {"row_index": n + 20_000_000, "record_no": F.concat(F.lit("S"), n)}
+    return rows.unionByName(rows.filter("row_index % 3 = 0").withColumns(later | source(8, 3))).unionByName(rows.filter("row_index % 9 = 0").withColumns(last | source(9, 4)))
+
+
+def stock(spark, sf_dir) -> DataFrame:
+    return _master(spark, sf_dir).withColumn("file_id", F.lit(1).cast("long"))
+
+
 def master_snapshot(spark, sf_dir):
-    out = master.upsert(master.records(silver(spark, sf_dir)), _master(spark, sf_dir))
-    return out.select("fingerprint", "label", "composer", "track_name", "id")
+    """The whole table after a file was stored; new records have no id yet."""
+    return master.upsert(batch(spark, sf_dir), stock(spark, sf_dir))
+
+
+def master_commits(spark, sf_dir):
+    """Two commits to an empty table in versions, and the records of either version."""
+    held = stock(spark, sf_dir)
+    kinds = ", ".join(f"{a} string" for a in ATTRIBUTES.values())
+    table = VersionedMaster(spark, f"{shared_folder(spark)}/master-{uuid.uuid4().hex}", f"id long, branch_id long, file_id long, {kinds}, fingerprint string", buckets=16)
+    first = table.commit(held.withColumnRenamed("id", "row_index"), 0)
+    second = table.commit(batch(spark, sf_dir), first)
+    version = lambda v: table.read(v).withColumn("version", F.lit(v))
+    return version(first).unionByName(version(second))
 
 
 def master_conflicts(spark, sf_dir):
@@ -157,6 +185,24 @@ _OWN = f"{duck.norm('label')} || chr(1) || {duck.norm('distributor')}"
 UPSERT = f"""{MASTER}, seqs AS (SELECT fingerprint, row_index, {_OWN} AS owners FROM new UNION ALL SELECT fingerprint, -1, {_OWN} FROM mas WHERE fingerprint IN (SELECT fingerprint FROM new)),
 outcomes AS (SELECT * FROM (SELECT row_index, CASE WHEN lag(owners) OVER w IS NULL THEN 'inserted' WHEN lag(owners) OVER w <> owners THEN 'updated' ELSE 'duplicate' END AS outcome
   FROM seqs WINDOW w AS (PARTITION BY fingerprint ORDER BY row_index)) WHERE row_index >= 0)"""
+_A = ", ".join(ATTRIBUTES.values())
+#: batch (row_index, attributes, fingerprint, branch_id, file_id, owners) and mas1, the table before it
+BATCH = f"""{MASTER}, mas1 AS (SELECT id, branch_id, 1 AS file_id, {_A}, fingerprint FROM mas),
+batch AS (SELECT *, {_OWN} AS owners FROM (SELECT row_index, {_A}, fingerprint, 7 AS branch_id, 2 AS file_id FROM new
+  UNION ALL SELECT * REPLACE (row_index + 10000000 AS row_index, 'R' || row_index AS record_no, CASE WHEN row_index % 2 = 0 THEN 'Later Label' ELSE label END AS label) FROM (SELECT row_index, {_A}, fingerprint, 8, 3 FROM new) WHERE row_index % 3 = 0
+  UNION ALL SELECT * REPLACE (row_index + 20000000 AS row_index, 'S' || row_index AS record_no) FROM (SELECT row_index, {_A}, fingerprint, 9, 4 FROM new) WHERE row_index % 9 = 0))"""
+
+
+def _stored(before: str, after: str, new_id: str) -> str:
+    """CTE after: the table before with batch stored, row by row; new_id of records without one, by first row."""
+    n = ", ".join(f"n.{a}" for a in ATTRIBUTES.values())
+    return f"""{after}_seq AS (SELECT fingerprint, row_index, owners FROM batch UNION ALL SELECT fingerprint, -1, {_OWN} FROM {before}),
+{after}_run AS (SELECT *, coalesce(lag(owners) OVER (PARTITION BY fingerprint ORDER BY row_index) <> owners, true) AS changes FROM {after}_seq),
+{after}_last AS (SELECT fingerprint, max(row_index) FILTER (changes) AS row_index, min(row_index) AS first FROM {after}_run GROUP BY fingerprint),
+{after} AS (SELECT m.* FROM {before} m JOIN {after}_last l USING (fingerprint) WHERE row_index < 0
+  UNION ALL SELECT coalesce(id, {new_id}) AS id, n.branch_id, n.file_id, {n}, fingerprint FROM {after}_last l JOIN batch n USING (fingerprint, row_index) LEFT JOIN (SELECT fingerprint, id FROM {before}) USING (fingerprint))"""
+
+
 _DIFF = "list_filter([" + ", ".join(f"CASE WHEN {duck.norm(f'n.{ATTRIBUTES[c]}')} <> {duck.norm(f'm.{ATTRIBUTES[c]}')} THEN '{c}' END" for c in COLUMNS if c != "Record #") + "], lambda x: x IS NOT NULL)"
 _N = lambda a: duck.norm(a)
 CONFLICTS = f"""{MASTER}, met AS (SELECT n.row_index, m.id AS master_id, n.fingerprint = m.fingerprint AS exact, {_DIFF} AS d FROM new n JOIN mas m ON
@@ -189,7 +235,7 @@ _PIECES = "CASE WHEN trim(value) = '' THEN [] WHEN col IN ('Singer', 'Composer',
 
 _NAMES_OF = ["duplicate_flags", "marked_summary", "value_filter", "tag_filter", "review_view_error", "review_view_manual", "text_search", "blank_filter",
     "sorted_page", "column_profile", "top_values", "quality_score", "health_ribbon", "unique_values", "remap_preview", "fingerprints", "master_upsert",
-    "commit_counters", "master_snapshot", "master_conflicts", "master_filter", "tenancy_scope", "master_verify", "master_suggest"]
+    "commit_counters", "master_snapshot", "master_commits", "master_conflicts", "master_filter", "tenancy_scope", "master_verify", "master_suggest"]
 QUERIES = {name: globals()[name] for name in _NAMES_OF}
 _W = f"WITH {DATASET}"
 ORACLES = {
@@ -221,8 +267,9 @@ ORACLES = {
     "fingerprints": f"{_W}, {NEW} SELECT row_index, fingerprint FROM new",
     "master_upsert": f"{_W}, {UPSERT} SELECT row_index, outcome FROM outcomes",
     "commit_counters": f"{_W}, {UPSERT} SELECT outcome, count(*) AS n FROM outcomes GROUP BY outcome",
-    "master_snapshot": f"""{_W}, {MASTER} SELECT coalesce(n.fingerprint, m.fingerprint) AS fingerprint, coalesce(n.label, m.label) AS label, coalesce(m.composer, n.composer) AS composer,
-  coalesce(m.track_name, n.track_name) AS track_name, m.id FROM mas m FULL JOIN new n ON n.fingerprint = m.fingerprint""",
+    "master_snapshot": f"{_W}, {BATCH}, {_stored('mas1', 'after', 'NULL')} SELECT * FROM after",
+    "master_commits": f"""{_W}, {BATCH}, v1 AS (SELECT * REPLACE (row_number() OVER (ORDER BY id) AS id) FROM mas1),
+  {_stored('v1', 'v2', "(SELECT max(id) FROM v1) + row_number() OVER (PARTITION BY id IS NULL ORDER BY first)")} SELECT *, 1 AS version FROM v1 UNION ALL SELECT *, 2 FROM v2""",
     "master_conflicts": f"{_W}, {CONFLICTS} SELECT row_index, master_id, array_to_string(d, ',') AS differences FROM best WHERE rn = 1 AND NOT any_exact AND len(d) > 0",
     "master_filter": f"{_W}, {MASTER} SELECT id FROM mas WHERE (singer ILIKE '%almond%' OR composer ILIKE '%almond%' OR lead_artist ILIKE '%almond%' OR singer ILIKE '%blue%' OR composer ILIKE '%blue%' OR lead_artist ILIKE '%blue%') AND language ILIKE '%hin%'",
     "tenancy_scope": f"{_W}, {MASTER} SELECT id, branch_id FROM mas WHERE branch_id IN (1, 3)",

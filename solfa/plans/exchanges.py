@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.headers import type_hits
-from ..functions.schema import PRESETS
+from ..functions.schema import ATTRIBUTES, PRESETS
 from ..operators import custom, exchange, master, matching, writers
 from ..operators.cleaning import ISSUE
 from ..sources import workbooks
@@ -16,7 +16,7 @@ from ..sources.storage import shared_folder, stored
 from ..streaming import activity
 from . import duck_cells as duck
 from .catalog import DATASET, catalog
-from .entities import FIELDS, MASTER, _master, silver
+from .entities import BATCH, FIELDS, MASTER, _master, batch, silver, stock
 from .fixtures import CATALOG_MAPPING, RAW_CATALOG, RAW_PACKED, RAW_WORKS, duck_table, spark_table
 from .reshapes import WRITER, _writer_rows
 
@@ -107,12 +107,12 @@ def branch_delete(spark, sf_dir):
 
 
 def _decided(spark, sf_dir):
-    records = master.records(silver(spark, sf_dir))
+    records = batch(spark, sf_dir)
     kind = F.when(F.col("row_index") % 4 == 1, "master").when(F.col("row_index") % 4 == 3, "cleaned").otherwise("both")
     target = F.when(F.col("row_index") % 8 == 7, F.col("row_index") + 10_000_000).otherwise(F.col("row_index") - 1)
-    decisions = records.filter("row_index % 3 = 0").select("row_index", kind.alias("decision"), target.alias("master_id"))
-    stock = _master(spark, sf_dir)
-    return exchange.decided(records, stock, decisions), stock
+    decisions = records.filter("row_index % 3 = 0 AND row_index < 10000000").select("row_index", kind.alias("decision"), target.alias("master_id"))
+    held = stock(spark, sf_dir)
+    return exchange.decided(records, held, decisions), held
 
 
 def commit_decisions(spark, sf_dir):
@@ -120,10 +120,9 @@ def commit_decisions(spark, sf_dir):
 
 
 def decided_snapshot(spark, sf_dir):
-    """How many records there are after a commit with decisions, and how many identities."""
-    found, stock = _decided(spark, sf_dir)
-    out = exchange.snapshot(stored(found, "decided"), stock)
-    return out.agg(F.count(F.lit(1)).alias("records"), F.count("id").alias("old"))
+    """The whole table after a commit with decisions."""
+    found, held = _decided(spark, sf_dir)
+    return exchange.snapshot(stored(found, "decided"), held)
 
 
 def custom_columns(spark, sf_dir):
@@ -185,14 +184,19 @@ noted AS (SELECT r.row_index, coalesce(string_agg(DISTINCT col, ',' ORDER BY col
   coalesce(string_agg(note, '; ' ORDER BY note), CASE WHEN r.row_index % 11 = 0 THEN 'Kept as-is by a reviewer (values unchanged)' ELSE '' END) AS notes FROM raw r LEFT JOIN every e ON e.row_index = r.row_index GROUP BY r.row_index)"""
 _VALUE = lambda c: f"(SELECT value FROM vals v WHERE v.row_index = x.row_index AND v.col = '{c}')"
 _OWN = f"{duck.norm('label')} || chr(1) || {duck.norm('distributor')}"
-#: Who has an identity first, then every row by what was decided.
-_DECIDED = f"""{MASTER}, dec AS (SELECT row_index, CASE row_index % 4 WHEN 1 THEN 'master' WHEN 3 THEN 'cleaned' ELSE 'both' END AS decision, CASE WHEN row_index % 8 = 7 THEN row_index + 10000000 ELSE row_index - 1 END AS master_id FROM new WHERE row_index % 3 = 0),
-lines AS (SELECT n.fingerprint, n.row_index, coalesce(decision, 'both') AS decision, mas.id AS target, {_OWN.replace('label', 'n.label').replace('distributor', 'n.distributor')} AS owners FROM new n LEFT JOIN dec USING (row_index) LEFT JOIN mas ON mas.id = dec.master_id
-  UNION ALL SELECT fingerprint, -1, 'stored', id, {_OWN} FROM mas WHERE fingerprint IN (SELECT fingerprint FROM new)),
-holders AS (SELECT fingerprint, arg_min(row_index, row_index) AS since, arg_min(CASE WHEN decision IN ('stored', 'cleaned') THEN coalesce(target, -9) ELSE -9 END, row_index) AS holder FROM lines WHERE decision <> 'master' GROUP BY fingerprint),
-marked AS (SELECT l.*, since, decision = 'cleaned' AND target IS NOT NULL AND (since = row_index OR holder = target) AS takes, decision = 'cleaned' AND since < row_index AND NOT (target IS NOT NULL AND coalesce(holder = target, false)) AS lost FROM lines l LEFT JOIN holders USING (fingerprint)),
-settled AS (SELECT m.*, CASE WHEN decision = 'master' THEN 'skipped' WHEN takes THEN 'updated' WHEN lost THEN 'duplicate' WHEN since = row_index THEN 'inserted'
-  WHEN (SELECT arg_max(p.owners, p.row_index) FROM marked p WHERE p.fingerprint = m.fingerprint AND p.row_index < m.row_index AND p.decision <> 'master' AND NOT p.lost) <> owners THEN 'updated' ELSE 'duplicate' END AS outcome FROM marked m WHERE row_index >= 0)"""
+#: What each identity stands for, then every row by what was decided.
+_DECIDED = f"""{BATCH}, dec AS (SELECT row_index, CASE row_index % 4 WHEN 1 THEN 'master' WHEN 3 THEN 'cleaned' ELSE 'both' END AS decision, CASE WHEN row_index % 8 = 7 THEN row_index + 10000000 ELSE row_index - 1 END AS target
+  FROM batch WHERE row_index % 3 = 0 AND row_index < 10000000),
+lines AS (SELECT b.*, coalesce(decision, 'both') AS decision, t.id AS target FROM batch b LEFT JOIN dec USING (row_index) LEFT JOIN mas1 t ON t.id = dec.target),
+firsts AS (SELECT fingerprint, min(row_index) AS since, arg_min(CASE WHEN decision = 'cleaned' THEN target END, row_index) AS taken, arg_min(decision = 'cleaned' AND target IS NOT NULL, row_index) AS over FROM lines WHERE decision <> 'master' GROUP BY fingerprint),
+marked AS (SELECT l.*, coalesce(m.id, CASE WHEN over THEN taken END) AS record, m.id IS NOT NULL OR coalesce(since < l.row_index, false) AS clash FROM lines l LEFT JOIN firsts USING (fingerprint) LEFT JOIN (SELECT fingerprint, id FROM mas1) m USING (fingerprint)),
+judged AS (SELECT *, decision = 'cleaned' AND coalesce(target = record, false) AS takes FROM marked),
+chain AS (SELECT *, decision = 'cleaned' AND NOT takes AND clash AS lost, coalesce(CAST(record AS VARCHAR), fingerprint) AS thing FROM judged),
+steps AS (SELECT thing, row_index, owners, decision <> 'master' AND NOT lost AS counts FROM chain UNION ALL SELECT CAST(id AS VARCHAR), -1, {_OWN}, true FROM mas1 WHERE id IN (SELECT record FROM chain)),
+seen AS (SELECT thing, row_index, last_value(CASE WHEN counts THEN owners END IGNORE NULLS) OVER (PARTITION BY thing ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM steps),
+settled AS (SELECT c.*, CASE WHEN decision = 'master' THEN 'skipped' WHEN takes THEN 'updated' WHEN lost THEN 'duplicate' WHEN before IS NULL THEN 'inserted' WHEN before <> owners THEN 'updated' ELSE 'duplicate' END AS outcome FROM chain c JOIN seen USING (thing, row_index)),
+finals AS (SELECT thing, max(record) AS record, max(row_index) AS row_index, arg_max(fingerprint, row_index) FILTER (takes) AS taken, min(fingerprint) AS own FROM settled WHERE outcome IN ('inserted', 'updated') GROUP BY thing)"""
+_FIELDS_OF = ", ".join(f"b.{a}" for a in ATTRIBUTES.values())
 ORACLES = {
     "workbook_scan": f"SELECT CAST(row_index // 500 AS VARCHAR) AS file, row_number() OVER (PARTITION BY row_index // 500 ORDER BY row_index) - 1 AS row_index, title, credits, seconds FROM ({duck_table(RAW_PACKED)})",
     "writer_workbooks": f"""WITH {WRITER} SELECT w.work_seq, CAST(writer_seq AS INTEGER) AS writer_seq, CASE WHEN writer_seq = 1 THEN title ELSE '' END AS title,
@@ -204,7 +208,8 @@ ORACLES = {
     "master_export": f"""{_W}, {MASTER} SELECT id, isrc AS "ISRC", track_name AS "Track Name", singer AS "Singer" FROM mas WHERE singer ILIKE '%building%' OR lead_artist ILIKE '%building%' OR singer ILIKE '%demo%' OR lead_artist ILIKE '%demo%'""",
     "branch_delete": f"{_W}, {MASTER} SELECT id, branch_id FROM mas WHERE branch_id NOT IN (2, 4)",
     "commit_decisions": f"{_W}, {_DECIDED} SELECT row_index, outcome FROM settled",
-    "decided_snapshot": f"{_W}, {_DECIDED} SELECT (SELECT count(*) FROM mas) + count(*) FILTER (outcome = 'inserted') AS records, (SELECT count(*) FROM mas) AS old FROM settled",
+    "decided_snapshot": f"""{_W}, {_DECIDED} SELECT * FROM mas1 WHERE id NOT IN (SELECT record FROM finals WHERE record IS NOT NULL)
+  UNION ALL SELECT f.record AS id, b.branch_id, b.file_id, {_FIELDS_OF}, coalesce(f.taken, m.fingerprint, f.own) AS fingerprint FROM finals f JOIN batch b ON b.row_index = f.row_index LEFT JOIN mas1 m ON m.id = f.record""",
     "custom_columns": f"""{_W}, {MASTER}, f AS (SELECT fingerprint, arg_min(value, row_index) AS mood FROM new JOIN vals USING (row_index) WHERE col = 'Mood' AND trim(value) <> '' GROUP BY fingerprint)
   SELECT id, CASE WHEN id % 8 = 0 THEN 'kept' ELSE coalesce(mood, '') END AS x_mood, '' AS x_mood_1 FROM mas LEFT JOIN f USING (fingerprint)""",
     "writer_checks": f"""WITH {WRITER}, c AS (SELECT w.work_seq, (trim(composer_1) <> '')::INT + (trim(composer_2) <> '')::INT + (trim(lyricist_1) <> '')::INT AS cells, (SELECT count(*) FROM wr WHERE wr.work_seq = w.work_seq) AS n, (SELECT count(*) FROM wr WHERE wr.work_seq = w.work_seq AND role2 = 'CA') AS merged FROM works w),
