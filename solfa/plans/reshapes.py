@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import clean_cell
 from ..functions.text import norm
 from ..operators import activity, royalty, similar, standardize, writers
-from ..sources.storage import stored
+from ..sources.storage import shared_folder, stored
 from . import duck_cells as duck
 from .fixtures import RAW_PACKED, RAW_PARTIES, RAW_WORKS, duck_table, spark_table
 
@@ -167,6 +170,28 @@ def similar_counts(spark, sf_dir):
     return similar.similar_counts(_part_names(spark, sf_dir))
 
 
+def similar_cache(spark, sf_dir):
+    """A scan, the same again, one of another file, one after an edit, and one of the first values again: whether each was
+    stored, its rows, and how many of them are those of the first."""
+    names = stored(_part_names(spark, sf_dir), "names")
+    edited = names.withColumn("n", F.col("n") + F.when(F.col("value") == names.agg(F.min("value")).first()[0], 1).otherwise(0))
+    folder, out, first = f"{shared_folder(spark)}/similar-{uuid.uuid4().hex}", [], None
+    for step, (file_id, values) in enumerate([(1, names), (1, names), (2, names), (1, edited), (2, names), (1, names)]):
+        found, hit = similar.cached_counts(values, folder, file_id, "Track Name")
+        found = stored(found, "found")
+        first = found if first is None else first
+        both = found.withColumn("mine", F.lit(1)).unionByName(first.withColumn("mine", F.lit(0))).groupBy(*found.columns).agg(F.max("mine").alias("mine"), F.min("mine").alias("other"))
+        counts = both.agg(F.coalesce(F.sum("mine"), F.lit(0)).cast("long").alias("n"), F.count_if((F.col("mine") == 1) & (F.col("other") == 0)).alias("same"))
+        out.append(counts.select(F.lit(step).alias("step"), F.lit(hit).alias("hit"), "n", "same"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def similar_bound(spark, sf_dir):
+    """Pairs of names of parts whose shared characters allow a ratio of 0.8."""
+    names = _part_names(spark, sf_dir)
+    return similar.candidates(names, names.orderBy(F.col("n").desc(), "value").limit(similar.CAP), 0.8).select("base", "value")
+
+
 _TITLE = duck.title
 _PARTY = rf"""CASE WHEN NOT contains(trim(name), ',') THEN trim(name) ELSE {_TITLE("trim(concat_ws(' ', trim(regexp_replace(trim(name), '^[^,]*,', '')), trim(split_part(trim(name), ',', 1))))")} END"""
 PARTIES = f"""p0 AS ({duck_table(RAW_PARTIES)}),
@@ -197,7 +222,7 @@ wr AS (SELECT n.*, row_number() OVER (PARTITION BY n.work_seq ORDER BY place) AS
 
 _NAMES = ["royalty_shares", "royalty_issues", "royalty_budget", "royalty_slots", "royalty_groups", "royalty_wide", "royalty_checks", "writer_rows", "writer_counts", "writer_parts",
     "packed_explode", "standardize_durations", "activity_sessions", "activity_join", "branch_rollup", "dashboard", "stored_by_file", "report_totals", "documents_exact_dups",
-    "json_props", "similar_values", "similar_counts", "royalty_parties"]
+    "json_props", "similar_values", "similar_counts", "similar_cache", "similar_bound", "royalty_parties"]
 QUERIES = {name: globals()[name] for name in _NAMES}
 _ISSUES = """h AS (SELECT work_key, list_filter(['Composer', 'Author', 'Publisher'], lambda x: NOT list_contains(coalesce(held, []), x)) AS m FROM (SELECT DISTINCT work_key FROM parties)
   LEFT JOIN (SELECT work_key, list(CASE pool WHEN 'C' THEN 'Composer' WHEN 'A' THEN 'Author' ELSE 'Publisher' END) AS held FROM pools GROUP BY work_key) USING (work_key)),
@@ -205,7 +230,13 @@ i AS (SELECT work_key, CASE len(m) WHEN 0 THEN '' WHEN 1 THEN m[1] || ' share no
 _ROLLUP = """f AS (SELECT o_custkey AS branch_id, CASE o_orderstatus WHEN 'F' THEN 4 WHEN 'O' THEN 1 ELSE 3 END AS rank FROM orders),
 r AS (SELECT c_custkey AS branch_id, count(rank) AS files, coalesce(max(rank), 0) AS progress FROM customer LEFT JOIN f ON f.branch_id = c_custkey GROUP BY c_custkey)"""
 _STORED = "SELECT o_orderkey AS file_id, CAST(coalesce(s, 0) AS BIGINT) AS stored FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_linenumber + l_partkey % 5) AS s FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY 1) ON l_orderkey = o_orderkey"
+_SHARED = """v AS (SELECT p_name AS value, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS x, count(*) AS n FROM part GROUP BY p_name),
+c AS (SELECT value, b, count(*) AS c FROM (SELECT value, unicode(unnest(string_split(x, ''))) % 64 AS b FROM v) GROUP BY ALL), m AS (SELECT value, sum(greatest(c - 8, 0)) AS more FROM c GROUP BY value),
+base AS (SELECT value FROM v WHERE x <> '' ORDER BY n DESC, value LIMIT 1000), o AS (SELECT p.value AS base, q.value, sum(least(p.c, q.c, 8)) AS o FROM c p JOIN c q USING (b) WHERE p.value IN (SELECT value FROM base) GROUP BY 1, 2)"""
 ORACLES = {
+    "similar_cache": """SELECT step, step IN (1, 4) AS hit, n, n AS same FROM (SELECT CAST(unnest(range(6)) AS INTEGER) AS step, (SELECT least(1000, count(DISTINCT p_name)) FROM part) AS n)""",
+    "similar_bound": f"""WITH {_SHARED} SELECT base, o.value FROM o JOIN v p ON p.value = base JOIN v q ON q.value = o.value JOIN m r ON r.value = base JOIN m s ON s.value = o.value
+  WHERE trim(p.value) <> trim(q.value) AND 2 * least(length(p.x), length(q.x)) >= 0.8 * (length(p.x) + length(q.x)) AND 2 * (o + least(r.more, s.more)) >= 0.8 * (length(p.x) + length(q.x))""",
     "royalty_parties": f"WITH {PARTIES} SELECT seq, {', '.join(PARTY_COLUMNS)} FROM parties",
     "royalty_shares": f"WITH {PARTIES} SELECT seq, work_key, role, {_SHARE} AS share FROM parties LEFT JOIN shares USING (seq)",
     "royalty_issues": f"WITH {PARTIES}, {_ISSUES} SELECT work_key, issue FROM i",

@@ -5,18 +5,26 @@ task (an upload has at most 20 MB); a folder's files are read side by side."""
 
 from __future__ import annotations
 
-import csv
-import io
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MOST_COLUMNS, FIRST_LINES = 1000, 200
+MOST_COLUMNS = 1000
 
 
 class SheetError(ValueError):
-    """A sheet that can't be read: no header, no data, or too many columns."""
+    """A sheet that can't be read: no header, no data, too many columns, or files of one folder with unlike headers."""
+
+
+def _stripped(cell: Column) -> Column:
+    return F.regexp_replace(cell, "(?U)^\\s+|\\s+$", "")
+
+
+def _width(spark: SparkSession, path: str) -> int:
+    """No row has more cells: the most commas of a line, and one."""
+    most = spark.read.text(path).agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(","), F.lit(""))))).first()[0]
+    return min(MOST_COLUMNS, most or 0) + 1
 
 
 def _rows(spark: SparkSession, path: str, width: int) -> DataFrame:
@@ -24,22 +32,25 @@ def _rows(spark: SparkSession, path: str, width: int) -> DataFrame:
     names = [f"c{i}" for i in range(width)]
     rows = spark.read.csv(path, schema=", ".join(f"{c} string" for c in names), header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", encoding="UTF-8")
     rows = rows.select(F.input_file_name().alias("file"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in names))
-    rows = rows.withColumn("c0", F.regexp_replace("c0", "^﻿", ""))
-    return rows.filter(F.exists(F.array(*names), lambda x: F.trim(x) != "")).withColumn("at", F.monotonically_increasing_id())
+    rows = rows.withColumn("c0", F.regexp_replace("c0", "^\ufeff", ""))
+    return rows.filter(F.exists(F.array(*names), lambda x: _stripped(x) != "")).withColumn("at", F.monotonically_increasing_id())
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
-    """The header of a file of path, without blank cells at its end: the first row with a cell among its first lines."""
-    lines = [r["value"] for r in spark.read.text(path).limit(FIRST_LINES).collect()]
-    rows = csv.reader(io.StringIO("\n".join(lines).removeprefix("\ufeff")))
-    found = next(([c.strip() for c in row] for row in rows if any(c.strip() for c in row)), [])
-    while found and not found[-1]:
-        found.pop()
+    """The one header of the files of path, without blank cells at its end: each file's first row with a cell. A file without
+    such a row has none and no say; files with unlike headers are refused, as cells would stand under wrong names."""
+    width = _width(spark, path)
+    cells = F.array(*(_stripped(F.col(f"c{i}")) for i in range(width)))
+    first = _rows(spark, path, width).groupBy("file").agg(F.min_by(cells, "at").alias("cells"))
+    last = F.array_max(F.transform("cells", lambda x, i: F.when(x != "", i + 1).otherwise(0)))
+    found = [r["cells"] for r in first.select(F.slice("cells", F.lit(1), last).alias("cells")).distinct().limit(2).collect()]
     if not found:
         raise SheetError("No column headers were found.")
-    if len(found) > MOST_COLUMNS:
+    if len(found) > 1:
+        raise SheetError("The files have unlike headers.")
+    if len(found[0]) > MOST_COLUMNS:
         raise SheetError("The file has too many columns.")
-    return found
+    return found[0]
 
 
 def repeated_headers(header: list[str]) -> list[str]:

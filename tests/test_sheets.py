@@ -21,3 +21,23 @@ def test_folder_and_empty(spark, tmp_path):
     (tmp_path / "none" / "c.csv").write_text(" , \n")
     with pytest.raises(SheetError):
         header_of(spark, str(tmp_path / "none"))
+
+
+def test_unlike_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("title,isrc\na,1\n")
+    (tmp_path / "b.csv").write_text("isrc,title\n2,b\n")
+    with pytest.raises(SheetError):
+        scan_csv(spark, str(tmp_path))
+
+
+def test_blank_is_any_white_space_however_long(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\t,\u00a0\n" * 400 + " k\t,l,,\n\t,\n1,2\n\u3000,x\n")
+    rows = scan_csv(spark, str(tmp_path / "a.csv"))
+    assert rows.columns == ["file", "row_index", "k", "l"]
+    assert [(r["k"], r["l"]) for r in rows.orderBy("row_index").collect()] == [("1", "2"), ("\u3000", "x")]
+
+
+def test_too_many_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(",".join(f"c{i}" for i in range(1001)) + "\n1\n")
+    with pytest.raises(SheetError):
+        header_of(spark, str(tmp_path / "a.csv"))
