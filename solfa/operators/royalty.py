@@ -171,3 +171,57 @@ def long_again(wide_rows: DataFrame, fields: dict[str, str], groups: dict[str, i
     places = [(g, i) for g in groups for i in range(1, groups[g] + 1)]
     cells = [F.struct(F.lit(g).alias("grp"), F.lit(i).alias("slot"), *(F.col(f"`{GROUP_LABELS.get(g, g)} {i} {label}`").alias(f) for f, label in fields.items())) for g, i in places]
     return wide_rows.select("work_key", F.explode(F.array(*cells)).alias("c")).select("work_key", "c.*")
+
+
+def compared(rows: DataFrame, table: DataFrame, work_columns: list[str], fields: list[str]) -> DataFrame:
+    """A row for each work, to check table (blocks() of rows) against rows, the parties with their shares: in_rows, written (rows
+    of table), parties, back (parties in table), set_same and order_same (the parties of each group, as a set and in order),
+    placed (parties in table that are the work's own), head_same (work columns hold the work's one value), combined and
+    routed (composers of further roles, and those in the composers' block), shared (parties whose share is as allocated),
+    total (of shares), full (no pool is missing). Each list is of one work, so none is larger than a work."""
+    party = lambda x: F.struct(*(x[f] for f in fields))
+    own = slotted(rows).groupBy("work_key").agg(
+        F.count(F.lit(1)).alias("parties"), F.sort_array(F.collect_list(F.struct("grp", F.col("slot").cast("int").alias("slot"), F.struct(*fields).alias("party")))).alias("own"),
+        *(F.min(c).alias(f"low_{c}") for c in work_columns), *(F.max(c).alias(f"high_{c}") for c in work_columns), F.sum(F.col("share").cast("decimal(20,4)")).alias("total"),
+    )
+    listed = F.flatten(F.transform(F.map_entries("parties"), lambda e: F.transform(e["value"], lambda p, i: F.struct(e["key"].alias("grp"), (i + 1).alias("slot"), party(p).alias("party")))))
+    back = table.withColumn("back", listed).groupBy("work_key").agg(F.count(F.lit(1)).alias("written"), F.sort_array(F.flatten(F.collect_list("back"))).alias("back"), F.first("issue").alias("issue"), *(F.first(c).alias(c) for c in work_columns))
+    both = own.withColumn("in_rows", F.lit(True)).join(back, "work_key", "full_outer")
+    unplaced = lambda a: F.sort_array(F.transform(a, lambda x: F.struct(x["grp"], x["party"])))
+    composer = lambda a: F.size(F.filter(a, lambda x: (role_group(x["party"]["role"]) == "C") & (F.upper(F.trim(x["party"]["role"])) != "C")))
+    routed = F.size(F.filter("back", lambda x: (x["grp"] == "C") & (role_group(x["party"]["role"]) == "C") & (F.upper(F.trim(x["party"]["role"])) != "C")))
+    heads = [(F.col(f"low_{c}") == F.col(f"high_{c}")) & (F.col(c) == F.col(f"low_{c}")) for c in work_columns]
+    same = F.lit(True)
+    for h in heads:
+        same = same & h
+    return both.select(
+        "work_key", F.coalesce("in_rows", F.lit(False)).alias("in_rows"), F.coalesce("written", F.lit(0)).alias("written"), F.coalesce("parties", F.lit(0)).alias("parties"),
+        F.when(F.col("back").isNull(), 0).otherwise(F.size("back")).alias("back"),
+        F.coalesce(unplaced("own") == unplaced("back"), F.lit(False)).alias("set_same"), F.coalesce(F.col("own") == F.col("back"), F.lit(False)).alias("order_same"),
+        F.coalesce(F.size(F.filter("back", lambda x: F.exists("own", lambda y: y["party"] == x["party"]))), F.lit(0)).alias("placed"), F.coalesce(same, F.lit(False)).alias("head_same"),
+        F.coalesce(composer("own"), F.lit(0)).alias("combined"), F.coalesce(routed, F.lit(0)).alias("routed"),
+        F.coalesce(F.size(F.filter("back", lambda x: (x["party"]["share"] != "") & F.exists("own", lambda y: y["party"] == x["party"]))), F.lit(0)).alias("shared"),
+        F.coalesce("total", F.lit(0)).alias("total"), (F.coalesce("issue", F.lit("?")) == "").alias("full"),
+    )
+
+
+def evenly_held(rows: DataFrame) -> DataFrame:
+    """seq and near of each party that draws from a pool: whether its share is an even part of its pools, worked out anew from
+    the numbers of their holders, but for what rounding to four places leaves to a pool's last holder."""
+    total = F.create_map(*(F.lit(x) for p in POOLS.items() for x in p))
+    held = rows.select("seq", "work_key", F.col("share").cast("double").alias("share"), F.explode(share_pools(F.col("role"))).alias("pool"))
+    n = held.groupBy("work_key", "pool").agg(F.count(F.lit(1)).alias("n"))
+    own = held.join(n, ["work_key", "pool"]).groupBy("seq").agg(F.first("share").alias("share"), F.sum(total[F.col("pool")] / F.col("n")).alias("due"), F.sum("n").alias("slack"))
+    return own.select("seq", (F.abs(F.col("share") - F.col("due")) <= 0.0001 * F.col("slack")).alias("near"))
+
+
+def source_checks(raw: DataFrame, kept: DataFrame) -> DataFrame:
+    """raw rows (name and society as in the report, and as changed: new_name, new_society, with n rows alike) as counts to
+    check: commas, turned, prefixed, stripped, repeats; and kept, how many rows are left of them."""
+    comma, prefix = F.contains(F.trim("name"), F.lit(",")), F.trim("society").rlike("^\\d+\\s*:")
+    counts = raw.agg(
+        F.count_if(comma).alias("commas"), F.count_if(comma & ~F.contains("new_name", F.lit(","))).alias("turned"),
+        F.count_if(prefix).alias("prefixed"), F.count_if(prefix & ~F.col("new_society").rlike("^\\d+\\s*:")).alias("stripped"), F.count(F.lit(1)).alias("n"), F.count_distinct("whole").alias("different"),
+    )
+    left = kept.agg(F.count(F.lit(1)).alias("left"))
+    return counts.join(left, F.lit(True)).withColumns({"repeats": F.col("n") - F.col("different"), "removed": F.col("n") - F.col("left")})

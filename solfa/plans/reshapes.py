@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import clean_cell
 from ..functions.text import norm
-from ..operators import activity, royalty, similar, standardize, writers
+from ..operators import activity, exchange, royalty, similar, standardize, writers
 from ..sources.storage import shared_folder, stored
 from . import duck_cells as duck
 from .fixtures import RAW_PACKED, RAW_PARTIES, RAW_WORKS, duck_table, spark_table
@@ -61,21 +61,49 @@ def royalty_wide(spark, sf_dir):
     return table.select("work_key", *works, *groups, "issue", F.lit(",".join(moved)).alias("moved"))
 
 
+_WORK_COLUMNS = ["title", "territory", "duration", "publ_date", "dist_ref"]
+
+
 def royalty_checks(spark, sf_dir):
-    """Checks of the wide form: works and parties kept, every party back from its slot, pools add up."""
-    rows = stored(royalty.allocate(royalty_parties(spark, sf_dir)), "shares")
-    table = stored(royalty.wide(rows, ["title"], FIELDS), "wide")
-    slots = {r["grp"]: r["slots"] for r in royalty.budget(rows).collect()}
-    back = royalty.long_again(table, FIELDS, slots).filter("share <> '' ").select("work_key", "grp", "slot", *FIELDS)
-    own = royalty.slotted(rows).select("work_key", "grp", "slot", *FIELDS)
-    lost, new = own.exceptAll(back).count(), back.exceptAll(own).count()
-    # a pool is at most 100 percent, and short of it where an issue says so
-    sums = rows.groupBy("work_key").agg(F.sum(F.col("share").cast("decimal(20,4)")).alias("total")).join(table.select("work_key", "issue"), "work_key")
-    bad = sums.filter((F.col("issue") == "") & (F.col("total") != 100)).count()
-    full = sums.filter(F.col("issue") == "").count()
-    parties = own.count()
-    checks = [("one row a work", rows.select("work_key").distinct().count(), table.count()), ("no party lost", parties, parties - lost), ("no party added", parties, parties + new), ("shares add up", full, full - bad)]
-    return spark.createDataFrame(checks, "check string, expected long, found long")
+    """The consolidation checked against the report: a row a check, what is expected and what was found."""
+    raw = spark_table(spark, sf_dir, RAW_PARTIES).filter(F.trim("work_key") != "")
+    shares = stored(royalty.allocate(royalty_parties(spark, sf_dir)), "shares")
+    moved = royalty.demoted(shares, _WORK_COLUMNS)
+    works, fields = [c for c in _WORK_COLUMNS if c not in moved], [*FIELDS, *moved]
+    table = stored(royalty.blocks(shares, works, fields), "blocks")
+    whole = F.sha2(F.concat_ws("\x01", F.trim("work_key"), *(royalty_change(c) for c in PARTY_COLUMNS[1:])), 256)
+    source = raw.select("name", "society", royalty_change("name").alias("new_name"), royalty_change("society").alias("new_society"), whole.alias("whole"))
+    kinds = set(table.schema["parties"].dataType.valueType.elementType.names)
+    return consolidation_checks(royalty.compared(shares, table, works, fields), royalty.source_checks(source, shares), royalty.evenly_held(shares), fields, moved, kinds)
+
+
+def royalty_change(c: str):
+    changed = {"duration": royalty.report_duration, "publ_date": royalty.report_date, "dist_ref": royalty.distribution_ref, "name": royalty.party_name, "society": royalty.society}
+    return changed[c](F.col(c)) if c in changed else F.col(c)
+
+
+def consolidation_checks(compared: DataFrame, source: DataFrame, pools: DataFrame, fields: list[str], moved: list[str], kinds: set[str]) -> DataFrame:
+    """check, expected, found, ok. kinds: the fields that parties of the consolidated works have."""
+    works, one = F.count_if("in_rows"), F.count(F.lit(1))
+    checks = exchange.check_rows(compared, {
+        "every work once": (works, F.count_if(F.col("in_rows") & (F.col("written") == 1)) - F.count_if(~F.col("in_rows"))),
+        "every party once": (F.sum("parties"), F.sum("back")),
+        "party fields as they were": (works, F.count_if("set_same")),
+        "party order as it was": (works, F.count_if("order_same")),
+        "no party at another work": (F.sum("parties"), F.sum("placed")),
+        "work columns once a work": (works, F.count_if("head_same")),
+        "share written": (F.sum("parties"), F.sum("shared")),
+        "100 percent in every work": (works, F.count_if(F.col("full") & (F.col("total") == 100))),
+        "combined composers in the composers' block": (F.sum("combined"), F.sum("routed")),
+        "fields of parties": (F.lit(len(fields)), F.lit(len(kinds.intersection(fields)))),
+        "varying columns moved to parties": (F.lit(len(moved)), F.lit(len(kinds.intersection(moved)))),
+    })
+    about = exchange.check_rows(source, {
+        "repeats removed": (F.sum("repeats"), F.sum("removed")),
+        "names turned": (F.sum("commas"), F.sum("turned")),
+        "society prefixes stripped": (F.sum("prefixed"), F.sum("stripped")),
+    })
+    return checks.unionByName(about).unionByName(exchange.check_rows(pools, {"shares even parts of pools": (one, F.count_if("near"))}))
 
 
 def _writer_rows(spark, sf_dir):
@@ -243,9 +271,16 @@ ORACLES = {
     "royalty_budget": f"WITH {PARTIES} SELECT grp, max(slot) AS slots FROM placed GROUP BY grp",
     "royalty_slots": f"WITH {PARTIES} SELECT seq, work_key, grp, CAST(slot AS INTEGER) AS slot FROM placed",
     "royalty_groups": f"WITH {PARTIES} SELECT grp, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles, CAST(max(slot) AS INTEGER) AS blocks, count(*) AS parties FROM placed GROUP BY grp",
-    "royalty_checks": f"""WITH {PARTIES}, {_ISSUES}, w AS (SELECT work_key, sum(share) AS total FROM parties LEFT JOIN shares USING (seq) GROUP BY work_key)
-  SELECT 'one row a work' AS "check", count(*) AS expected, count(*) AS found FROM w UNION ALL SELECT unnest(['no party lost', 'no party added']), count(*), count(*) FROM parties
-  UNION ALL SELECT 'shares add up', count(*), count(*) FILTER (total = 100) FROM w JOIN i USING (work_key) WHERE issue = ''""",
+    "royalty_checks": f"""WITH {PARTIES}, {_ISSUES}, w AS (SELECT work_key, sum(share) AS total, count(*) AS n, count(*) FILTER (grp = 'C' AND upper(trim(role)) <> 'C') AS combined FROM (SELECT p.*, share FROM placed p LEFT JOIN shares USING (seq)) GROUP BY work_key),
+  k AS (SELECT (SELECT count(*) FROM w) AS works, (SELECT count(*) FROM parties) AS parties, (SELECT count(*) FROM p1) AS n, (SELECT CAST(sum(combined) AS BIGINT) FROM w) AS combined,
+    (SELECT count(*) FROM w JOIN i USING (work_key) WHERE issue = '' AND total = 100) AS allocated, (SELECT count(*) FROM p0 WHERE trim(work_key) <> '' AND contains(trim(name), ',')) AS commas,
+    (SELECT count(*) FROM p0 WHERE trim(work_key) <> '' AND regexp_matches(trim(society), '^\\d+\\s*:')) AS prefixed,
+    (SELECT {' + '.join(f"max(CAST(v_{c} AS INT))" for c in ('title', 'territory', 'duration', 'publ_date', 'dist_ref'))} FROM (SELECT {', '.join(f"min({c}) <> max({c}) AS v_{c}" for c in ('title', 'territory', 'duration', 'publ_date', 'dist_ref'))} FROM parties GROUP BY work_key)) AS moved),
+  c AS (SELECT unnest(['every work once', 'party fields as they were', 'party order as it was', 'work columns once a work']) AS "check", works AS expected, works AS found FROM k
+  UNION ALL SELECT unnest(['every party once', 'no party at another work', 'share written']), parties, parties FROM k UNION ALL SELECT '100 percent in every work', works, allocated FROM k
+  UNION ALL SELECT 'combined composers in the composers'' block', combined, combined FROM k UNION ALL SELECT 'fields of parties', 5 + moved, 5 + moved FROM k UNION ALL SELECT 'varying columns moved to parties', moved, moved FROM k
+  UNION ALL SELECT 'repeats removed', n - parties, n - parties FROM k UNION ALL SELECT 'names turned', commas, commas FROM k UNION ALL SELECT 'society prefixes stripped', prefixed, prefixed FROM k UNION ALL SELECT 'shares even parts of pools', count(*), count(*) FROM (SELECT DISTINCT seq FROM pools))
+  SELECT "check", CAST(expected AS BIGINT) AS expected, CAST(found AS BIGINT) AS found, expected = found AS ok FROM c""",
     "royalty_wide": f"""WITH {PARTIES}, {_ISSUES}, t AS (SELECT p.*, p.grp AS g, {_SHARE} AS text_share FROM placed p LEFT JOIN shares USING (seq)),
   moved AS (SELECT array_to_string(list_filter(['title', 'territory', 'duration', 'publ_date', 'dist_ref'], lambda c: list_contains(m, c)), ',') AS moved, m FROM
     (SELECT list_concat({' , '.join(f"CASE WHEN bool_or(v_{c}) THEN ['{c}'] ELSE [] END" for c in ('title', 'territory', 'duration', 'publ_date', 'dist_ref'))}) AS m FROM
