@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import os
 from string import punctuation
+from unicodedata import is_normalized
 
 import numpy as np
 import regex
 
 _LOADED: dict[str, object] = {}
 
+#: The byte that each character of a byte-level vocabulary shows: itself where it can be seen, others from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+BYTES = {chr(b): b for b in _SHOWN} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
 
 def library(path: str):
     """The tokenizers or sentencepiece object for a vocabulary file, by its ending."""
@@ -49,6 +54,22 @@ class WordIds:
         vocabulary = library(path).get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.letters = self._by_ranks(vocabulary)
+
+    def _by_ranks(self, vocabulary: dict[str, int]):
+        """An encoder of words that each end in the byte 1, which stands for the mark of a word's end: it is united with the
+        byte before it first, as the ids of bytes with the mark are below those of all merges."""
+        import tiktoken
+
+        ranks: dict[bytes, int] = {}
+        for token, i in vocabulary.items():
+            plain = token.removesuffix("</w>")
+            if set(plain) <= BYTES.keys():
+                ranks[bytes(map(BYTES.__getitem__, plain)) + b"\x01" * (plain != token)] = i
+        merged = sorted(i for token, i in ranks.items() if len(token) > 1)
+        if len(ranks) < 512 or merged[:256] != list(range(256, 512)):
+            return None  # ids don't rise in that order: the library encodes all
+        return tiktoken.Encoding("letters", pat_str="\\p{L}+\x01", mergeable_ranks=ranks, special_tokens={})
 
     def _each(self, texts: list[str]) -> list[bytes]:
         out = library(self.path).encode_batch_fast(texts, add_special_tokens=False)
@@ -56,7 +77,11 @@ class WordIds:
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters."""
-        ids = np.array(library(self.path).encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        joined = "\x01".join(words) + "\x01"
+        if self.letters is not None and joined == joined.lower() and is_normalized("NFC", joined):
+            ids = np.array(self.letters.encode_ordinary(joined), "<u4")
+        else:
+            ids = np.array(library(self.path).encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
             return self._each(words)
@@ -68,18 +93,21 @@ class WordIds:
         if len(self.memo) > self.max_entries:
             self.older, self.memo = self.memo, {}
         memo, older, table = self.memo, self.older, {}
-        marked, others, wanted = [], set(), set()
+        marked, others, letters = [], set(), []
         for w in set().union(*texts):
-            if w.isalpha():
-                wanted.add(w)
+            ids = memo.get(w)
+            if ids is None and (ids := older.get(w)) is not None:
+                memo[w] = ids
+            if ids is not None:
+                table[w] = ids
+            elif w.isalpha():
+                letters.append(w)
             elif (stem := w.rstrip(punctuation)).isalpha():
-                wanted.add(stem)
                 marked.append((w, stem, w[len(stem) :]))
             else:
                 others.add(w)
-        others.update({tail for _, _, tail in marked})
-        letters = []
-        for w in wanted:
+        others.update({tail for _, _, tail in marked}.difference(table))
+        for w in {stem for _, stem, _ in marked}.difference(letters, table):
             ids = memo.get(w)
             if ids is None and (ids := older.get(w)) is not None:
                 memo[w] = ids
@@ -136,9 +164,7 @@ class SpacedIds:
         self.older: dict[str, bytes] = {}
         own = library(path)
         self.added = [t.content for t in own.get_added_tokens_decoder().values()]
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]  # other bytes are shown from 256 on
-        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        ranks = {bytes(map(byte.__getitem__, token)): i for token, i in own.get_vocab().items() if token not in self.added}
+        ranks = {bytes(map(BYTES.__getitem__, token)): i for token, i in own.get_vocab().items() if token not in self.added}
         self.letters = tiktoken.Encoding("letters", pat_str=r" ?\p{L}+", mergeable_ranks=ranks, special_tokens={})
         self.first = np.zeros(max(ranks.values()) + 1, bool)
         self.first[[i for token, i in ranks.items() if token[:1] == b" "]] = True

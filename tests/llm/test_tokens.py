@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from solfa.llm import bpe, packing, token_counts
 from solfa.llm.shared import written
+from solfa.llm.tokenizing import BYTES, WordIds
 
 RANKS, WORDS, PIECES = (vocabulary.path(x) for x in ("byte_bpe_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"))
 _rng = random.Random(3)
@@ -119,3 +120,15 @@ def test_digests_of_ids(spark, tmp_path):
     assert rows[6]["decoded_sha256"] == hashlib.sha256(b"the the the").hexdigest()
     counted = {r["doc_id"]: r for r in token_counts.op7_token_counts(spark, str(tmp_path)).collect()}
     assert [r for r in counted.values() if r["over_limit"] != (r["n_tokens"] > 2048)] == []
+
+
+def test_words_of_letters_by_ranks():
+    own, mine = Tokenizer.from_file(WORDS), WordIds(WORDS, max_entries=3000)
+    assert mine.letters is not None
+    known = sorted(t.removesuffix("</w>") for t in own.get_vocab())
+    shown = [bytes(BYTES[c] for c in t if c in BYTES).decode("utf-8", "ignore") for t in known]
+    words = [w.lower() for w in shown if w.isalpha()] + ["straße", "éàü", "ﬁn", "각", "각", "日本語", "ǆ", "ıi̇", "ʼn", "ꟈ", "K".lower(), "Å".lower()]
+    words += ["".join(_rng.choices("etaoinshrdluéß", k=_rng.randint(1, 14))) for _ in range(20_000)]
+    for texts in (words, [" ".join(words[i : i + 40]) for i in range(0, len(words), 40)], [w + _rng.choice(".,!'?") for w in words[-3000:]]):
+        expected = own.encode_batch(texts, add_special_tokens=False)
+        assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode(texts)] == [x.ids for x in expected]
