@@ -19,6 +19,7 @@ HEADLINE = [
     "clean_summary", "clean_issues", "duplicate_flags", "column_profile", "top_values", "quality_score", "value_filter",
     "sorted_page", "master_upsert", "master_conflicts", "royalty_shares", "royalty_slots", "royalty_wide", "writer_rows",
     "packed_explode", "similar_values", "similar_counts", "activity_sessions", "branch_rollup", "documents_exact_dups",
+    "overlay_issues", "review_chain", "master_snapshot", "royalty_checks",
 ]
 
 

@@ -14,6 +14,7 @@ from ..operators.cleaning import ISSUE
 from ..sources import workbooks
 from ..sources.storage import shared_folder, stored
 from ..streaming import activity
+from ..streaming import report as daily
 from . import duck_cells as duck
 from .catalog import DATASET, catalog
 from .entities import BATCH, FIELDS, MASTER, _master, batch, silver, stock
@@ -162,6 +163,17 @@ def activity_stream(spark, sf_dir):
     return rows.select("user_id", "event_type", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
 
 
+def daily_report(spark, sf_dir):
+    """The report of the third day over a log that grew by a third each day, files without commits included."""
+    path = _fresh(spark, "report")
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("bigint").alias("file_id"), (F.col("event_id") % 5).alias("inserted"), (F.col("event_id") % 3).alias("updated"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 3).alias("day"))
+    for day in range(3):
+        log.filter(F.col("day") == day).drop("day").write.mode("append").parquet(f"{path}/log")
+        daily.run(activity.log_files(spark, f"{path}/log"), f"{path}/totals", f"{path}/checkpoint")
+    files = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("bigint").alias("file_id"), F.col("c_name").alias("name"))
+    return daily.report(files, daily.totals(spark, f"{path}/totals")).withColumn("last", F.col("last").cast("timestamp_ntz"))
+
+
 def activity_log(spark, sf_dir):
     """The log appended by two runs of a job, of which the second finds nothing new."""
     path = _fresh(spark, "log")
@@ -172,7 +184,7 @@ def activity_log(spark, sf_dir):
 
 
 _NAMES = ["workbook_scan", "writer_workbooks", "mapping_suggestion", "header_matches", "mapping_preview", "review_notes", "review_export", "master_export", "branch_delete",
-    "commit_decisions", "decided_snapshot", "custom_columns", "writer_checks", "activity_stream", "activity_log"]
+    "commit_decisions", "decided_snapshot", "custom_columns", "writer_checks", "activity_stream", "activity_log", "daily_report"]
 QUERIES = {name: globals()[name] for name in _NAMES}
 _W = f"WITH {DATASET}"
 _SINGERS = "list_filter([artist_1, artist_2], lambda x: trim(x) <> '')"
@@ -215,6 +227,8 @@ ORACLES = {
     "writer_checks": f"""WITH {WRITER}, c AS (SELECT w.work_seq, (trim(composer_1) <> '')::INT + (trim(composer_2) <> '')::INT + (trim(lyricist_1) <> '')::INT AS cells, (SELECT count(*) FROM wr WHERE wr.work_seq = w.work_seq) AS n, (SELECT count(*) FROM wr WHERE wr.work_seq = w.work_seq AND role2 = 'CA') AS merged FROM works w),
   t AS (SELECT CAST(sum(cells) AS BIGINT) AS a, CAST(sum(n + merged) AS BIGINT) AS b, count(*) AS w, count(*) FILTER (n > 0) AS v FROM c)
   SELECT *, expected = found AS ok FROM (SELECT 'a row for each writer' AS "check", a AS expected, b AS found FROM t UNION ALL SELECT 'works with a writer', w, v FROM t UNION ALL SELECT unnest(['work written once', 'work in one part']), v, v FROM t)""",
+    "daily_report": """SELECT c_custkey AS file_id, c_name AS name, CAST(coalesce(sum(event_id % 5 + event_id % 3), 0) AS BIGINT) AS stored, count(event_id) AS commits, max(ts) AS last
+  FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY ALL""",
     "activity_stream": """WITH e AS (SELECT user_id, event_type, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)),
   r AS (SELECT *, sum(new) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS run FROM e), g AS (SELECT user_id, event_type, min(ts) AS "first", max(ts) AS "last", count(*) AS n FROM r GROUP BY user_id, event_type, run)
   SELECT * FROM g WHERE "last" + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
