@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import clean_cell
 from ..functions.schema import CREDITS, REQUIRED
 from ..functions.text import joined, let, pieces
+from ..sources.storage import stored
 from .cleaning import ISSUE, LEAD, issue, lead_artist
 from .duplicates import mark_duplicates
 
@@ -115,7 +116,7 @@ def _marked() -> Column:
 def reviewed(cleaned: DataFrame, corrections: DataFrame, dropped: DataFrame, accepted: DataFrame, fields: list[str], **options) -> tuple[DataFrame, DataFrame]:
     """Rows that stay and rows that were dropped, after corrections: duplicates are told among those that stay, and the errors
     of accepted rows are cleared last. fields: columns of the dataset."""
-    rows = recleaned(cleaned, corrections, **options)
+    rows = stored(recleaned(cleaned, corrections, **options), "recleaned")  # read by flags, by rows that stay and by those that go
     gone = dropped.select("row_index").distinct()
     marked = mark_duplicates(rows.join(gone, "row_index", "left_anti"), fields)
     kept = marked.join(accepted.select("row_index").distinct().withColumn("as_is", F.lit(True)), "row_index", "left")
