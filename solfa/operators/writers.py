@@ -1,16 +1,14 @@
-"""Works with writers side by side to one row for each writer, and their parts of limited size."""
+"""Works with writers side by side to one row for each writer."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Columns that ride on a work's first writer.
 HEAD = ("title", "aka_title", "aka_type", "pub_number", "pub_name", "pub_ipi", "collection_share", "rec_title", "rec_artist", "rec_isrc", "rec_label")
-LIMIT = 299
 #: Header spellings, letters and digits only.
 WRITERS = {"C": r"(COMPOSER|COMPOSERNAME|MUSICCOMPOSER|MUSICDIRECTOR)\d*", "A": r"(LYRICIST|LYRICISTNAME|LYRICWRITER|LYRICS|AUTHOR|WRITER)\d*"}
 SINGERS = r"(SINGER|SINGERNAME|VOCALIST|PERFORMER|ARTIST|ARTISTNAME)\d*"
@@ -76,40 +74,3 @@ def writer_rows(works: DataFrame, writers: list[tuple[str, str, str | None]], he
     last, first = split_name(F.col("name"))
     heads = [F.when(F.col("writer_seq") == 1, F.col(a)).otherwise("").alias(a) for a in head]
     return rows.select("work_seq", "writer_seq", *heads, last.alias("last"), first.alias("first"), "ipi", "role")
-
-
-def paginate(sizes: list[int], limit: int = LIMIT) -> list[int]:
-    """The part (from 1) of each work: a work stays whole, and opens a part if it doesn't fit."""
-    part, used, out = 1, 0, []
-    for n in sizes:
-        if used and used + n > limit:
-            part, used = part + 1, 0
-        out.append(part)
-        used += n
-        if used >= limit:
-            part, used = part + 1, 0
-    return out
-
-
-def parts(rows: DataFrame, file: str = "file", limit: int = LIMIT) -> DataFrame:
-    """file, work_seq and part of each work: each part depends on all before it, so one file's works (a sheet of at most a
-    million rows) are numbered in one group, and files side by side."""
-    sizes = rows.groupBy(file, "work_seq").agg(F.count(F.lit(1)).alias("n"))
-    kind = dict(rows.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("work_seq")
-        return pdf[[file, "work_seq"]].assign(part=paginate(pdf["n"].tolist(), limit))
-
-    return sizes.groupBy(file).applyInPandas(run, f"`{file}` {kind[file]}, work_seq {kind['work_seq']}, part int")
-
-
-def counted(works: DataFrame, writers: list[tuple[str, str, str | None]], rows: DataFrame, placed: DataFrame | None = None) -> DataFrame:
-    """A row for each work, to check rows (writer_rows of works) against: cells (filled writer cells), n (rows), merged (of
-    them of both roles), heads (rows with its title), parts (how many of placed, parts() of rows, hold it)."""
-    filled = sum((F.coalesce(F.trim(name) != "", F.lit(False)).cast("int") for _, name, _ in writers), F.lit(0))
-    made = rows.groupBy("work_seq").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") == "CA").alias("merged"), F.count_if(F.col("title") != "").alias("heads"))
-    out = works.select("work_seq", filled.alias("cells")).join(made, "work_seq", "left").na.fill(0)
-    if placed is None:
-        return out.withColumn("parts", F.lit(1).cast("long"))
-    return out.join(placed.groupBy("work_seq").agg(F.count_distinct("part").alias("parts")), "work_seq", "left").na.fill(0)

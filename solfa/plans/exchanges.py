@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.headers import type_hits
 from ..functions.schema import ATTRIBUTES, PRESETS
-from ..operators import custom, exchange, master, matching, writers
+from ..operators import custom, exchange, expansion, master, matching, pagination
 from ..operators.cleaning import ISSUE
 from ..sources import workbooks
 from ..sources.storage import shared_folder, stored
@@ -19,7 +19,7 @@ from . import duck_cells as duck
 from .catalog import DATASET, catalog
 from .entities import BATCH, FIELDS, MASTER, _master, batch, silver, stock
 from .fixtures import CATALOG_MAPPING, RAW_CATALOG, RAW_PACKED, RAW_WORKS, duck_table, spark_table
-from .reshapes import WRITER, _writer_rows
+from .reshapes import PARTS, WRITER, WRITER_COLUMNS, _writer_rows, work_head
 
 
 def _fresh(spark: SparkSession, name: str) -> str:
@@ -36,7 +36,7 @@ def workbook_scan(spark, sf_dir):
 def writer_workbooks(spark, sf_dir):
     """Writers of works as workbooks, one for each part of 299 rows at most, read back."""
     rows = stored(_writer_rows(spark, sf_dir).withColumn("file", F.floor(F.col("work_seq") / 5000).cast("int")), "writers")
-    placed = writers.parts(rows)
+    placed = pagination.parts(rows)
     named = rows.join(placed, ["file", "work_seq"]).withColumn("book", F.concat_ws("-", "file", "part"))
     columns = ["work_seq", "writer_seq", "title", "last", "first", "ipi", "role"]
     texts = named.select("book", (F.col("work_seq") * 1000 + F.col("writer_seq")).alias("at"), *(F.col(c).cast("string").alias(c) for c in columns))
@@ -137,17 +137,12 @@ def custom_columns(spark, sf_dir):
 
 
 def writer_checks(spark, sf_dir):
-    """Whether every filled writer cell became a row and every work is whole in one part."""
+    """The rows of writers and their parts checked against the works, with the first works at fault."""
     rows = stored(_writer_rows(spark, sf_dir).withColumn("file", F.floor(F.col("work_seq") / 5000).cast("int")), "writers")
-    columns = [("C", "composer_1", None), ("C", "composer_2", None), ("A", "lyricist_1", None)]
-    works = writers.counted(spark_table(spark, sf_dir, RAW_WORKS), columns, rows, writers.parts(rows))
-    one = F.count(F.lit(1))
-    return exchange.check_rows(works, {
-        "a row for each writer": (F.sum("cells"), F.sum(F.col("n") + F.col("merged"))),
-        "works with a writer": (one, F.count_if(F.col("n") > 0)),
-        "work written once": (F.count_if(F.col("n") > 0), F.sum("heads")),
-        "work in one part": (F.count_if(F.col("n") > 0), F.count_if(F.col("parts") == 1)),
-    })
+    placed = stored(pagination.parts(rows), "parts")
+    works = expansion.compared(spark_table(spark, sf_dir, RAW_WORKS), WRITER_COLUMNS, work_head(), rows, placed)
+    sizes = rows.join(placed, ["file", "work_seq"]).groupBy("file", "part").agg(F.count(F.lit(1)).alias("n"))
+    return expansion.expansion_checks(stored(works, "compared"), sizes)
 
 
 def _events(spark, sf_dir) -> DataFrame:
@@ -224,9 +219,18 @@ ORACLES = {
   UNION ALL SELECT f.record AS id, b.branch_id, b.file_id, {_FIELDS_OF}, coalesce(f.taken, m.fingerprint, f.own) AS fingerprint FROM finals f JOIN batch b ON b.row_index = f.row_index LEFT JOIN mas1 m ON m.id = f.record""",
     "custom_columns": f"""{_W}, {MASTER}, f AS (SELECT fingerprint, arg_min(value, row_index) AS mood FROM new JOIN vals USING (row_index) WHERE col = 'Mood' AND trim(value) <> '' GROUP BY fingerprint)
   SELECT id, CASE WHEN id % 8 = 0 THEN 'kept' ELSE coalesce(mood, '') END AS x_mood, '' AS x_mood_1 FROM mas LEFT JOIN f USING (fingerprint)""",
-    "writer_checks": f"""WITH {WRITER}, c AS (SELECT w.work_seq, (trim(composer_1) <> '')::INT + (trim(composer_2) <> '')::INT + (trim(lyricist_1) <> '')::INT AS cells, (SELECT count(*) FROM wr WHERE wr.work_seq = w.work_seq) AS n, (SELECT count(*) FROM wr WHERE wr.work_seq = w.work_seq AND role2 = 'CA') AS merged FROM works w),
-  t AS (SELECT CAST(sum(cells) AS BIGINT) AS a, CAST(sum(n + merged) AS BIGINT) AS b, count(*) AS w, count(*) FILTER (n > 0) AS v FROM c)
-  SELECT *, expected = found AS ok FROM (SELECT 'a row for each writer' AS "check", a AS expected, b AS found FROM t UNION ALL SELECT 'works with a writer', w, v FROM t UNION ALL SELECT unnest(['work written once', 'work in one part']), v, v FROM t)""",
+    "writer_checks": f"""WITH RECURSIVE {WRITER}, {PARTS}, c AS (SELECT w.work_seq, title, (trim(composer_1) <> '')::INT + (trim(composer_2) <> '')::INT + (trim(lyricist_1) <> '')::INT AS cells, coalesce(n, 0) AS n, coalesce(merged, 0) AS merged
+    FROM works w LEFT JOIN (SELECT work_seq, count(*) AS n, count(*) FILTER (role2 = 'CA') AS merged FROM wr GROUP BY 1) USING (work_seq)),
+  clash AS (SELECT n.work_seq, n.name || ' (' || title || ')' AS fault FROM nth n JOIN giv g ON g.work_seq = n.work_seq AND g.person = n.person JOIN works w ON w.work_seq = n.work_seq WHERE role <> lead_role AND n.ipi <> '' AND n.ipi <> given),
+  t AS (SELECT CAST(sum(cells) AS BIGINT) AS cells, CAST(sum(n + merged) AS BIGINT) AS made, CAST(sum(n) AS BIGINT) AS n, CAST(sum(merged) AS BIGINT) AS merged, count(*) AS w, count(*) FILTER (n > 0) AS v FROM c),
+  k AS (SELECT 'a row for each writer' AS "check", cells AS expected, made AS found FROM t UNION ALL SELECT 'both roles in one row', merged, merged FROM t UNION ALL SELECT unnest(['no blank writers', 'fields without a source left blank']), n, n FROM t
+    UNION ALL SELECT unnest(['work written once', 'writers in order', 'roles as in the columns', 'identifiers copied', 'names split', 'singers as the recording artist', 'work in one part']), v, v FROM t
+    UNION ALL SELECT 'identifiers stripped from names', count(*), count(*) FROM ent e JOIN works USING (work_seq) WHERE place = 0 AND regexp_matches(trim(composer_1), '\\d{{5,}}$')
+    UNION ALL SELECT 'parts within the limit', count(*), count(*) FILTER (s <= 299) FROM (SELECT sum(n) AS s FROM placed_parts JOIN c USING (work_seq) GROUP BY file, part)
+    UNION ALL SELECT 'one identifier for a merged writer', 0, count(*) FROM clash UNION ALL SELECT 'works with a writer', w, v FROM t),
+  f AS (SELECT 'one identifier for a merged writer' AS "check", work_seq, fault FROM clash UNION ALL SELECT 'works with a writer', work_seq, title FROM c WHERE n = 0),
+  few AS (SELECT "check", count(*) AS n_faults, array_to_string(list(fault ORDER BY work_seq, fault)[:3], ', ') AS faults FROM f GROUP BY 1)
+  SELECT "check", CAST(expected AS BIGINT) AS expected, CAST(found AS BIGINT) AS found, coalesce(n_faults, 0) AS n_faults, coalesce(faults, '') AS faults, expected = found AND n_faults IS NULL AS ok FROM k LEFT JOIN few USING ("check")""",
     "daily_report": """SELECT c_custkey AS file_id, c_name AS name, CAST(coalesce(sum(event_id % 5 + event_id % 3), 0) AS BIGINT) AS stored, count(event_id) AS commits, max(ts) AS last
   FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY ALL""",
     "activity_stream": """WITH e AS (SELECT user_id, event_type, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)),

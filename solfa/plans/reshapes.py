@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import clean_cell
 from ..functions.text import norm
-from ..operators import activity, exchange, royalty, similar, standardize, writers
+from ..operators import activity, exchange, pagination, royalty, similar, standardize, writers
 from ..sources.storage import shared_folder, stored
 from . import duck_cells as duck
 from .fixtures import RAW_PACKED, RAW_PARTIES, RAW_WORKS, duck_table, spark_table
@@ -106,15 +106,20 @@ def consolidation_checks(compared: DataFrame, source: DataFrame, pools: DataFram
     return checks.unionByName(about).unionByName(exchange.check_rows(pools, {"shares even parts of pools": (one, F.count_if("near"))}))
 
 
-def _writer_rows(spark, sf_dir):
-    works = spark_table(spark, sf_dir, RAW_WORKS)
+WRITER_COLUMNS = [("C", "composer_1", "composer_1_cae"), ("C", "composer_2", "composer_2_cae"), ("A", "lyricist_1", "lyricist_1_cae")]
+
+
+def work_head():
     title, aka = F.trim("title"), F.trim("alt_title")
-    head = {
+    return {
         "title": title, "aka_title": aka, "aka_type": F.when(aka != "", "AT").otherwise(""), **{a: F.lit(v) for a, v in PUBLISHER.items()},
         "rec_title": title, "rec_artist": F.array_join(F.filter(F.array(F.trim("singer_1"), F.trim("singer_2")), lambda x: x != ""), ", "),
         "rec_isrc": F.trim("isrc"), "rec_label": F.when(F.trim("music_label") == "", DEFAULT_LABEL).otherwise(F.trim("music_label")),
     }
-    return writers.writer_rows(works, [("C", "composer_1", "composer_1_cae"), ("C", "composer_2", "composer_2_cae"), ("A", "lyricist_1", "lyricist_1_cae")], head)
+
+
+def _writer_rows(spark, sf_dir):
+    return writers.writer_rows(spark_table(spark, sf_dir, RAW_WORKS), WRITER_COLUMNS, work_head())
 
 
 def writer_rows(spark, sf_dir):
@@ -127,7 +132,7 @@ def writer_counts(spark, sf_dir):
 
 def writer_parts(spark, sf_dir):
     rows = _writer_rows(spark, sf_dir).withColumn("file", (F.col("work_seq") / 5000).cast("int"))
-    return writers.parts(rows)
+    return pagination.parts(rows)
 
 
 def packed_explode(spark, sf_dir):
@@ -247,6 +252,12 @@ giv AS (SELECT work_seq, person, arg_min(ipi, place) FILTER (ipi <> '' AND (nth
 wr AS (SELECT n.*, row_number() OVER (PARTITION BY n.work_seq ORDER BY place) AS writer_seq, CASE WHEN both_roles AND nth = 1 THEN coalesce(given, '') ELSE ipi END AS ipi2,
   CASE WHEN both_roles AND nth = 1 THEN 'CA' ELSE role END AS role2, regexp_split_to_array(trim(name), '\s+') AS words
   FROM nth n JOIN giv g ON g.work_seq = n.work_seq AND g.person = n.person WHERE NOT both_roles OR nth = 1 OR role = lead_role)"""
+#: Files of works and their parts, one work after another.
+PARTS = """sizes AS (SELECT work_seq // 5000 AS file, work_seq, count(*) AS n, row_number() OVER (PARTITION BY work_seq // 5000 ORDER BY work_seq) AS i FROM wr GROUP BY work_seq),
+walk AS (SELECT file, work_seq, i, CASE WHEN n >= 299 THEN 0 ELSE n END AS used, 1 AS part, CASE WHEN n >= 299 THEN 2 ELSE 1 END AS open FROM sizes WHERE i = 1
+  UNION ALL SELECT s.file, s.work_seq, s.i, CASE WHEN t >= 299 THEN 0 ELSE t END, p, CASE WHEN t >= 299 THEN p + 1 ELSE p END FROM
+    (SELECT s.*, CASE WHEN used > 0 AND used + n > 299 THEN open + 1 ELSE open END AS p, CASE WHEN used > 0 AND used + n > 299 THEN n ELSE used + n END AS t FROM walk w JOIN sizes s ON s.file = w.file AND s.i = w.i + 1) s),
+placed_parts AS (SELECT CAST(file AS INTEGER) AS file, work_seq, CAST(part AS INTEGER) AS part FROM walk)"""
 
 _NAMES = ["royalty_shares", "royalty_issues", "royalty_budget", "royalty_slots", "royalty_groups", "royalty_wide", "royalty_checks", "writer_rows", "writer_counts", "writer_parts",
     "packed_explode", "standardize_durations", "activity_sessions", "activity_join", "branch_rollup", "dashboard", "stored_by_file", "report_totals", "documents_exact_dups",
@@ -292,6 +303,7 @@ ORACLES = {
   CASE WHEN writer_seq = 1 THEN array_to_string(list_filter([singer_1, singer_2], lambda x: x <> ''), ', ') ELSE '' END AS rec_artist, CASE WHEN writer_seq > 1 THEN '' WHEN music_label = '' THEN '{DEFAULT_LABEL}' ELSE music_label END AS rec_label,
   CASE WHEN len(words) = 1 THEN words[1] ELSE array_to_string(words[2:], ' ') END AS "last", words[1] AS "first", ipi2 AS ipi, role2 AS role FROM wr w JOIN works USING (work_seq)""",
     "writer_counts": f"WITH {WRITER} SELECT role2 AS role, count(*) AS n FROM wr GROUP BY 1",
+    "writer_parts": f"WITH RECURSIVE {WRITER}, {PARTS} SELECT file, work_seq, part FROM placed_parts",
     "packed_explode": f"""WITH r AS ({duck_table(RAW_PACKED)}), s AS (SELECT row_index, i, lower(trim(regexp_extract(p, '^\\s*([A-Za-z][A-Za-z ./&-]*?)\\s*:\\s*(.+?)\\s*$', 1))) AS role, regexp_extract(p, '^\\s*([A-Za-z][A-Za-z ./&-]*?)\\s*:\\s*(.+?)\\s*$', 2) AS v
     FROM (SELECT row_index, unnest(regexp_split_to_array(credits, '\\s*[|;]\\s*')) AS p, generate_subscripts(regexp_split_to_array(credits, '\\s*[|;]\\s*'), 1) AS i FROM r)),
   g AS (SELECT row_index, role, list(v ORDER BY i) AS l FROM s WHERE role <> '' GROUP BY ALL), d AS (SELECT row_index, role, array_to_string({duck.ordered_distinct('l')}, ' | ') AS t FROM g)

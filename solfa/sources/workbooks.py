@@ -256,7 +256,7 @@ def _book(header: list[str], rows) -> bytes:
 def as_workbooks(rows: DataFrame, file: str, order: str, columns: list[str]) -> DataFrame:
     """path and content: a workbook of columns (text) for each value of file, rows by order. Whole numbers of at most 15
     digits are written as numbers, all else as text, so that reading gives the same. A workbook is one group, so deal rows to
-    files of bounded size first, as writers.parts does. Nulls are empty cells."""
+    files of bounded size first, as pagination.parts does. Nulls are empty cells."""
     whole = lambda c: F.when((text_type(c) == "int") & c.rlike("^(0|-?[1-9]\\d{0,14})$"), "int").otherwise("text")
     cells = F.array(*(F.struct(F.coalesce(F.col(c), F.lit("")).alias("v"), whole(F.coalesce(F.col(c), F.lit(""))).alias("k")) for c in columns))
     dealt = rows.select(F.col(file).cast("string").alias("path"), F.col(order).alias("order"), cells.alias("cells"))

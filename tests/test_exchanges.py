@@ -7,7 +7,7 @@ import zipfile
 
 import pytest
 
-from solfa.operators import custom, exchange, matching, writers
+from solfa.operators import custom, exchange, matching
 from solfa.functions.schema import ATTRIBUTES, COLUMNS, PRESETS
 from solfa.sources.versions import StaleVersion, VersionedMaster
 from solfa.sources import workbooks
@@ -240,18 +240,6 @@ def test_versions(spark, tmp_path):
     assert table.commit(source([], 4), 2) == 3 and seen() == two
 
 
-def test_checks_find_what_is_lost(spark):
-    works = spark.createDataFrame([(1, "A", "B"), (2, "C", " "), (3, "", None)], "work_seq long, c string, l string")
-    rows = spark.createDataFrame([(1, "C", "t"), (1, "A", ""), (2, "C", "t")], "work_seq long, role string, title string")
-    from pyspark.sql import functions as F
-
-    def run(made):
-        counted = writers.counted(works, [("C", "c", None), ("A", "l", None)], made)
-        return [r["ok"] for r in exchange.check_rows(counted, {"rows": (F.sum("cells"), F.sum(F.col("n") + F.col("merged"))), "works": (F.count(F.lit(1)), F.count_if(F.col("n") > 0))}).collect()]
-
-    assert run(rows) == [True, False] and run(rows.filter("role = 'C'")) == [False, False]
-
-
 def test_stream_over_several_runs(spark, tmp_path):
     """Runs of repeats that reach over two files; what is open stays in state; a run that follows without news adds nothing."""
     at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
