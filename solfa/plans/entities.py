@@ -29,7 +29,19 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = duplicates.flags(silver(spark, sf_dir), FIELDS)
-    return rows.select("row_index", F.col("column").alias("col"), "tag", "value", F.coalesce(F.array_join("related_rows", ","), F.lit("")).alias("related"))
+    return rows.select("row_index", F.col("column").alias("col"), "tag", "value", "class_id", "n_rows")
+
+
+def duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = duplicates.classes(duplicates.flags(silver(spark, sf_dir), FIELDS))
+    return rows.select(F.col("column").alias("col"), "tag", "class_id", "n_rows", F.array_join("differing", ",").alias("differing"), "n_flags")
+
+
+def duplicate_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The partners of the flags on the first page of flags."""
+    flags, members = duplicates.found(silver(spark, sf_dir), FIELDS)
+    shown = stored(flags.orderBy("row_index", "column", "tag").limit(50), "shown")
+    return duplicates.partners(shown, members).select("row_index", F.col("column").alias("col"), "tag", "partner")
 
 
 def marked_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,33 +225,38 @@ CONFLICTS = f"""{MASTER}, met AS (SELECT n.row_index, m.id AS master_id, n.finge
 best AS (SELECT *, bool_or(exact) OVER (PARTITION BY row_index) AS any_exact, row_number() OVER (PARTITION BY row_index ORDER BY len(d) = 0, len(d), master_id) AS rn FROM met)"""
 
 _FIELDS = [f for f in ("ISRC", "UPC", "Label", "Album Name", "Track Name", "Singer", "Composer", "Lyricist", "Language")]
+_DIFFERING = ", ".join(f"CASE WHEN min(f{i}) <> max(f{i}) THEN '{f}' END" for i, f in enumerate(_FIELDS))
 FLAGS = f"""ids AS (SELECT row_index, {', '.join(f"max({duck.norm('value')}) FILTER (col = '{f}') AS f{i}, max(value) FILTER (col = '{f}') AS v{i}" for i, f in enumerate(_FIELDS))} FROM vals GROUP BY row_index),
 own AS (SELECT *, status = 'error' AS real, array_to_string([{', '.join(f'f{i}' for i in range(len(_FIELDS)))}], chr(1)) AS sig FROM ids JOIN state USING (row_index)),
-placed AS (SELECT *, min(row_index) OVER (PARTITION BY f0, sig) AS first FROM own WHERE f0 <> ''),
-exact AS (SELECT row_index FROM placed WHERE row_index <> first),
+placed AS (SELECT *, min(row_index) OVER (PARTITION BY f0, sig) AS first, count(*) OVER (PARTITION BY f0, sig) AS copies FROM own WHERE f0 <> ''),
+exact AS (SELECT row_index, first AS class_id, copies AS n_rows FROM placed WHERE row_index <> first),
 reps AS (SELECT * FROM placed WHERE row_index = first),
-groups AS (SELECT f0, list(row_index ORDER BY row_index) AS members FROM reps GROUP BY f0 HAVING count(*) > 1),
+groups AS (SELECT f0, list(row_index ORDER BY row_index) AS members, array_to_string(list_filter([{_DIFFERING}], lambda x: x IS NOT NULL), ',') AS differing FROM reps GROUP BY f0 HAVING count(*) > 1),
 rest AS (SELECT * FROM own WHERE row_index NOT IN (SELECT row_index FROM exact) AND f1 <> '' AND f3 <> ''),
 g1 AS (SELECT f1, list(row_index ORDER BY row_index) AS members FROM rest GROUP BY f1 HAVING count(DISTINCT f3) > 1),
 m1 AS (SELECT row_index, v3 AS value, members FROM rest JOIN g1 USING (f1) WHERE NOT real),
 g2 AS (SELECT f3, list(row_index ORDER BY row_index) AS members FROM rest GROUP BY f3 HAVING count(DISTINCT f1) > 1),
 m2 AS (SELECT row_index, v1 AS value, members FROM rest JOIN g2 USING (f3) WHERE NOT real AND row_index NOT IN (SELECT row_index FROM m1)),
-flags AS (SELECT row_index, 'ISRC' AS col, 'duplicate' AS tag, '' AS value, '' AS related FROM exact
-  UNION ALL SELECT row_index, 'ISRC', 'possible_duplicate', v0, {{p}} FROM reps JOIN groups USING (f0) WHERE NOT real
-  UNION ALL SELECT row_index, 'Album Name', 'upc_album_mismatch', value, {{p}} FROM m1
-  UNION ALL SELECT row_index, 'UPC', 'upc_album_mismatch', value, {{p}} FROM m2)""".replace("{p}", "array_to_string(list_transform(list_filter(members, lambda x: x <> row_index), lambda x: CAST(x + 1 AS VARCHAR)), ',')")
+listed AS (SELECT row_index, 'ISRC' AS col, 'possible_duplicate' AS tag, v0 AS value, members, differing FROM reps JOIN groups USING (f0) WHERE NOT real
+  UNION ALL SELECT row_index, 'Album Name', 'upc_album_mismatch', value, members, 'Album Name' FROM m1
+  UNION ALL SELECT row_index, 'UPC', 'upc_album_mismatch', value, members, 'UPC' FROM m2),
+flags AS (SELECT row_index, 'ISRC' AS col, 'duplicate' AS tag, '' AS value, class_id, n_rows, '' AS differing, [] AS members FROM exact
+  UNION ALL SELECT row_index, col, tag, value, members[1], len(members), differing, members FROM listed)"""
 
 _GRADE = "CASE " + " ".join(f"WHEN score >= {cut} THEN '{g}'" for cut, g in GRADES) + " ELSE 'F' END"
 _NAMES = "('Singer', 'Composer', 'Lyricist', 'Lead Artist')"
 _PIECES = "CASE WHEN trim(value) = '' THEN [] WHEN col IN ('Singer', 'Composer', 'Lyricist', 'Lead Artist') THEN string_split(value, ' | ') ELSE [trim(value)] END"
 
-_NAMES_OF = ["duplicate_flags", "marked_summary", "value_filter", "tag_filter", "review_view_error", "review_view_manual", "text_search", "blank_filter",
+_NAMES_OF = ["duplicate_flags", "duplicate_classes", "duplicate_partners", "marked_summary", "value_filter", "tag_filter", "review_view_error", "review_view_manual", "text_search", "blank_filter",
     "sorted_page", "column_profile", "top_values", "quality_score", "health_ribbon", "unique_values", "remap_preview", "fingerprints", "master_upsert",
     "commit_counters", "master_snapshot", "master_commits", "master_conflicts", "master_filter", "tenancy_scope", "master_verify", "master_suggest"]
 QUERIES = {name: globals()[name] for name in _NAMES_OF}
 _W = f"WITH {DATASET}"
 ORACLES = {
-    "duplicate_flags": f"{_W}, {FLAGS} SELECT row_index, col, tag, value, related FROM flags",
+    "duplicate_flags": f"{_W}, {FLAGS} SELECT row_index, col, tag, value, class_id, n_rows FROM flags",
+    "duplicate_classes": f"{_W}, {FLAGS} SELECT col, tag, class_id, any_value(n_rows) AS n_rows, any_value(differing) AS differing, count(*) AS n_flags FROM flags GROUP BY col, tag, class_id",
+    "duplicate_partners": f"""{_W}, {FLAGS}, shown AS (SELECT * FROM flags ORDER BY row_index, col, tag LIMIT 50), each AS (SELECT row_index, col, tag, unnest(members) AS other FROM shown)
+  SELECT row_index, col, tag, other + 1 AS partner FROM each WHERE other <> row_index""",
     "marked_summary": f"""{_W}, {FLAGS}, marked AS (SELECT row_index, status = 'clean' AND row_index NOT IN (SELECT row_index FROM flags) AS clean, fixed FROM state)
   SELECT count(*) AS total, count(*) FILTER (clean) AS clean, count(*) FILTER (clean) AS auto_clean, CAST(0 AS BIGINT) AS manual_clean, count(*) FILTER (NOT clean) AS errors,
   CAST(sum(fixed) AS BIGINT) AS auto_fixed, CAST(0 AS BIGINT) AS deleted FROM marked""",
