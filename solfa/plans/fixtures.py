@@ -83,6 +83,16 @@ SELECT p_partkey AS row_index, p_name AS title,
 FROM {part}
 """
 
+#: Records with a bag of JSON whose keys differ in type and in case; some bags are broken. chr(123) and chr(125) are braces.
+RAW_BAGS = """
+SELECT event_id, CASE WHEN user_id % 3 = 0 THEN '' ELSE 'kept' END AS x_mood,
+  CASE event_id % 7 WHEN 0 THEN props WHEN 1 THEN chr(123) || '"Mood": "' || event_type || '", "k": "' || event_type || '"' || chr(125)
+    WHEN 2 THEN chr(123) || '"Mood": null, "ISWC No": ' || CAST(event_id AS STRING) || '.5, "n": ' || CAST(user_id AS STRING) || chr(125)
+    WHEN 3 THEN chr(123) || '"deep": ' || chr(123) || '"a": [1, ' || CAST(user_id AS STRING) || ']' || chr(125) || ', "flag": true' || chr(125)
+    WHEN 4 THEN chr(123) || '"mood": "low ' || event_type || '", "flag": false, "ISWC No": 7' || chr(125) WHEN 5 THEN '[' || props || ']' ELSE left(props, length(props) - 1) END AS extras
+FROM {events}
+"""
+
 
 def spark_table(spark: SparkSession, sf_dir: str, recipe: str) -> DataFrame:
     names = set(re.findall(r"\{(\w+)\}", recipe))

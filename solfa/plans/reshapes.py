@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import clean_cell
 from ..functions.text import norm
-from ..operators import activity, exchange, pagination, royalty, similar, standardize, writers
+from ..operators import activity, backfill, exchange, pagination, royalty, similar, standardize, writers
 from ..sources.storage import shared_folder, stored
 from . import duck_cells as duck
-from .fixtures import RAW_PACKED, RAW_PARTIES, RAW_WORKS, duck_table, spark_table
+from .fixtures import RAW_BAGS, RAW_PACKED, RAW_PARTIES, RAW_WORKS, duck_table, spark_table
 
 PARTY_COLUMNS = ["work_key", "title", "territory", "duration", "publ_date", "dist_ref", "name", "role", "ipi", "society"]
 WIDE_GROUPS = ["C", "A", "AR", "E", "SE", "UNSPECIFIED"]
@@ -191,6 +191,24 @@ def json_props(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("k"))
 
 
+def bag_layout(spark, sf_dir):
+    """The keys of the bags and the type that all values of each share."""
+    kinds = backfill.layout(spark_table(spark, sf_dir, RAW_BAGS), "extras")
+    return spark.createDataFrame(list(kinds.items()), "key string, type string")
+
+
+def bag_columns(spark, sf_dir):
+    """Values of the bags by the types of their keys."""
+    rows = spark_table(spark, sf_dir, RAW_BAGS)
+    wide = backfill.columns(rows, "extras", backfill.layout(rows, "extras"))
+    return wide.select("event_id", *(F.col("bag")[k].alias(a) for k, a in (("ISWC No", "iswc"), ("Mood", "mood"), ("mood_2", "small"), ("deep", "deep"), ("flag", "flag"), ("k", "k"), ("n", "n"))))
+
+
+def bag_backfill(spark, sf_dir):
+    """Custom columns filled from the bags, of which one had values of its own."""
+    return backfill.backfilled(spark_table(spark, sf_dir, RAW_BAGS), "extras", {"Mood": "x_mood"})[0]
+
+
 def _part_names(spark, sf_dir):
     return _table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -258,10 +276,12 @@ walk AS (SELECT file, work_seq, i, CASE WHEN n >= 299 THEN 0 ELSE n END AS used,
   UNION ALL SELECT s.file, s.work_seq, s.i, CASE WHEN t >= 299 THEN 0 ELSE t END, p, CASE WHEN t >= 299 THEN p + 1 ELSE p END FROM
     (SELECT s.*, CASE WHEN used > 0 AND used + n > 299 THEN open + 1 ELSE open END AS p, CASE WHEN used > 0 AND used + n > 299 THEN n ELSE used + n END AS t FROM walk w JOIN sizes s ON s.file = w.file AND s.i = w.i + 1) s),
 placed_parts AS (SELECT CAST(file AS INTEGER) AS file, work_seq, CAST(part AS INTEGER) AS part FROM walk)"""
+_BAGS = f"""b AS ({duck_table(RAW_BAGS)}), g AS (SELECT event_id, x_mood, CASE WHEN json_valid(extras) AND left(extras, 1) = chr(123) THEN extras END AS bag FROM b)"""
+_IN_BAG = lambda key: f"json_extract_string(bag, '$.\"{key}\"')"
 
 _NAMES = ["royalty_shares", "royalty_issues", "royalty_budget", "royalty_slots", "royalty_groups", "royalty_wide", "royalty_checks", "writer_rows", "writer_counts", "writer_parts",
     "packed_explode", "standardize_durations", "activity_sessions", "activity_join", "branch_rollup", "dashboard", "stored_by_file", "report_totals", "documents_exact_dups",
-    "json_props", "similar_values", "similar_counts", "similar_cache", "similar_bound", "royalty_parties"]
+    "json_props", "bag_layout", "bag_columns", "bag_backfill", "similar_values", "similar_counts", "similar_cache", "similar_bound", "royalty_parties"]
 QUERIES = {name: globals()[name] for name in _NAMES}
 _ISSUES = """h AS (SELECT work_key, list_filter(['Composer', 'Author', 'Publisher'], lambda x: NOT list_contains(coalesce(held, []), x)) AS m FROM (SELECT DISTINCT work_key FROM parties)
   LEFT JOIN (SELECT work_key, list(CASE pool WHEN 'C' THEN 'Composer' WHEN 'A' THEN 'Author' ELSE 'Publisher' END) AS held FROM pools GROUP BY work_key) USING (work_key)),
@@ -320,5 +340,10 @@ ORACLES = {
     "report_totals": f"SELECT count(*) AS n_rows, CAST(sum(stored) AS BIGINT) AS stored FROM ({_STORED})",
     "documents_exact_dups": rf"""WITH d AS (SELECT doc_id, sha256({duck.norm('text')}) AS key FROM documents), g AS (SELECT key, min(doc_id) AS first, count(*) AS copies FROM d GROUP BY key HAVING count(*) > 1)
   SELECT doc_id, "first", copies FROM d JOIN g USING (key) WHERE doc_id <> "first" """,
+    "bag_layout": f"""WITH {_BAGS}, k AS (SELECT bag, unnest(json_keys(bag)) AS key FROM g WHERE bag IS NOT NULL), t AS (SELECT key, json_type(bag, '$."' || key || '"') AS t FROM k),
+  c AS (SELECT key, list(DISTINCT CASE WHEN t IN ('UBIGINT', 'BIGINT') THEN 'BIGINT' WHEN t IN ('DOUBLE', 'BOOLEAN') THEN t ELSE 'STRING' END) FILTER (t <> 'NULL') AS kinds FROM t GROUP BY key)
+  SELECT key, CASE WHEN len(kinds) = 1 THEN kinds[1] WHEN list_contains(kinds, 'STRING') OR list_contains(kinds, 'BOOLEAN') THEN 'STRING' ELSE 'DOUBLE' END AS type FROM c""",
+    "bag_columns": f"""WITH {_BAGS} SELECT event_id, CAST({_IN_BAG('ISWC No')} AS DOUBLE) AS iswc, {_IN_BAG('Mood')} AS mood, {_IN_BAG('mood')} AS small, {_IN_BAG('deep')} AS deep, CAST({_IN_BAG('flag')} AS BOOLEAN) AS flag, {_IN_BAG('k')} AS k, CAST({_IN_BAG('n')} AS BIGINT) AS n FROM g""",
+    "bag_backfill": f"""WITH {_BAGS} SELECT event_id, coalesce({_IN_BAG('Mood')}, {_IN_BAG('mood')}, x_mood) AS x_mood, {', '.join(f"coalesce({_IN_BAG(k)}, '') AS {a}" for k, a in (('ISWC No', 'x_iswc_no'), ('deep', 'x_deep'), ('flag', 'x_flag'), ('k', 'x_k'), ('n', 'x_n')))} FROM g""",
     "json_props": "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events",
 }
