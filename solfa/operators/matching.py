@@ -1,22 +1,24 @@
 """Which column of a sheet fills which canonical column, for many sheets side by side.
 
 Headers are compared with the canonical names and their synonyms, a constant of a few hundred words that travels as a
-literal. What the values look like (headers.type_hits) can outweigh a weak header. One sheet's pairs, at most a thousand
-headers by thirty names, are then dealt greedily in one group."""
+literal. What the values look like (headers.type_hits) can outweigh a weak header. Pairs are then dealt best first, in rounds
+over all sheets at once."""
 
 from __future__ import annotations
 
 import difflib
 import json
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.headers import header_text, header_tokens
 from ..functions.schema import COLUMNS, TYPES
 from ..functions.synonyms import SYNONYMS
+from ..sources.storage import stored
 
 #: The scores of each kind of match, and the bounds that decide on it.
 EXACT, SYNONYM, CONTAINED, MOST_FUZZY = 1.0, 0.96, 0.92, 0.94
@@ -82,27 +84,45 @@ def with_content(scores: DataFrame, hits: DataFrame | None) -> DataFrame:
     return seen.select("file", "place", "header", "target", "position", F.col("score").alias("header_score"), F.when(better, F.round(evidence, 3)).otherwise(F.col("score")).alias("score"), method.alias("method"))
 
 
-def _deal(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Best pairs first, each header and target once; sure leftovers ride along as further sources of their target."""
-    pairs = pairs[pairs["score"] > 0].sort_values(["score", "place", "position"], ascending=[False, True, True], kind="stable")
-    main, taken, rows = {}, set(), list(pairs.itertuples(index=False))
-    for r in rows:
-        if r.place not in taken and r.position not in main and not (r.method == "fuzzy" and r.score < LEAST_FUZZY):
-            main[r.position] = r
-            taken.add(r.place)
-    out = [(r, 0) for r in main.values()]
-    for r in rows:
-        if r.place not in taken and r.position in main and r.score >= SURE:
-            taken.add(r.place)
-            out.append((r, 1 + sum(x.position == r.position and n > 0 for x, n in out)))
-    found = [(r.file, r.target, r.position, r.header, r.place, r.score, r.header_score, r.method, n) for r, n in out]
-    return pd.DataFrame(found, columns=["file", "target", "position", "header", "place", "confidence", "header_score", "method", "nth"])
+#: The total order in which pairs are dealt; the least is the best.
+_RANK = ("against", "place", "position")
+
+
+def _best(pairs: DataFrame, key: str) -> DataFrame:
+    return pairs.groupBy("file", key).agg(F.min(F.struct(*_RANK)).alias("best")).select("file", "best.*")
+
+
+def mutual(pairs: DataFrame) -> DataFrame:
+    """file, place and position of the pairs that dealing best pairs first would choose, each header and target of a file once.
+
+    A pair that is the best left for its header and for its target is chosen by that rule whatever comes before it, so each
+    round takes all such pairs of all files at once. The best pair left is always one of them, so there are no more rounds
+    than targets in a file; no file is gathered in one task."""
+    left, chosen, key = pairs.select("file", *_RANK), [], ["file", *_RANK]
+    while True:
+        left = stored(left, "pairs")
+        if left.isEmpty():
+            break
+        pick = stored(_best(left, "place").join(_best(left, "position"), key).select("file", "place", "position"), "picked")
+        chosen.append(pick)
+        left = left.join(pick.select("file", "place"), ["file", "place"], "left_anti").join(pick.select("file", "position"), ["file", "position"], "left_anti")
+    return reduce(DataFrame.unionByName, chosen, pairs.select("file", "place", "position").limit(0))
 
 
 def assign(scores: DataFrame) -> DataFrame:
     """file, target, position, header, place, confidence, header_score, method and nth (0: the main source, from 1: further
-    ones). Equal scores go to the first header, then the first target."""
-    return scores.groupBy("file").applyInPandas(_deal, "file string, target string, position int, header string, place int, confidence double, header_score double, method string, nth int")
+    ones). Equal scores go to the first header, then the first target. Rows without a file, a score or a place have no part in it;
+    of repeated pairs the best counts. Sure leftovers ride along as further sources of their best target that has a main one."""
+    pairs = scores.filter((F.col("score") > 0) & F.col("file").isNotNull() & F.col("place").isNotNull() & F.col("position").isNotNull()).withColumn("against", -F.col("score"))
+    whole = F.struct("against", "target", "header", "score", "header_score", "method")
+    pairs = stored(pairs.groupBy("file", "place", "position").agg(F.min(whole).alias("x")).select("file", "place", "position", "x.*"), "scores")
+    main = stored(mutual(pairs.filter((F.col("method") != "fuzzy") | (F.col("score") >= LEAST_FUZZY))), "main")
+    more = pairs.filter(F.col("score") >= SURE).join(main.select("file", "position"), ["file", "position"]).join(main.select("file", "place"), ["file", "place"], "left_anti")
+    more = _best(more, "place")
+    # a window of the further sources of one column of one file
+    more = more.select("file", "place", "position", F.row_number().over(Window.partitionBy("file", "position").orderBy(*_RANK)).alias("nth"))
+    dealt = main.withColumn("nth", F.lit(0)).unionByName(more)
+    return pairs.join(dealt, ["file", "place", "position"]).select("file", "target", "position", "header", "place", F.col("score").alias("confidence"), "header_score", "method", "nth")
 
 
 def tighten(found: DataFrame, least: float = SURE) -> DataFrame:

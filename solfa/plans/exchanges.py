@@ -18,7 +18,7 @@ from ..streaming import report as daily
 from . import duck_cells as duck
 from .catalog import DATASET, catalog
 from .entities import BATCH, FIELDS, MASTER, _master, batch, silver, stock
-from .fixtures import CATALOG_MAPPING, RAW_CATALOG, RAW_PACKED, RAW_WORKS, duck_table, spark_table
+from .fixtures import CATALOG_MAPPING, RAW_CATALOG, RAW_PACKED, RAW_SCORES, RAW_WORKS, duck_table, spark_table
 from .reshapes import PARTS, WRITER, WRITER_COLUMNS, _writer_rows, work_head
 
 
@@ -61,6 +61,12 @@ def mapping_suggestion(spark, sf_dir):
     return matching.suggestion(found, known).select("position", "target", "header", "confidence", "method", "needs_review", F.array_join("extras", ",").alias("extras"))
 
 
+def header_assignment(spark, sf_dir):
+    """Pairs of headers and targets dealt best first, with the sources that ride along."""
+    scores = spark_table(spark, sf_dir, RAW_SCORES).withColumn("header_score", F.col("score"))
+    return matching.assign(scores).select("file", "target", "header", "confidence", "method", "nth")
+
+
 def header_matches(spark, sf_dir):
     """Headers that name a canonical column in full: themselves, by a synonym, or within more words."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -178,7 +184,7 @@ def activity_log(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("ts").cast("timestamp_ntz").alias("last"))
 
 
-_NAMES = ["workbook_scan", "writer_workbooks", "mapping_suggestion", "header_matches", "mapping_preview", "review_notes", "review_export", "master_export", "branch_delete",
+_NAMES = ["workbook_scan", "writer_workbooks", "mapping_suggestion", "header_assignment", "header_matches", "mapping_preview", "review_notes", "review_export", "master_export", "branch_delete",
     "commit_decisions", "decided_snapshot", "custom_columns", "writer_checks", "activity_stream", "activity_log", "daily_report"]
 QUERIES = {name: globals()[name] for name in _NAMES}
 _W = f"WITH {DATASET}"
@@ -208,6 +214,14 @@ ORACLES = {
     "workbook_scan": f"SELECT CAST(row_index // 500 AS VARCHAR) AS file, row_number() OVER (PARTITION BY row_index // 500 ORDER BY row_index) - 1 AS row_index, title, credits, seconds FROM ({duck_table(RAW_PACKED)})",
     "writer_workbooks": f"""WITH {WRITER} SELECT w.work_seq, CAST(writer_seq AS INTEGER) AS writer_seq, CASE WHEN writer_seq = 1 THEN title ELSE '' END AS title,
   CASE WHEN len(words) = 1 THEN words[1] ELSE array_to_string(words[2:], ' ') END AS "last", words[1] AS "first", ipi2 AS ipi, role2 AS role FROM wr w JOIN works USING (work_seq)""",
+    "header_assignment": f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, place, position) AS i FROM ({duck_table(RAW_SCORES)}) WHERE score > 0),
+  walk AS (SELECT file, 0::BIGINT AS i, []::INT[] AS places, []::INT[] AS positions, false AS took FROM p GROUP BY file
+    UNION ALL SELECT n.file, n.i, CASE WHEN t THEN list_append(places, place) ELSE places END, CASE WHEN t THEN list_append(positions, position) ELSE positions END, t FROM
+      (SELECT w.places, w.positions, p.*, NOT list_contains(w.places, p.place) AND NOT list_contains(w.positions, p.position) AND (method <> 'fuzzy' OR score >= 0.55) AS t FROM walk w JOIN p ON p.file = w.file AND p.i = w.i + 1) n),
+  main AS (SELECT p.* FROM p JOIN walk USING (file, i) WHERE took),
+  ride AS (SELECT file, place, min(i) AS i FROM p WHERE score >= 0.85 AND (file, position) IN (SELECT (file, position) FROM main) AND (file, place) NOT IN (SELECT (file, place) FROM main) GROUP BY ALL),
+  dealt AS (SELECT *, 0 AS nth FROM main UNION ALL SELECT p.*, CAST(row_number() OVER (PARTITION BY file, position ORDER BY i) AS INTEGER) FROM p JOIN (SELECT file, i FROM ride) USING (file, i))
+  SELECT file, target, header, score AS confidence, method, nth FROM dealt""",
     "header_matches": """SELECT CAST(p_partkey AS INTEGER) AS place, CASE p_size % 3 WHEN 0 THEN 'Genre' WHEN 1 THEN 'Label' ELSE 'ISRC' END AS target, CASE p_size % 3 WHEN 0 THEN 0.92 WHEN 1 THEN 0.96 ELSE 1.0 END AS score FROM part""",
     "mapping_preview": f"""SELECT row_index, isrc_code AS "ISRC", array_to_string({duck.ordered_distinct(_SINGERS)}, ' | ') AS "Singer", mood AS "Mood" FROM ({duck_table(RAW_CATALOG)}) ORDER BY row_index LIMIT 40""",
     "review_notes": f"{_W}, {_NOTED} SELECT row_index, edited, errored, notes FROM noted",

@@ -93,6 +93,13 @@ SELECT event_id, CASE WHEN user_id % 3 = 0 THEN '' ELSE 'kept' END AS x_mood,
 FROM {events}
 """
 
+#: Scores of pairs of headers (place) and targets (position) of sheets (file), with ties, repeats and weak fuzzy ones.
+RAW_SCORES = """
+SELECT 's' || CAST(l_suppkey AS STRING) AS file, CAST(l_partkey % 40 AS INT) AS place, 'h' || CAST(l_partkey % 40 AS STRING) AS header, CAST(l_orderkey % 30 AS INT) AS position,
+  't' || CAST(l_orderkey % 30 AS STRING) AS target, max(CAST((l_partkey * 7 + l_orderkey * 3) % 21 AS DOUBLE) / 20) AS score, min(CASE WHEN (l_partkey + l_orderkey) % 3 = 0 THEN 'fuzzy' ELSE 'synonym' END) AS method
+FROM {lineitem} GROUP BY l_suppkey, l_partkey % 40, l_orderkey % 30
+"""
+
 
 def spark_table(spark: SparkSession, sf_dir: str, recipe: str) -> DataFrame:
     names = set(re.findall(r"\{(\w+)\}", recipe))
