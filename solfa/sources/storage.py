@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """spark.checkpoint.dir, or a folder of our own where that is unset in local mode (tests). A cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = getattr(spark.sparkContext, "_solfa_folder", None) or tempfile.mkdtemp(prefix="solfa-")
         spark.sparkContext._solfa_folder = path
     return path.rstrip("/")
