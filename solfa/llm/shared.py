@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset in local mode (tests).
+    A cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = getattr(spark.sparkContext, "_solfa_shared", None) or tempfile.mkdtemp(prefix="solfa-")
         spark.sparkContext._solfa_shared = path
     return path.rstrip("/")
