@@ -1,11 +1,21 @@
-"""Packed credits taken apart, and values made ready before cleaning."""
+"""A sheet of any layout brought into the canonical columns: packed credits taken apart, headers matched, values made ready
+and cleaned.
+
+Roles of packed credits are headers like others, and are matched as rows of a table: however many different roles free text
+holds, only those that fill a column come to the driver, and only they become columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, PACKED_SHARE = 150, 0.6
+from ..functions.headers import type_hits
+from ..functions.schema import COLUMNS, CREDITS, SEPARATOR
+from . import matching
+from .cleaning import LEAD, clean_dataset, lead_artist
+
+SAMPLE, PACKED_SHARE, MOST_SOURCES = 150, 0.6, 500
+DURATION, NUMBER = "Audio Duration (mm:sec)", "Record #"
 _SEGMENT = "^\\s*([A-Za-z][A-Za-z ./&-]{0,30}?)\\s*:\\s*(.+?)\\s*$"
 
 
@@ -16,21 +26,31 @@ def segments(cell: Column) -> Column:
     return F.filter(pairs, lambda s: (s["role"] != "") & (s["value"] != ""))
 
 
-def is_packed(rows: DataFrame, column: str) -> bool:
-    """Whether most of the first SAMPLE cells that aren't blank hold two segments or more."""
-    sample = rows.filter(F.trim(column) != "").orderBy("row_index").limit(SAMPLE).select(F.size(segments(F.col(column))).alias("n"))
-    seen = sample.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n") >= 2).alias("hits")).first()
-    return seen["n"] > 0 and seen["hits"] / seen["n"] >= PACKED_SHARE
+def packed_columns(rows: DataFrame) -> DataFrame:
+    """col, place, seen and hits: of the first SAMPLE cells of each column that aren't blank, in row order, those that hold two
+    segments or more. All columns in one pass; each task hands on SAMPLE cells of a column at most. Blank columns have no row."""
+    names = [c for c in rows.columns if c != "row_index"]
+    cells = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(c).alias("col"), F.col(f"`{c}`").alias("value")) for i, c in enumerate(names)))
+    filled = rows.select("row_index", F.explode(cells).alias("c")).select("row_index", "c.*").filter(F.trim("value") != "")
+    first = filled.withColumn("nth", F.row_number().over(Window.partitionBy("place", "col").orderBy("row_index"))).filter(F.col("nth") <= SAMPLE)
+    return first.groupBy("col", "place").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.size(segments(F.col("value"))) >= 2).alias("hits"))
+
+
+def packed_names(rows: DataFrame) -> list[str]:
+    """Columns most of whose sampled cells are packed, in their order."""
+    found = packed_columns(rows).filter(F.col("hits") / F.col("seen") >= PACKED_SHARE)
+    return [r["col"] for r in found.orderBy("place").select("col").collect()]  # one row a column
 
 
-def explode_packed(rows: DataFrame, column: str, roles: list[str] | None = None) -> DataFrame:
-    """rows with a column for each role (values joined by ' | ', each once) in place of the packed column."""
-    pairs = segments(F.col(column))
-    if roles is None:  # role names are metadata: a handful for a sheet
-        found = rows.select(F.explode(F.transform(pairs, lambda s: s["role"])).alias("role")).distinct().orderBy("role")
-        roles = [r["role"] for r in found.collect()]
-    of = lambda role: F.array_join(F.array_distinct(F.transform(F.filter("_pairs", lambda s: s["role"] == role), lambda s: s["value"])), " | ")
-    return rows.withColumn("_pairs", pairs).select(*[c for c in rows.columns if c != column], *(of(r).alias(r) for r in roles))
+def _of_role(pairs: Column, role: Column | str) -> Column:
+    """The values that pairs give a role, each once, joined."""
+    return F.array_join(F.array_distinct(F.transform(F.filter(pairs, lambda s: s["role"] == role), lambda s: s["value"])), SEPARATOR)
+
+
+def explode_packed(rows: DataFrame, column: str, roles: list[str]) -> DataFrame:
+    """rows with a column for each of roles (values joined by ' | ', each once) in place of the packed column."""
+    rows = rows.withColumn("_pairs", segments(F.col(column)))
+    return rows.select(*[c for c in rows.columns if c not in (column, "_pairs")], *(_of_role(F.col("_pairs"), r).alias(r) for r in roles))
 
 
 def visible(value: Column) -> Column:
@@ -49,3 +69,69 @@ def numbered(rows: DataFrame, column: str = "Record #") -> DataFrame:
     """Blank record numbers filled with the row's place, from 1."""
     own = F.col(f"`{column}`")
     return rows.withColumn(column, F.when(own == "", (F.col("row_index") + 1).cast("string")).otherwise(own))
+
+
+def _headers(rows: DataFrame, packed: list[str], pairs: Column) -> tuple[DataFrame, DataFrame]:
+    """Headers (file, place, header; roles after the columns, by where they first occur) and what their values look like in the
+    first SAMPLE rows (file, place, type, fraction)."""
+    kept = [c for c in rows.columns if c != "row_index" and c not in packed]
+    place = lambda *xs: F.struct(*(x.cast("long").alias(n) for x, n in zip(xs, ("part", "row", "nth"))))
+    known = rows.sparkSession.createDataFrame([(i, c) for i, c in enumerate(kept)], "i int, header string")
+    heads = known.select(F.lit("sheet").alias("file"), place(F.lit(0), F.col("i"), F.lit(0)).alias("place"), "header")
+    sample = rows.orderBy("row_index").limit(SAMPLE)
+    cells = [F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").alias("value")) for c in kept]
+    if packed:
+        taken = [F.lit(" ".join(c.lower().split())) for c in rows.columns]
+        each = rows.select("row_index", F.posexplode(pairs).alias("nth", "pair")).select("row_index", "nth", "pair.*")
+        # the first column with a role comes before the first row, and that before the first segment
+        order = F.min(place(F.col("part"), F.col("row_index"), F.col("nth")))
+        roles = each.filter(~F.col("role").isin(*taken)).groupBy(F.col("role").alias("header")).agg(order.alias("place"))
+        heads = heads.unionByName(roles.select(F.lit("sheet").alias("file"), "place", "header"))
+    values = sample.select("row_index", F.explode(F.array(*cells)).alias("c")).select("row_index", "c.*") if cells else None
+    if packed:
+        named = sample.select("row_index", pairs.alias("pairs")).select("row_index", "pairs", F.explode(F.array_distinct(F.transform("pairs", lambda s: s["role"]))).alias("col"))
+        own = named.select("row_index", "col", _of_role(F.col("pairs"), F.col("col")).alias("value"))
+        values = values.unionByName(own) if values is not None else own
+    hits = type_hits(values).join(heads.select(F.col("header").alias("col"), "file", "place"), "col").select("file", "place", "type", "fraction")
+    return heads, hits
+
+
+def sources(rows: DataFrame, packed: list[str] | None = None) -> tuple[DataFrame, Column]:
+    """What fills each canonical column of a sheet (row_index and text columns), as matching.assign gives it and tightened, and
+    the credits of a row as (part, role, value)."""
+    packed = packed_names(rows) if packed is None else packed
+    parts = [F.transform(segments(F.col(f"`{c}`")), lambda s, i=i: F.struct(F.lit(i + 1).alias("part"), s["role"].alias("role"), s["value"].alias("value"))) for i, c in enumerate(packed)]
+    pairs = F.flatten(F.array(*parts)) if parts else F.lit(None)
+    heads, hits = _headers(rows, packed, pairs)
+    scores = matching.header_scores(heads, matching.targets(rows.sparkSession))
+    return matching.tighten(matching.assign(matching.with_content(scores, hits))), pairs
+
+
+def standardized(rows: DataFrame, as_of: int = 2026, ascii_only: bool = False) -> tuple[DataFrame, dict[str, list[str]]]:
+    """row_index and the canonical columns of a sheet (row_index, from 0 without gaps, and text columns), and the headers or
+    roles that fill each column, main one first.
+
+    Packed columns give way to their roles. Values lose invisible characters, bare seconds become minutes, then all is cleaned;
+    what can't be mended stays as it is. Lead artists take in all credits, and blank record numbers are the rows' places.
+    Blank cells, nulls and columns that nothing fills are ''. More than MOST_SOURCES sources raise ValueError."""
+    found, pairs = sources(rows)
+    main = found.select("target", "header", "position", "nth").orderBy("position", "nth").limit(MOST_SOURCES + 1).collect()
+    if len(main) > MOST_SOURCES:
+        raise ValueError(f"More than {MOST_SOURCES} headers fill columns.")
+    filled: dict[str, list[str]] = {}
+    for r in main:
+        filled.setdefault(r["target"], []).append(r["header"])
+    cells, mapping = [], {}
+    for target, headers in filled.items():
+        for h in headers:
+            raw = F.col(f"`{h}`") if h in rows.columns else _of_role(F.col("_pairs"), h)
+            mapping.setdefault(target, []).append(f"s{len(cells)}")
+            cells.append((seconds_as_minutes(raw) if target == DURATION else visible(raw)).alias(f"s{len(cells)}"))
+    table = rows.withColumn("_pairs", pairs).select("row_index", *cells)
+    values = lambda c: F.coalesce(F.col("values")[c], F.lit(""))
+    if mapping:
+        table = clean_dataset(table, mapping, as_of=as_of, ascii_only=ascii_only)
+    else:
+        table = table.withColumn("values", F.lit(None).cast("map<string,string>"))
+    own = {c: values(c) for c in COLUMNS} | {LEAD: lead_artist(values(LEAD), [values(c) for c in CREDITS])}
+    return numbered(table.select("row_index", *(v.alias(c) for c, v in own.items())), NUMBER), filled

@@ -83,6 +83,18 @@ SELECT p_partkey AS row_index, p_name AS title,
 FROM {part}
 """
 
+#: A sheet of another layout: credits of all kinds in two columns, bare seconds, invisible characters (word joiners), blank record numbers.
+RAW_LAYOUT = """
+SELECT i AS row_index, CASE WHEN i % 3 = 0 THEN '' ELSE CAST(i + 5000 AS STRING) END AS record_no, 'in-a01-19-' || lpad(CAST(i % 100000 AS STRING), 5, '0') AS isrc_code, CAST(890000000000 + i AS STRING) AS barcode,
+  CASE WHEN i % 4 = 0 THEN '\u2060' || p_name ELSE p_name END AS song_title, p_type || ' hits' AS album,
+  CASE i % 7 WHEN 0 THEN '' WHEN 1 THEN 'Singer: ' || p_brand || ' | Composer : ' || p_type || '; mixed by: ' || p_mfgr WHEN 2 THEN 'singer: ' || p_type || ' | singer: ' || p_brand || ' | Singer: ' || p_type
+    ELSE 'composer: ' || p_name || ';producer: ' || p_mfgr || ' | lyricist: ' || p_type END AS audio_credits,
+  CASE WHEN i % 5 = 0 THEN 'lyricist: ' || p_name ELSE 'lyricist: ' || p_brand || ' | mastered by: ' || p_mfgr END AS more_credits,
+  CASE i % 4 WHEN 0 THEN CAST(60 + i % 500 AS STRING) WHEN 1 THEN CAST(60 + i % 400 AS STRING) || '.5' WHEN 2 THEN '3:' || lpad(CAST(i % 60 AS STRING), 2, '0') ELSE ' ' || CAST(100 + i % 90 AS STRING) || '.25' END AS duration,
+  CASE i % 3 WHEN 0 THEN 'hin' WHEN 1 THEN 'TAM' ELSE 'english' END AS language, p_container AS zz_unknown
+FROM (SELECT p_partkey - (SELECT min(p_partkey) FROM {part}) AS i, p_name, p_type, p_brand, p_brand || ' studio' AS p_mfgr, 'qq ' || CAST(p_size AS STRING) AS p_container FROM {part})
+"""
+
 #: Records with a bag of JSON whose keys differ in type and in case; some bags are broken. chr(123) and chr(125) are braces.
 RAW_BAGS = """
 SELECT event_id, CASE WHEN user_id % 3 = 0 THEN '' ELSE 'kept' END AS x_mood,

@@ -136,7 +136,7 @@ def writer_parts(spark, sf_dir):
 
 
 def packed_explode(spark, sf_dir):
-    rows = standardize.explode_packed(spark_table(spark, sf_dir, RAW_PACKED), "credits")
+    rows = standardize.explode_packed(spark_table(spark, sf_dir, RAW_PACKED), "credits", ["composer", "lyricist", "singer"])
     return rows.select("row_index", "composer", "lyricist", "singer")
 
 
