@@ -41,6 +41,8 @@ from .shared import documents, key_schema, packed, parts, text_bytes, written
 LENGTH = 400
 #: Bytes of the leading run at each level.
 LEVELS = (200, 368, 400)
+#: Bytes of text for each bucket of suffixes, at the most.
+BUCKET = 1 << 28
 #: Windows of one text that are in memory at once.
 SEGMENT = 1 << 20
 REPEATED, OPEN, EDGE, WITNESS = 1, 2, 4, 8
@@ -183,15 +185,34 @@ def suffixes(raw: np.ndarray, verdicts: list, by: Measure) -> tuple[np.ndarray,
     return places, first[once], second[once]
 
 
-def multikey_order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Order by the first token, then of equal ones by the second."""
-    order = np.argsort(first, kind="quicksort")
-    same = first[order][1:] == first[order][:-1]
-    inside = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    at = np.flatnonzero(inside)
-    part = order[at]
-    order[at] = part[np.lexsort((second[part], first[part]))]
-    return order
+def multikey_order(*tokens: np.ndarray) -> np.ndarray:
+    """Order by the tokens in turn, by multikey quicksort: a segment of rows is split in three by a pivot of its token; the
+    outer parts stay at this token, the middle part goes on to the next. All open segments are split in one pass, so a
+    pass costs no more than its rows, and segments of one row, or equal in all tokens, are closed."""
+    table, order = np.stack(tokens), np.arange(len(tokens[0]))
+    start, size, depth = (np.array([x]) for x in (0, len(order), 0))
+    while True:
+        going = (size > 1) & (depth < len(tokens))
+        start, size, depth = start[going], size[going], depth[going]
+        if not len(start):
+            return order
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(start - ends + size, size)
+        own = order[at]
+        key = table[np.repeat(depth, size), own]
+        three = np.sort(np.stack([key[ends - size], key[ends - size + size // 2], key[ends - 1]]), axis=0)
+        pivot = np.repeat(three[1], size)
+        part = (key >= pivot).view(np.int8) + (key > pivot).view(np.int8)
+        which = np.repeat(np.arange(len(size)) * 3, size) + part
+        counts = np.bincount(which, minlength=3 * len(size))
+        begins = np.cumsum(counts) - counts
+        placed = np.empty_like(own)
+        for i in range(3):  # rows keep their order within a part
+            n = counts[i::3]
+            placed[np.arange(n.sum()) + np.repeat(begins[i::3] - np.cumsum(n) + n, n)] = own[part == i]
+        order[at] = placed
+        start = np.repeat(start - ends + size, 3) + begins
+        size, depth = counts, np.repeat(depth, 3) + np.tile([0, 1, 0], len(depth))
 
 
 def _runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,9 +286,10 @@ def _verdict_lists(part: pa.RecordBatch, levels: int) -> list[list[tuple[np.ndar
     return out
 
 
-def _judged(rows: DataFrame, level: int, by: Measure) -> DataFrame:
-    """VERDICTS of suffixes, stored. What is not reported is not repeated."""
+def _judged(rows: DataFrame, level: int, by: Measure, buckets: int = 0) -> DataFrame:
+    """VERDICTS of suffixes, stored. What is not reported is not repeated. buckets: how many; 0: as Spark's settings have it."""
     last = level == len(by.levels) - 1
+    number = (buckets,) if buckets else ()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -283,7 +305,7 @@ def _judged(rows: DataFrame, level: int, by: Measure) -> DataFrame:
         columns += [pa.compute.if_else(edge, None, pa.array(x[own])) for x in (first, second)]
         yield pa.RecordBatch.from_arrays(columns, ["level", "k", "pos", "kind", "first", "second"])
 
-    found = written(rows.repartitionByRange("first", "second", "k", "pos").mapInArrow(run, VERDICTS), "verdicts")
+    found = written(rows.repartitionByRange(*number, "first", "second", "k", "pos").mapInArrow(run, VERDICTS), "verdicts")
     if not last:
         return found
     # across boundaries: a bucket reports two suffixes at most, so few rows meet here
@@ -305,12 +327,16 @@ def remove_repeats(docs: DataFrame, by: Measure = BYTES) -> DataFrame:
     k = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     own = packed(docs, "text", "kept", "n_bytes", "n_removed", "n_spans").select("rest", "text", k.alias("k"))
     slim = own.select("k", "text").filter(F.octet_length("text") >= by.least)
-    verdicts, told = _judged(_emitted(slim, 0, by), 0, by), None
+    # a bucket holds its suffixes: about one for 100 bytes at first
+    size = slim.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    needed = -(-size // BUCKET)
+    buckets = needed if needed > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
+    verdicts = _judged(_emitted(slim, 0, by), 0, by, buckets)
     told = sieve(verdicts, "k", F.col("k"))
     for level in range(1, len(by.levels)):
         open_ = verdicts.filter((F.col("level") == level - 1) & (F.col("kind").bitwiseAND(F.lit(OPEN)) > 0)).select("k").distinct()
         texts = _with_verdicts(slim.filter(told), verdicts.join(open_, "k", "left_semi"), "inner").select("k", "text", "verdicts")
-        verdicts = verdicts.unionByName(_judged(_emitted(texts, level, by), level, by))
+        verdicts = verdicts.unionByName(_judged(_emitted(texts, level, by), level, by, buckets))
     repeated = verdicts.filter(F.col("kind").bitwiseAND(F.lit(REPEATED | OPEN)) > 0)
     hit = F.coalesce(told, F.lit(False)) & (F.octet_length("text") >= by.least)
     touched = _with_verdicts(own.filter(hit), repeated, "left").select("k", "text", "verdicts", "rest")

@@ -255,3 +255,14 @@ def test_word_passages(spark):
 
 def test_no_passages(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("values", [2, 50, 1 << 62])
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 1000, 50_000])
+def test_multikey_quicksort(n, values):
+    rng = np.random.default_rng(n)
+    tokens = [rng.integers(0, values, n, dtype=np.uint64) * np.uint64(3) for _ in range(3)]
+    order = suffix_dedup.multikey_order(*tokens)
+    assert sorted(order.tolist()) == list(range(n))
+    expected = np.lexsort(tokens[::-1])
+    assert all((t[order] == t[expected]).all() for t in tokens)
