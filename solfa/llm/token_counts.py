@@ -24,13 +24,47 @@ from pyspark.sql import functions as F
 from .shared import documents, key_schema, parts
 from .tokenizing import library
 
-CHUNK, OVERLAP = 65_536, 512
+CHUNK, OVERLAP = 4_096, 128
 #: White space for tokenizers' \\s; a word-end vocabulary drops it, so no token holds any.
 _SPACE = regex.compile(r"[\t-\r\x20\x85\xa0  -     　]")
 #: A plain space after another character: only here does a sentencepiece piece surely begin anew.
 _PIECE_SPACE = regex.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 
 
+class Pieces:
+    """An encoded chunk as a table of ids and places."""
+
+    def __init__(self, table: np.ndarray) -> None:
+        self.table, self.size = table, len(table)
+
+    def over(self, begin: int, end: int) -> tuple[int, list[tuple[int, int, int]]]:
+        """The number of tokens before text[begin:end], and those over it: id, begin, end."""
+        first = int(np.argmax(self.table[:, 2] > begin)) if (self.table[:, 2] > begin).any() else self.size
+        return first, [tuple(t) for t in self.table[first:].tolist() if t[1] < end]
+
+
+class Encoded:
+    """An encoded chunk as the library holds it, which is asked for the few places that are needed."""
+
+    def __init__(self, own, at: int) -> None:
+        self.own, self.at, self.size = own, at, len(own)
+
+    def over(self, begin: int, end: int) -> tuple[int, list[tuple[int, int, int]]]:
+        """The number of tokens before text[begin:end], and those over it: id, begin, end. Places without a token are passed over."""
+        found = (self.own.char_to_token(c - self.at) for c in range(begin, end))
+        first = next((i for i in found if i is not None), self.size)
+        ids, out = self.own.ids, []
+        for i in range(first, self.size):
+            a, b = self.own.token_to_chars(i)
+            if a + self.at >= end:
+                break
+            out.append((ids[i], a + self.at, b + self.at))
+        return first, out
+
+
+Chunk = Pieces | Encoded
+
+
 class Counter:
     def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> None:
         self.path, self.chunk, self.overlap, self.own = path, chunk, overlap, library(path)
@@ -51,41 +85,40 @@ class Counter:
             return [len(x) for x in self.own.encode(texts, num_threads=1)]
         return [len(x) for x in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunk(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and where each begins and ends in text."""
+    def _chunk(self, text: str, at: int) -> Chunk:
+        """A piece of text that begins at a place of the whole text, encoded."""
         if self.pieces:
             out = self.own.encode(text, return_type="proto").pieces
             # places are in bytes; count the characters that begin before them
             raw = np.frombuffer(text.encode(), np.uint8)
             chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
             table = np.array([(p.id, p.begin, p.end) for p in out], np.int64).reshape(-1, 3)
-            table[:, 1:] = chars[table[:, 1:]]
-        else:
-            own = self.own.encode(text, add_special_tokens=False)
-            table = np.array([(i, a, b) for i, (a, b) in zip(own.ids, own.offsets)], np.int64).reshape(-1, 3)
-        return table[:, 0], table[:, 1], table[:, 2]
+            table[:, 1:] = chars[table[:, 1:]] + at
+            return Pieces(table)
+        return Encoded(self.own.encode(text, add_special_tokens=False), at)
 
-    def _splice(self, text: str, left: tuple, right: tuple, begin: int, end: int) -> int | None:
-        """A proven common boundary in text[begin:end], or None. left, right: ids, begins, ends in the whole text."""
+    def _splice(self, text: str, left: Chunk, right: Chunk, begin: int, end: int) -> tuple[int, int, int] | None:
+        """A proven common boundary in text[begin:end] and the tokens of left and of right before it, or None."""
         points = [m.start() for m in self.points.finditer(text, begin + 1, end - 1)]
+        sides = [chunk.over(begin, end) for chunk in (left, right)] if len(points) > 1 else []
         for p, q in pairwise(points):
             if q - p < 2:
                 continue
-            seen = []
-            for ids, begins, ends in (left, right):
-                inside = (begins >= p) & (begins < q)
-                crossing = ((begins < p) & (ends > p)) | ((begins < q) & (ends > q))
-                seen.append(None if crossing.any() else (ids[inside].tolist(), begins[inside].tolist(), ends[inside].tolist()))
-            if seen[0] is not None and seen[0][0] and seen[0] == seen[1]:
-                return p
+            seen, before = [], []
+            for first, tokens in sides:
+                crossing = any(a < p < b or a < q < b for _, a, b in tokens)
+                seen.append(None if crossing else [t for t in tokens if p <= t[1] < q])
+                before.append(first + sum(a < p for _, a, _ in tokens))
+            if seen[0] and seen[0] == seen[1]:
+                return p, *before
         return None
 
     def long(self, text: str) -> int:
         if not self.provable:
             return self.small([text])[0]
-        n, total, base = len(text), 0, 0
-        begin, end = 0, min(self.chunk, len(text))
-        left = self._chunk(text[begin:end])
+        n, total, base, counted = len(text), 0, 0, 0
+        end = min(self.chunk, n)
+        left = self._chunk(text[:end], 0)
         while end < n:
             overlap, size, point = self.overlap, self.chunk, None
             while point is None:
@@ -95,19 +128,18 @@ class Counter:
                     size *= 2
                     end = min(n, base + size)
                     first = base + (self.pieces and base > 0)  # the library itself puts a space before a text
-                    ids, begins, ends = self._chunk(text[first:end])
-                    left = (ids, begins + first, ends + first)
+                    left, counted = self._chunk(text[first:end], first), 0
                     if end == n:
-                        return total + int((left[1] >= base).sum())
+                        return total + left.size
                     overlap = self.overlap
                     continue
-                ids, begins, ends = self._chunk(text[at:stop])
-                right = (ids, begins + at, ends + at)
+                right = self._chunk(text[at:stop], at)
                 point = self._splice(text, left, right, at, end)
                 overlap *= 2
-            total += int(((left[1] >= base) & (left[1] < point)).sum())
-            base, end, left = point, stop, right
-        return total + int((left[1] >= base).sum())
+            base, of_left, of_right = point
+            total += of_left - counted
+            end, left, counted = stop, right, of_right
+        return total + left.size - counted
 
     def counts(self, texts: list[str]) -> list[int]:
         short = [i for i, t in enumerate(texts) if len(t) <= self.chunk]
