@@ -111,6 +111,17 @@ def partners(shown: DataFrame, members: DataFrame) -> DataFrame:
     return met.select("row_index", "column", "tag", (F.col("other") + 1).alias("partner"))
 
 
+def related(flags: DataFrame, members: DataFrame) -> DataFrame:
+    """flags with related: the row numbers (from 1) of all other rows of the flag's class, joined by commas; none for a copy
+    alike, which names the row it repeats. A class travels as one list of its row numbers, and the text of a flag is as long
+    as its class is large."""
+    key = ["column", "tag", "class_id"]
+    lists = members.groupBy(*key).agg(F.sort_array(F.collect_list("row_index")).alias("members"))
+    met = flags.join(lists, key, "left")
+    others = F.transform(F.filter("members", lambda m: m != F.col("row_index")), lambda m: (m + 1).cast("string"))
+    return met.select(*flags.columns, F.coalesce(F.array_join(others, ","), F.lit("")).alias("related"))
+
+
 def mark_duplicates(cleaned: DataFrame, fields: list[str]) -> DataFrame:
     """cleaned with its cross-row issues renewed. An issue names one other row and how many more; partners() has them all."""
     none = F.lit(None).cast("array<bigint>").alias("related_rows")

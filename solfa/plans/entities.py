@@ -28,8 +28,9 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = duplicates.flags(silver(spark, sf_dir), FIELDS)
-    return rows.select("row_index", F.col("column").alias("col"), "tag", "value", "class_id", "n_rows")
+    """Every flag with its class and all other rows of the class."""
+    rows = duplicates.related(*duplicates.found(silver(spark, sf_dir), FIELDS))
+    return rows.select("row_index", F.col("column").alias("col"), "tag", "value", "class_id", "n_rows", "related")
 
 
 def duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +254,7 @@ _NAMES_OF = ["duplicate_flags", "duplicate_classes", "duplicate_partners", "mark
 QUERIES = {name: globals()[name] for name in _NAMES_OF}
 _W = f"WITH {DATASET}"
 ORACLES = {
-    "duplicate_flags": f"{_W}, {FLAGS} SELECT row_index, col, tag, value, class_id, n_rows FROM flags",
+    "duplicate_flags": f"{_W}, {FLAGS} SELECT row_index, col, tag, value, class_id, n_rows, array_to_string(list_transform(list_filter(members, lambda x: x <> row_index), lambda x: CAST(x + 1 AS VARCHAR)), ',') AS related FROM flags",
     "duplicate_classes": f"{_W}, {FLAGS} SELECT col, tag, class_id, any_value(n_rows) AS n_rows, any_value(differing) AS differing, count(*) AS n_flags FROM flags GROUP BY col, tag, class_id",
     "duplicate_partners": f"""{_W}, {FLAGS}, shown AS (SELECT * FROM flags ORDER BY row_index, col, tag LIMIT 50), each AS (SELECT row_index, col, tag, unnest(members) AS other FROM shown)
   SELECT row_index, col, tag, other + 1 AS partner FROM each WHERE other <> row_index""",

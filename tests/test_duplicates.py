@@ -56,3 +56,13 @@ def test_no_rules_and_no_rows(spark):
     for fields in (FIELDS, ["Track Name"], ["ISRC"], ["UPC", "Album Name"]):
         flags, members = duplicates.found(none, fields)
         assert flags.collect() == [] and members.collect() == [] and duplicates.mark_duplicates(none, fields).collect() == []
+
+
+def test_every_flag_lists_all_rows_of_its_class(spark):
+    rows = [("I1", "1", "A", "x", False), ("I1", "1", "A", "x", False), ("I1", "1", "A", "y", True), ("I1", "1", "A", "z", False), ("I2", "2", "B", "p", False), ("I3", "2", "C", "q", False)]
+    found = duplicates.related(*duplicates.found(dataset(spark, rows), FIELDS)).collect()
+    # row 3 has an error of its own, so it carries no flag, but belongs to the class
+    assert {(r["row_index"], r["column"], r["tag"], r["related"]) for r in found} == {
+        (0, "ISRC", "possible_duplicate", "3,4"), (1, "ISRC", "duplicate", ""), (3, "ISRC", "possible_duplicate", "1,3"),
+        (4, "Album Name", "upc_album_mismatch", "6"), (5, "Album Name", "upc_album_mismatch", "5"),
+    }
