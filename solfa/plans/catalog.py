@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.cells import clean_cell
 from ..operators import cleaning
 from . import duck_cells as duck
-from .fixtures import CATALOG_MAPPING, RAW_CATALOG, spark_table
+from .fixtures import CATALOG_MAPPING, RAW_CATALOG, spark_table, spread
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sheet. It is one small file that Spark reads in one task, and its cells are dear to clean: its rows go to all cores."""
-    return spark_table(spark, sf_dir, RAW_CATALOG).repartition(max(8, spark.sparkContext.defaultParallelism))
+    return spread(spark_table(spark, sf_dir, RAW_CATALOG))
 
 
 def cleaned(spark: SparkSession, sf_dir: str, constants: dict[str, str] | None = None) -> DataFrame:
