@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import difflib
 import json
-from functools import reduce
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,28 +40,35 @@ def targets(spark: SparkSession) -> Column:
     return F.from_json(F.lit(json.dumps(known)), _TARGET)
 
 
+#: Scores of a word in a pool that a task keeps.
+KEPT = 1 << 17
+
+
 @F.pandas_udf(DoubleType())
-def _fuzzy(words: pd.Series, pool: pd.Series, text: pd.Series, target: pd.Series) -> pd.Series:
-    """How well the words are found in the pool, and the text in the target's, by matching blocks."""
-    near: dict[tuple[str, str], float] = {}
+def _fuzzy(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """How well the words are found in the pool, and the text in the target's, by matching blocks. Words return in many
+    headers, so a task keeps their scores; texts are compared only where a text of that length could raise the score."""
+
+    @lru_cache(maxsize=KEPT)
+    def best(a: str, pool: tuple[str, ...]) -> float:
+        return max(difflib.SequenceMatcher(None, a, b).ratio() for b in pool)
 
-    def ratio(a: str, b: str) -> float:
-        if (a, b) not in near:
-            near[a, b] = difflib.SequenceMatcher(None, a, b).ratio()
-        return near[a, b]
+    def score(words, pool, x: str, y: str) -> float:
+        found = sum(best(a, pool) for a in words) / len(words) if len(words) and len(pool) else 0.0
+        match = difflib.SequenceMatcher(None, x, y)
+        whole = match.ratio() if match.real_quick_ratio() > found and match.quick_ratio() > found else 0.0
+        return round(min(MOST_FUZZY, max(found, 0.55 * found + 0.45 * whole)), 3)
 
-    out = []
-    for w, p, x, y in zip(words, pool, text, target):
-        found = sum(max(ratio(a, b) for b in p) for a in w) / len(w) if len(w) and len(p) else 0.0
-        out.append(round(min(MOST_FUZZY, max(found, 0.55 * found + 0.45 * ratio(x, y))), 3))
-    return pd.Series(out, dtype="float64")
+    for words, pool, text, target in batches:
+        yield pd.Series([score(w, tuple(p), x, y) for w, p, x, y in zip(words, pool, text, target)], dtype="float64")
 
 
 def header_scores(headers: DataFrame, known: Column) -> DataFrame:
     """headers (file, place, header) with target, position, kind, score and method against each canonical column.
-    Headers without letters or digits (null too) score nothing and have no rows."""
+    Headers without letters or digits (null too) score nothing and have no rows. Each spelling is scored once, however many
+    sheets and places have it."""
     h = F.col("header")
-    own = headers.select("file", "place", "header", header_text(h).alias("text"), header_tokens(h).alias("every"), header_tokens(h, True).alias("content"))
+    own = headers.select("header").distinct().select("header", header_text(h).alias("text"), header_tokens(h).alias("every"), header_tokens(h, True).alias("content"))
     pairs = own.filter("text <> ''").select("*", F.explode(known).alias("t"))
     words = F.when(F.size("content") > 0, F.col("content")).otherwise(F.col("every"))
     inside = (F.size("t.tokens") > 0) & (F.size(F.array_except("t.tokens", "content")) == 0)
@@ -69,8 +77,8 @@ def header_scores(headers: DataFrame, known: Column) -> DataFrame:
     plain = F.create_map(*(F.lit(x) for p in {"exact": EXACT, "synonym": SYNONYM, "contained": CONTAINED}.items() for x in p))[F.col("how")]
     fixed = pairs.filter("how <> 'fuzzy'").withColumn("score", plain)
     fuzzy = pairs.filter("how = 'fuzzy'").withColumn("score", _fuzzy("words", "t.pool", "text", "t.text"))
-    scored = fixed.unionByName(fuzzy)
-    return scored.select("file", "place", "header", "t.target", "t.position", "t.kind", "score", F.when(F.col("how") == "contained", "fuzzy").otherwise(F.col("how")).alias("method"))
+    scored = fixed.unionByName(fuzzy).select("header", "t.target", "t.position", "t.kind", "score", F.when(F.col("how") == "contained", "fuzzy").otherwise(F.col("how")).alias("method"))
+    return headers.select("file", "place", "header").join(scored, "header").select("file", "place", *scored.columns)
 
 
 def with_content(scores: DataFrame, hits: DataFrame | None) -> DataFrame:

@@ -18,7 +18,7 @@ from ..streaming import report as daily
 from . import duck_cells as duck
 from .catalog import DATASET, catalog
 from .entities import BATCH, FIELDS, MASTER, _master, batch, silver, stock
-from .fixtures import CATALOG_MAPPING, RAW_CATALOG, RAW_PACKED, RAW_SCORES, RAW_WORKS, duck_table, spark_table
+from .fixtures import CATALOG_MAPPING, RAW_CATALOG, RAW_PACKED, RAW_SCORES, RAW_WORKS, duck_table, spark_table, spread
 from .reshapes import PARTS, WRITER, WRITER_COLUMNS, _writer_rows, work_head
 
 
@@ -69,7 +69,7 @@ def header_assignment(spark, sf_dir):
 
 def header_matches(spark, sf_dir):
     """Headers that name a canonical column in full: themselves, by a synonym, or within more words."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    parts = spread(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey")
     head = F.when(F.col("p_size") % 3 == 0, F.concat_ws(" ", F.lit("Genre"), "p_name")).when(F.col("p_size") % 3 == 1, "LABEL  name").otherwise(F.lit("isrc"))
     heads = parts.select(F.lit("sheet").alias("file"), F.col("p_partkey").cast("int").alias("place"), head.alias("header"))
     found = matching.header_scores(heads, matching.targets(spark)).filter("score >= 0.92")
