@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import title_case
+from ..functions.text import let, title_case
 
 #: Percent of each pool, labels of pools and role groups, order of role groups.
 POOLS = {"C": 25.0, "A": 25.0, "E": 50.0}
@@ -87,9 +89,19 @@ def format_share(value: Column) -> Column:
     return F.when(text == "", "0").otherwise(text)
 
 
-def parties(raw: DataFrame, columns: list[str]) -> DataFrame:
-    """raw (seq, work_key, role and other columns, transformed) without blank keys and without exact repeats."""
-    kept = raw.withColumn("work_key", F.trim("work_key")).filter("work_key <> ''")
+#: Rows of a partition of works, so that a task's memory doesn't grow with the report.
+ROWS_A_PART = 1_000_000
+
+
+def by_work(rows: DataFrame, n: int, key: str = "work_key") -> DataFrame:
+    """n rows dealt by work (key): every step that groups by work, or by more than the work, then needs no exchange of its own."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-n // ROWS_A_PART)), key)
+
+
+def parties(raw: DataFrame, columns: list[str], n: int = 0) -> DataFrame:
+    """raw (seq, work_key, role and other columns, transformed; about n rows) without blank keys and without exact repeats."""
+    kept = by_work(raw.withColumn("work_key", F.trim("work_key")).filter("work_key <> ''"), n)
     first = kept.groupBy(*columns).agg(F.min("seq").alias("seq"))
     return first.select("seq", *columns)
 
@@ -97,26 +109,38 @@ def parties(raw: DataFrame, columns: list[str]) -> DataFrame:
 def allocate(rows: DataFrame) -> DataFrame:
     """rows (seq, work_key, role) with share: each pool split evenly, what rounding leaves to the pool's last holder.
 
-    Windows are over one pool of one work, of which there are as many rows as the work has parties."""
-    held = rows.select("seq", "work_key", F.explode(share_pools(F.col("role"))).alias("pool"))
-    pool = Window.partitionBy("work_key", "pool")
-    total = F.create_map(*(F.lit(x) for p in POOLS.items() for x in p))[F.col("pool")]
-    n, place = F.count(F.lit(1)).over(pool), F.row_number().over(pool.orderBy("seq"))
-    parts = held.withColumn("n", n).withColumn("place", place).withColumn("total", total).withColumn("each", F.bround(F.col("total") / F.col("n"), 4))
-    last = F.bround(F.col("total") - F.col("each") * (F.col("n") - 1), 4)
-    shares = parts.withColumn("part", F.when(F.col("place") == F.col("n"), last).otherwise(F.col("each")).cast("decimal(20,4)"))
-    summed = shares.groupBy("seq").agg(F.sum("part").alias("share"))
-    return rows.join(summed, "seq", "left").withColumn("share", format_share(F.coalesce("share", F.lit(0))))
+    Windows are over one work, of which there are as many rows as it has parties."""
+    every = Window.partitionBy("work_key").orderBy("seq")
+    holds = {p: F.coalesce(F.array_contains(share_pools(F.col("role")), p), F.lit(False)) for p in POOLS}
+    whole, before = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), every.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = rows.withColumns({f"_holds_{p}": c for p, c in holds.items()})
+    held = held.withColumns({f"_n_{p}": F.count_if(f"_holds_{p}").over(whole) for p in POOLS} | {f"_place_{p}": F.count_if(f"_holds_{p}").over(before) for p in POOLS})
+
+    def part(p: str, total: float) -> Column:
+        n, each = F.col(f"_n_{p}"), F.bround(F.lit(total) / F.greatest(F.col(f"_n_{p}"), F.lit(1)), 4)
+        last = F.bround(F.lit(total) - each * (n - 1), 4)
+        return F.when(F.col(f"_holds_{p}"), F.when(F.col(f"_place_{p}") == n, last).otherwise(each)).otherwise(0.0).cast("decimal(20,4)")
+
+    share = reduce(lambda a, b: a + b, (part(p, total) for p, total in POOLS.items()))
+    return held.select(*rows.columns, format_share(share).alias("share"))
 
 
 def issues(rows: DataFrame) -> DataFrame:
     """work_key and the pools nobody holds, as a message (blank if none)."""
     held = rows.groupBy("work_key").agg(F.flatten(F.collect_set(share_pools(F.col("role")))).alias("held"))
-    missing = F.array_compact(F.array(*(F.when(~F.array_contains("held", p), POOL_LABELS[p]) for p in POOLS)))
-    n = F.size("missing")
-    names = F.when(n > 1, F.concat_ws(" and ", F.array_join(F.slice("missing", 1, n - 1), ", "), F.element_at("missing", -1))).otherwise(F.array_join("missing", ""))
-    message = F.when(n == 0, "").otherwise(F.concat(names, F.lit(" share not allocated")))
-    return held.withColumn("missing", missing).select("work_key", message.alias("issue"))
+    return held.select("work_key", _unheld(F.col("held")).alias("issue"))
+
+
+def _unheld(held: Column) -> Column:
+    """The message on the pools that held, a work's list, lacks."""
+    missing = F.array_compact(F.array(*(F.when(~F.array_contains(held, p), POOL_LABELS[p]) for p in POOLS)))
+
+    def message(m: Column) -> Column:
+        n = F.size(m)
+        names = F.when(n > 1, F.concat_ws(" and ", F.array_join(F.slice(m, 1, n - 1), ", "), F.element_at(m, -1))).otherwise(F.array_join(m, ""))
+        return F.when(n == 0, "").otherwise(F.concat(names, F.lit(" share not allocated")))
+
+    return let(missing, message)
 
 
 def budget(rows: DataFrame) -> DataFrame:
@@ -161,9 +185,10 @@ def blocks(rows: DataFrame, work_columns: list[str], fields: list[str]) -> DataF
     own = slotted(rows).groupBy("work_key", "grp").agg(
         F.min_by(F.struct(*work_columns), "seq").alias("work"), F.min("seq").alias("seq"),
         F.transform(F.sort_array(F.collect_list(F.struct("slot", F.struct(*fields).alias("party")))), lambda x: x["party"]).alias("parties"),
+        F.flatten(F.collect_set(share_pools(F.col("role")))).alias("held"),
     )
-    works = own.groupBy("work_key").agg(F.min_by("work", "seq").alias("work"), F.map_from_entries(F.collect_list(F.struct("grp", "parties"))).alias("parties"))
-    return works.select("work_key", "work.*", "parties").join(issues(rows), "work_key")
+    works = own.groupBy("work_key").agg(F.min_by("work", "seq").alias("work"), F.map_from_entries(F.collect_list(F.struct("grp", "parties"))).alias("parties"), F.flatten(F.collect_list("held")).alias("held"))
+    return works.select("work_key", "work.*", "parties", _unheld(F.col("held")).alias("issue"))
 
 
 def long_again(wide_rows: DataFrame, fields: dict[str, str], groups: dict[str, int]) -> DataFrame:

@@ -24,10 +24,16 @@ FIELDS = {"name": "Name", "role": "Role", "ipi": "IPI Number", "society": "Perfo
 
 
 def royalty_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark_table(spark, sf_dir, RAW_PARTIES)
-    changed = {"duration": royalty.report_duration, "publ_date": royalty.report_date, "dist_ref": royalty.distribution_ref, "name": royalty.party_name, "society": royalty.society}
-    rows = raw.select("seq", *(changed[c](F.col(c)).alias(c) if c in changed else F.col(c) for c in PARTY_COLUMNS))
-    return royalty.parties(rows, PARTY_COLUMNS)
+    raw, n = _report(spark, sf_dir)
+    return royalty.parties(raw.select("seq", *(royalty_change(c).alias(c) for c in PARTY_COLUMNS)), PARTY_COLUMNS, n)
+
+
+def _report(spark, sf_dir) -> tuple[DataFrame, int]:
+    """The report and about how many rows it has; its lines are dealt by order, to as many tasks as they need."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    n = lines.count()  # of the file's footers
+    dealt = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    return spark_table(spark, sf_dir, RAW_PARTIES, lineitem=royalty.by_work(dealt, n, "l_orderkey")), n
 
 
 def royalty_shares(spark, sf_dir):
