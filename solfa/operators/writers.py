@@ -55,8 +55,9 @@ def writer_rows(works: DataFrame, writers: list[tuple[str, str, str | None]], he
         plain, stuck = without_id(F.col(name))
         own = F.trim(F.col(ipi)) if ipi else F.lit("")
         entries.append(F.struct(F.lit(place).alias("place"), F.lit(role).alias("role"), plain.alias("name"), F.when(own != "", own).otherwise(stuck).alias("ipi")))
-    rows = works.select("work_seq", *(c.alias(a) for a, c in head.items()), F.explode(F.filter(F.array(*entries), lambda e: e["name"] != "")).alias("w"))
-    rows = rows.select("work_seq", *head, "w.*").withColumn("person", F.lower(F.trim(F.regexp_replace("name", "(?U)\\s+", " "))))
+    rows = works.select("work_seq", *(c.alias(a) for a, c in head.items()), F.posexplode(F.filter(F.array(*entries), lambda e: e["name"] != "")).alias("at", "w"))
+    # a work's first writer is the first of its row, so the others travel without the work's columns; one exchange serves all windows
+    rows = rows.select("work_seq", *(F.when(F.col("at") == 0, F.col(a)).otherwise("").alias(a) for a in head), "w.*").repartition("work_seq").withColumn("person", F.lower(F.trim(F.regexp_replace("name", "(?U)\\s+", " "))))
     # a work has as many rows here as writer columns, so its windows are small
     person = Window.partitionBy("work_seq", "person").orderBy("place")
     every = person.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

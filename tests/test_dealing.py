@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from solfa.functions.headers import STRETCH, first_cells
-from solfa.operators import matching, royalty
+from solfa.operators import matching, royalty, writers
 
 
 def test_parties_go_to_more_tasks_as_a_report_grows(spark):
@@ -43,3 +43,12 @@ def test_first_cells_of_each_column(spark):
         found.setdefault(r["col"], {})[r["nth"]] = r["row_index"]
     for c in "abc":
         assert [found[c][n] for n in sorted(found[c])] == sorted(i for i, x in at if x == c)[:31]
+
+
+def test_writers_need_one_exchange(spark):
+    works = spark.createDataFrame([(1, "", "Asha Rao", "7"), (2, "Ravi Sen", "Ravi Sen", ""), (3, "Uma", "Asha Rao", "9")], "work_seq long, c string, a string, i string")
+    rows = writers.writer_rows(works, [("C", "c", None), ("A", "a", "i")], {"title": F.concat(F.lit("t"), "work_seq")})
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # before it has run
+    assert {tuple(r) for r in rows.collect()} == {
+        (1, 1, "t1", "Rao", "Asha", "7", "A"), (2, 1, "t2", "Sen", "Ravi", "", "CA"), (3, 1, "t3", "Uma", "Uma", "", "C"), (3, 2, "", "Rao", "Asha", "9", "A"),
+    }
