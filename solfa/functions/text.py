@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,6 +24,55 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+class Stages:
+    """Values that stage() names, as columns of projections one after another: a value is a column of a later projection than
+    all that it can name. Spark compiles these; the body of a lambda it interprets."""
+
+    def __init__(self) -> None:
+        self.levels: list[list[Column]] = []
+        self.at = 0
+
+    def named(self, value: Column) -> Column:
+        if self.at == len(self.levels):
+            self.levels.append([])
+        name = f"_stage_{self.at}_{len(self.levels[self.at])}"
+        self.levels[self.at].append(value.alias(name))
+        self.at += 1
+        return F.col(name)
+
+
+_OPEN: list[Stages] = []
+
+
+@contextmanager
+def staging() -> Iterator[Stages]:
+    """Within it stage() makes columns of projections; without it, lambdas."""
+    _OPEN.append(Stages())
+    try:
+        yield _OPEN[-1]
+    finally:
+        _OPEN.pop()
+
+
+def stage(value: Column, body: Callable[[Column], Column]) -> Column:
+    """let() for what is not inside a lambda. In a staging() value is worked out on every row, also behind a condition."""
+    return body(_OPEN[-1].named(value)) if _OPEN else let(value, body)
+
+
+def side_by_side(makers: list[Callable[[], Column]]) -> list[Column]:
+    """Columns that don't name each other's values, so that they share projections."""
+    if not _OPEN:
+        return [make() for make in makers]
+    stages, out = _OPEN[-1], []
+    begin = last = stages.at
+    for make in makers:
+        stages.at = begin
+        out.append(make())
+        last = max(last, stages.at)
+    stages.at = last
+    return out
+
+
 def base_text(raw: Column, ascii_only: bool = False) -> Column:
     """Escapes of control characters and control characters out, NFKC, white space collapsed. Null is ''.
 

@@ -1,7 +1,7 @@
 """Datasets cleaned by a compiled mapping: one struct a column, and the issues of each row.
 
 A cleaned dataset has row_index, values (map of column to text) and issues (array of structs), in the order cells,
-required columns, constants, lead artist; every step is a Column expression, so a whole sheet is one projection."""
+required columns, constants, lead artist; every step is a Column expression, so a whole sheet is a chain of projections."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import clean_cell, clean_value
 from ..functions.schema import CREDITS, REQUIRED
-from ..functions.text import distinct_by_lower, joined, pieces
+from ..functions.text import distinct_by_lower, joined, pieces, side_by_side, staging
 
 ISSUE = "struct<column:string,action:string,tag:string,message:string,value:string,original:string,cosmetic:boolean,related_rows:array<bigint>>"
 LEAD = "Lead Artist"
@@ -37,8 +37,11 @@ def clean_dataset(raw: DataFrame, mapping: dict[str, list[str]], constants: dict
     """row_index, values, issues of raw (row_index and text columns) by mapping (canonical column -> source columns).
     Source columns that raw lacks count as blank. constants fill blank cells."""
     present = tuple((c, tuple((s, s in raw.columns) for s in sources)) for c, sources in mapping.items())
-    cells, out, lead, final = _compiled(raw.sparkSession.sparkContext.applicationId, present, tuple((constants or {}).items()), as_of, ascii_only)
-    rows = raw.select("row_index", *cells).select("row_index", *out)
+    stages, cells, out, lead, final = _compiled(raw.sparkSession.sparkContext.applicationId, present, tuple((constants or {}).items()), as_of, ascii_only)
+    rows = raw
+    for level in stages:
+        rows = rows.select("*", *level)
+    rows = rows.select("row_index", *cells).select("row_index", *out)
     return (rows.select("*", *lead) if lead else rows).select("row_index", *final)
 
 
@@ -48,7 +51,9 @@ def _compiled(application: str, mapping: tuple, constants: tuple, as_of: int, as
     builds those of a mapping once."""
     options = {"as_of": as_of, "ascii_only": ascii_only}
     found = {c: [F.coalesce(F.col(f"`{s}`"), F.lit("")) if held else F.lit("") for s, held in sources] for c, sources in mapping}
-    cells = [clean_value(c, raws, **options).alias(f"c{i}") for i, (c, raws) in enumerate(found.items())]
+    with staging() as stages:
+        made = side_by_side([lambda c=c, raws=raws: clean_value(c, raws, **options) for c, raws in found.items()])
+    cells = [cell.alias(f"c{i}") for i, cell in enumerate(made)]
     value: dict[str, Column] = {c: F.col(f"c{i}.value") for i, c in enumerate(found)}
     issues: list[Column] = []
     for i, c in enumerate(found):
@@ -75,7 +80,7 @@ def _compiled(application: str, mapping: tuple, constants: tuple, as_of: int, as
         last = F.when(fill, F.array_append(others, note)).otherwise(F.col("issues"))
         values[LEAD] = F.when(fill, F.col("_lead")).otherwise(had)
     pairs = F.create_map(*(x for c, v in values.items() for x in (F.lit(c), v)))
-    return cells, out, lead, [pairs.alias("values"), last.alias("issues")]
+    return stages.levels, cells, out, lead, [pairs.alias("values"), last.alias("issues")]
 
 
 def status() -> Column:
