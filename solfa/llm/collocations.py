@@ -32,7 +32,9 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: Phrases of up to so many words are counted length by length, and shards get back which are frequent.
 FEEDBACK = 3
 #: Positions of a shard, at most 2^22 codes; bits of a bitmap's word; pairs of words and bitmap words compared at once.
-SHARD, BITS, AT_ONCE = 1 << 21, 16, 1 << 22
+SHARD, BITS, AT_ONCE = 1 << 21, 16, 1 << 20
+#: Bitmap words of the first words that go down together.
+CLASS = 1 << 18
 _KIND = np.uint16
 
 #: The bytes that end a piece, and those that part words.
@@ -96,7 +98,7 @@ class Bitmaps:
 
     def __init__(self, words: np.ndarray, n: int) -> None:
         """words: the number at each position, negative where no word counts."""
-        at = np.flatnonzero(words >= 0)
+        at = np.flatnonzero(words >= 0).astype(np.int32)
         own = words[at]
         order = np.argsort(own, kind="stable")
         own, at = own[order], at[order]
@@ -183,12 +185,22 @@ class Steps:
         return keep, self.next[at[keep]]
 
 
+def classes(word: np.ndarray, most: int = CLASS) -> Iterator[tuple[int, int]]:
+    """Stretches of the sorted word with at most so many rows; a word is never parted, so one with more stands alone."""
+    ends = np.r_[np.flatnonzero(word[1:] != word[:-1]) + 1, len(word)]
+    begin = 0
+    while begin < len(word):
+        end = int(ends[max(np.searchsorted(ends, begin + most, "right") - 1, np.searchsorted(ends, begin, "right"))])
+        yield begin, end
+        begin = end
+
+
 def _opened(row: dict) -> tuple[Bitmaps, np.ndarray]:
     """Bitmaps of a shard's frequent words, numbered in the order of their ids, and the ids."""
     codes = np.frombuffer(pa.decompress(row["codes"], row["size"] * 4, "zstd", asbytes=True), "<i4")
     own, ids = np.array(row["known"], np.int64), np.array(row["ids"], np.int64)
     order = np.argsort(ids)
-    number = np.full(max(int(codes.max(initial=0)), int(own.max(initial=0))) + 1, -1)
+    number = np.full(max(int(codes.max(initial=0)), int(own.max(initial=0))) + 1, -1, np.int32)
     number[own[order]] = np.arange(len(own))
     return Bitmaps(number[codes], len(own)), ids[order]
 
@@ -212,10 +224,9 @@ def counted(opened: DataFrame, k: int, longest: int) -> DataFrame:
                     held = one.column("phrases").flatten()
                     steps = Steps(np.stack([np.searchsorted(ids, held.field(i).to_numpy(zero_copy_only=False)) for i in range(k)], 1), n)
                 # classes of first words: all phrases that start with some words, down to the longest, before the next
-                cut = np.searchsorted(maps.word, np.arange(0, n + 1024, 1024))
-                for i, j in zip(cut, cut[1:]):
+                for i, j in classes(maps.word):
                     begin = i + np.flatnonzero(steps.start[maps.word[i:j]] >= 0)
-                    node, block, bits = maps.word[begin], maps.block[begin], maps.bits[begin]
+                    node, block, bits = maps.word[begin].astype(np.int64), maps.block[begin], maps.bits[begin]
                     paths, state = np.arange(n)[:, None], steps.start
                     for length in range(2, longest + 1):
                         node, last, block, bits = maps.all_extended(node, block, bits)

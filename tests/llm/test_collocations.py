@@ -76,3 +76,12 @@ def test_scores_beyond_64_bits(spark):
     a, n, l, r = 10**11, 9 * 10**12, 2 * 10**11, 3 * 10**11
     row = spark.createDataFrame([(a, n, l, r)], "a long, n long, l long, r long").selectExpr("(cast(1000 as decimal(38,0)) * a * n) div (cast(l as decimal(38,0)) * r) AS score").first()
     assert row["score"] == 1000 * a * n // (l * r)
+
+
+def test_classes_are_bounded():
+    word = np.repeat(np.arange(9), [5, 1, 1, 1, 30, 2, 2, 2, 7])
+    found = list(C.classes(word, 8))
+    assert found[0][0] == 0 and found[-1][1] == len(word) and all(a[1] == b[0] for a, b in zip(found, found[1:]))
+    assert all(j - i <= 8 or len(set(word[i:j])) == 1 for i, j in found)
+    assert all(word[i - 1] != word[i] for i, _ in found[1:])
+    assert not list(C.classes(word[:0], 8))
