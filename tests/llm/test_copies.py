@@ -266,3 +266,14 @@ def test_multikey_quicksort(n, values):
     assert sorted(order.tolist()) == list(range(n))
     expected = np.lexsort(tokens[::-1])
     assert all((t[order] == t[expected]).all() for t in tokens)
+
+
+def test_query_gives_the_text_that_stays(spark, tmp_path):
+    passage = " ".join(f"word{i}" for i in range(80))
+    texts = [f"before {passage} after", f"other {passage}", "alone", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in suffix_dedup.op2_suffix_dedup(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        assert hashlib.sha256(rows[i]["text"].encode()).hexdigest() == rows[i]["kept_sha256"]
+        assert len(rows[i]["text"]) == len(t or "") - rows[i]["n_removed"]
+    assert rows[0]["n_removed"] > 400 and passage not in rows[0]["text"] and rows[2]["text"] == "alone"
