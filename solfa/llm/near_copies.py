@@ -52,4 +52,4 @@ def fingerprint_links(texts: DataFrame, distance: int = simhash.DISTANCE) -> Dat
 
 def near_links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b: ids of texts (id, line) whose similarity reaches threshold, as similar_links() gives those of lines."""
-    return similar_links(texts, threshold, signed, word_set, fingerprint_links(texts))
+    return similar_links(texts, written(signed(texts), "signatures"), threshold, word_set, fingerprint_links(texts))

@@ -10,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from solfa.llm import graph, line_dedup, simhash, suffix_dedup
 
@@ -137,6 +138,33 @@ def test_long_lines_meet(spark):
     assert met >= 0.99 * len(lines) // 2
 
 
+def test_minima_are_not_shuffled(spark):
+    """Copies are united before they are signed, and each line is signed where it is dealt."""
+    lines = line_dedup.split_lines(frame(spark, ["one line of a text\n" * 50])).groupBy("id").agg(F.min("pos").alias("first"), F.min("line").alias("line"))
+    signed = line_dedup.signed(lines, "first")
+    assert signed.count() == 1
+    plan = signed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_line_without_shingles_has_no_keys(spark):
+    rows = line_dedup.signed(spark.createDataFrame([(1, "short"), (2, "long enough")], "id long, line string")).collect()
+    assert {r["id"]: len(r["keys"]) for r in rows} == {1: 0, 2: line_dedup.BANDS}
+
+
+def test_hashes_of_lines_of_any_bytes(spark):
+    """Lines cut by bytes have the hashes of their shingles, as lines cut by characters have."""
+    lines = ["", "seven77", "eight888", "abcdefgh" * 9, "na\u00efve caf\u00e9 line", "tab\tand\x00nul bytes"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    hashes = spark.createDataFrame([(i, x) for i, line in enumerate(lines) for x in sorted(shingle_set(line))], "id long, s string")
+    expected = {i: set() for i in range(len(lines))}
+    for r in hashes.select("id", F.xxhash64("s").alias("h")).collect():
+        expected[r["id"]].add(r["h"])
+    found = {r["id"]: r["set"] for r in rows.select("id", line_dedup.hashed("line").alias("set")).collect()}
+    assert {i: set(x) for i, x in found.items()} == expected
+    assert all(len(x) == len(set(x)) for x in found.values())
+
+
 def test_no_lines(spark):
     assert line_dedup.dedup(frame(spark, [])).count() == 0
     assert [r["n_removed"] for r in line_dedup.dedup(frame(spark, [None, ""])).collect()] == [0, 0]
