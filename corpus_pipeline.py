@@ -15,7 +15,7 @@ from solfa.llm.language import REJECT, identify, trained
 from solfa.llm.line_dedup import dedup
 from solfa.llm.near_copies import near_links
 from solfa.llm.packing import pack, pieces
-from solfa.llm.shared import documents, packed, written
+from solfa.llm.shared import documents, written
 from solfa.llm.suffix_dedup import WORDS, kept_text, remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,9 +28,9 @@ def _documents(rows: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: those without a letter, or that no language fits well, go."""
-    found = identify(packed(docs), trained(docs), keys=("rest",))
+    found = identify(docs, trained(docs), keys=COLUMNS)
     known = (F.col("lang_pred") != "und") & (F.col("score") >= REJECT)
-    return found.filter(known).select("rest.*").select(*COLUMNS)
+    return found.filter(known).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

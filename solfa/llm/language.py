@@ -153,16 +153,17 @@ def trained(labelled: DataFrame, text: str = "text", lang: str = "lang", key: st
 
 
 def identify(df: DataFrame, net: ByteNet, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keys, lang_pred and score of each row."""
+    """keys, lang_pred and score of each row. The text may be one of the keys; it goes to Python once."""
+    place = keys.index(text) if text in keys else len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, len(keys)):
-                found = net.predict(part.column(len(keys)).to_pylist())
+            for part in parts(batch, place):
+                found = net.predict(part.column(place).to_pylist())
                 columns = [pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *columns], [*keys, "lang_pred", "score"])
 
-    return df.select(*keys, text).mapInArrow(run, key_schema(df, keys) + ", lang_pred string, score double")
+    return df.select(*dict.fromkeys([*keys, text])).mapInArrow(run, key_schema(df, keys) + ", lang_pred string, score double")
 
 
 def held_out() -> Column:

@@ -38,6 +38,12 @@ def test_language_stage_keeps_texts_as_they_are(kept):
     assert all(before[i] == t for i, t in after.items())
 
 
+def test_language_stage_moves_texts_once(spark):
+    plan = corpus_pipeline.language_id(spark, documents(spark, SF_DIR), SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    node = next(x for x in plan.split("\n") if "MapInArrow" in x)
+    assert "rest" not in node and node.partition("[")[0].count("text#") == 1
+
+
 def test_lines_only_go(kept):
     before, after = map(texts, kept["line_dedup"])
     assert set(before) == set(after)
