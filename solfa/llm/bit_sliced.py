@@ -6,8 +6,10 @@ digit of a query component adds the component's slices, shifted, by carry-save b
 come from the most significant score slice downward; rows on the boundary tie exactly and go by id, and the scores
 of the rows found are the exact integer products.
 
-Queries are a share of the rows, so neither side is broadcast: blocks of queries meet blocks of candidates pair by
-pair, each pair yields at most k rows a query, and these are ranked by query.
+Queries are a share of the rows, so neither side is broadcast. Candidates are dealt to blocks and queries to parts; each pair
+of a block and a part is a unit, whose rows travel one by one, candidates first: a task holds the candidates of one block, and
+queries pass by it. What travels is a copy of a candidate for each part and of a query for each block. A unit yields at most k
+rows a query, and these are ranked by query.
 
 Defined results: rows whose vector is null, empty, or holds a null or non-finite component take no part; only vectors
 of one length are compared (a query meets candidates of its own length); rows that repeat an id are candidates each,
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .shared import rows_needed, written
 
-BLOCK, QUERIES, SCALE = 16_384, 128, 256
+#: Candidates of a block, queries of a part at most, and the most tasks that units are dealt to.
+BLOCK, QUERIES, TASKS, SCALE = 16_384, 4096, 4096, 256
 #: Quantised components beyond this are refused: products of 64 bits must hold their sum.
 BOUND = 1 << 24
 
@@ -38,40 +41,6 @@ def quantised(df: DataFrame, key: str = "vec_id", vector: str = "embedding", sca
     return df.filter(whole).select(F.col(key).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
 
 
-BLOCKED = "dims int, rows int, ids binary, vectors binary"
-
-
-def blocked(vectors: DataFrame, size: int) -> DataFrame:
-    """vectors in blocks of up to size rows, each a row itself."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-        def packed(dims: int, at_least: int) -> Iterator[pa.RecordBatch]:
-            ids, rows = (np.concatenate(x) for x in zip(*held[dims]))
-            while len(ids) >= at_least:
-                own, part = ids[:size], rows[:size]
-                order = np.argsort(own, kind="stable")
-                yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([own[order].tobytes()]), pa.array([part[order].tobytes()])], ["dims", "rows", "ids", "vectors"])
-                ids, rows = ids[size:], rows[size:]
-            held[dims] = [(ids, rows)]
-
-        for batch in batches:
-            ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            lengths = np.diff(column.offsets.to_numpy())
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else lengths
-            for dims in np.unique(lengths).tolist():
-                own = lengths == dims
-                held.setdefault(dims, []).append((ids[own], flat[starts[own][:, None] + np.arange(dims)]))
-                if sum(len(x) for x, _ in held[dims]) >= size:
-                    yield from packed(dims, size)
-        for dims in held:
-            yield from packed(dims, 1)
-
-    return vectors.select("id", "v").mapInArrow(run, BLOCKED)
-
-
 def signed_digits(n: int) -> list[tuple[int, int]]:
     """(shift, sign) of the non-adjacent form of n."""
     out, shift = [], 0
@@ -174,33 +143,55 @@ class SlicedBlock:
         return at[row] * 64 + bit
 
 
+def units(vectors: DataFrame, queries: DataFrame, block: int, query_block: int) -> DataFrame:
+    """unit, asks (whether the row is a query), id, v: each block of candidates once for each part of the queries, and each query
+    once for each block. All rows of a unit are in one partition, candidates first."""
+    blocks = rows_needed(vectors, block)  # dealt evenly and stored, so that a row keeps its block
+    own = written(vectors.select("id", "v").repartition(blocks).withColumn("_block", F.spark_partition_id().cast("long")), "blocks")
+    asked = written(queries.groupBy("id").agg(F.min("v").alias("v")), "queries")
+    n, cores = rows_needed(asked, 1), vectors.sparkSession.sparkContext.defaultParallelism
+    parts = min(n, max(-(-n // query_block), -(-2 * cores // blocks)))  # with few blocks, parts enough for all cores
+    each = lambda n, number: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), number)).alias("unit")
+    held = own.select(each(parts, lambda part: F.col("_block") * parts + part), F.lit(False).alias("asks"), "id", "v")
+    passing = asked.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts))).select(each(blocks, lambda b: b * parts + F.col("_part")), F.lit(True).alias("asks"), "id", "v")
+    met = held.unionByName(passing)
+    tasks = min(TASKS, blocks * parts)
+    return met.repartitionById(tasks, (F.col("unit") % tasks).cast("int")).sortWithinPartitions("unit", "asks")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score. vectors: id, v. queries: the same columns."""
-    cuts = rows_needed(vectors, block)  # dealt evenly, or small files would make small blocks
-    own = written(blocked(vectors.repartition(cuts), block), "blocks")
-    asked = queries.groupBy("id").agg(F.min("v").alias("v"))
-    groups = written(blocked(asked.coalesce(rows_needed(queries, 8 * query_block)), query_block), "queries")
-    left = own.withColumn("_block", F.monotonically_increasing_id())
-    numbers = written(left.select("_block", "dims"), "numbers")
-    # each block of queries once for each block of candidates of its length: ids of blocks are joined, then the blocks
-    pairs = groups.select("dims", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).join(numbers, "dims").drop("dims")
-    met = left.join(pairs, "_block").repartition(max(1, min(2048, cuts * 8)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[int, SlicedBlock] | None = None
+        unit, held, built = None, {}, {}  # by length of vectors: rows not built yet, and blocks
         for batch in batches:
-            for row in batch.to_pylist():
-                if kept is None or kept[0] != row["_block"]:
-                    vectors = np.frombuffer(row["vectors"], np.int64).reshape(row["rows"], row["dims"])
-                    kept = row["_block"], SlicedBlock(np.frombuffer(row["ids"], np.int64), vectors)
-                index, out = kept[1], []
-                ids = np.frombuffer(row["q_ids"], np.int64)
-                for id_, query in zip(ids.tolist(), np.frombuffer(row["q_vectors"], np.int64).reshape(len(ids), -1)):
-                    at = index.best(query, k, id_)
-                    out.append((np.full(len(at), id_), index.ids[at], index.vectors[at] @ query))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score"])
-
-    found = met.select("_block", "dims", "rows", "ids", "vectors", "q_ids", "q_vectors").mapInArrow(run, "query_id long, vec_id long, score long")
+            number, asks, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            lengths, flat = np.diff(batch.column(3).offsets.to_numpy()), batch.column(3).flatten().to_numpy(zero_copy_only=False)
+            starts = np.cumsum(lengths) - lengths
+            cuts = np.flatnonzero((number[1:] != number[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
+                if begin == end:
+                    continue
+                if number[begin] != unit:
+                    unit, held, built = number[begin], {}, {}
+                for dims in np.unique(lengths[begin:end]).tolist():
+                    at = begin + np.flatnonzero(lengths[begin:end] == dims)
+                    rows = flat[starts[at][:, None] + np.arange(dims)]
+                    if not asks[begin]:
+                        held.setdefault(dims, []).append((ids[at], rows))
+                        continue
+                    if dims in held:
+                        own, all_rows = (np.concatenate(x) for x in zip(*held.pop(dims)))
+                        order = np.argsort(own, kind="stable")
+                        built[dims] = SlicedBlock(own[order], all_rows[order])
+                    if dims in built:
+                        index, out = built[dims], []
+                        for id_, query in zip(ids[at].tolist(), rows):
+                            best = index.best(query, k, id_)
+                            out.append((np.full(len(best), id_), index.ids[best], index.vectors[best] @ query))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score"])
+
+    found = units(vectors, queries, block, query_block).mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

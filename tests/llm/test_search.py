@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from solfa.llm import bit_sliced, language, media, registry, url_filter
 from tests.conftest import SF_DIR
@@ -34,6 +35,18 @@ def test_top(spark, block, query_block):
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found} == brute_top(vectors, asked, 5)
 
 
+def test_no_row_on_the_way_holds_a_block(spark):
+    own = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, own.integers(-9, 9, 4).tolist()) for i in range(500)] + [(7, [1] * 4), (600, [1, 2])], "id long, v array<long>")
+    met = bit_sliced.units(rows, rows.filter("id % 10 = 0"), 100, 20)
+    assert dict(met.dtypes)["v"] == "array<bigint>"  # a row is a vector, whatever the size of a block
+    found = met.withColumn("task", F.spark_partition_id()).groupBy("unit").agg(F.count_if(~F.col("asks")).alias("held"), F.count_if("asks").alias("asked"), F.count_distinct("task").alias("tasks"))
+    found = {r["unit"]: r for r in found.collect()}
+    parts = len(found) // 6
+    assert len(found) == 6 * parts and all(r["tasks"] == 1 and r["held"] <= 108 for r in found.values())
+    assert sum(r["held"] for r in found.values()) == 502 * parts and sum(r["asked"] for r in found.values()) == 51 * 6
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [0.5, -0.001]), (1, None), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]), (5, []), (6, [1.0, 2.0])]
     kept = bit_sliced.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
