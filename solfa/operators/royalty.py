@@ -93,15 +93,23 @@ def format_share(value: Column) -> Column:
 ROWS_A_PART = 1_000_000
 
 
+def parts_of(rows: DataFrame, n: int) -> int:
+    """To how many tasks n rows are dealt."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_A_PART))
+
+
 def by_work(rows: DataFrame, n: int, key: str = "work_key") -> DataFrame:
     """n rows dealt by work (key): every step that groups by work, or by more than the work, then needs no exchange of its own."""
-    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(max(least, -(-n // ROWS_A_PART)), key)
+    return rows.repartition(parts_of(rows, n), key)
 
 
 def parties(raw: DataFrame, columns: list[str], n: int = 0) -> DataFrame:
     """raw (seq, work_key, role and other columns, transformed; about n rows) without blank keys and without exact repeats."""
-    kept = by_work(raw.withColumn("work_key", F.trim("work_key")).filter("work_key <> ''"), n)
+    return once(by_work(raw.withColumn("work_key", F.trim("work_key")).filter("work_key <> ''"), n), columns)
+
+
+def once(kept: DataFrame, columns: list[str]) -> DataFrame:
+    """kept (seq and columns, dealt by work) without exact repeats; the first seq stands for them."""
     first = kept.groupBy(*columns).agg(F.min("seq").alias("seq"))
     return first.select("seq", *columns)
 

@@ -5,15 +5,15 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import clean_cell
 from ..functions.text import norm
 from ..operators import activity, backfill, exchange, pagination, royalty, similar, standardize, writers
-from ..sources.storage import shared_folder, stored
+from ..sources.storage import shared_folder, stored, stored_by
 from . import duck_cells as duck
-from .fixtures import RAW_BAGS, RAW_PACKED, RAW_PARTIES, RAW_WORKS, duck_table, spark_table
+from .fixtures import PARTY_LIST, RAW_BAGS, RAW_PACKED, RAW_PARTIES, RAW_WORKS, duck_table, spark_table
 
 PARTY_COLUMNS = ["work_key", "title", "territory", "duration", "publ_date", "dist_ref", "name", "role", "ipi", "society"]
 WIDE_GROUPS = ["C", "A", "AR", "E", "SE", "UNSPECIFIED"]
@@ -24,16 +24,31 @@ FIELDS = {"name": "Name", "role": "Role", "ipi": "IPI Number", "society": "Perfo
 
 
 def royalty_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw, n = _report(spark, sf_dir)
-    return royalty.parties(raw.select("seq", *(royalty_change(c).alias(c) for c in PARTY_COLUMNS)), PARTY_COLUMNS, n)
+    return _parties(_report(spark, sf_dir)[0])
+
+
+def _parties(report: DataFrame) -> DataFrame:
+    return royalty.once(report.select("seq", *(royalty_change(c).alias(c) for c in PARTY_COLUMNS)), PARTY_COLUMNS)
 
 
 def _report(spark, sf_dir) -> tuple[DataFrame, int]:
-    """The report and about how many rows it has; its lines are dealt by order, to as many tasks as they need."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    n = lines.count()  # of the file's footers
-    dealt = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
-    return spark_table(spark, sf_dir, RAW_PARTIES, lineitem=royalty.by_work(dealt, n, "l_orderkey")), n
+    """The rows of RAW_PARTIES that have a key, trimmed, and to how many parts they are dealt by work; there is no other exchange
+    of lines but that of a join with a table too large to broadcast.
+
+    Lines meet parts and suppliers before they are dealt and numbered, so they carry a list of those found, empty or not: a line
+    without any counts in seq, and one with two becomes two rows after that."""
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    lines = table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    n = royalty.parts_of(lines, lines.count())  # of the file's footers
+    parts = table("part").groupBy(F.col("p_partkey").alias("l_partkey")).agg(F.collect_list(F.struct("p_type", "p_name")).alias("_part"))
+    suppliers = table("supplier").groupBy(F.col("s_suppkey").alias("l_suppkey")).agg(F.collect_list(F.struct("s_name", "s_nationkey")).alias("_supplier"))
+    met = lines.join(parts, "l_partkey", "left").join(suppliers, "l_suppkey", "left")
+    unknown = {c: F.lit(None) for c in ("seq", "p_type", "p_name", "s_name", "n_name")}  # no key depends on these
+    keyed = spark.sql(f"{PARTY_LIST}, * FROM {{lines}}", lines=met.withColumns(unknown)).select(F.trim("work_key").alias("_work"), *met.columns).filter("_work <> ''")
+    order = Window.partitionBy("_work", "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")  # an order has one key
+    dealt = keyed.repartition(n, "_work").withColumn("seq", F.col("l_orderkey") * 1000 + F.row_number().over(order))
+    rows = dealt.select("*", F.inline("_part")).select("*", F.inline("_supplier")).join(table("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    return spark.sql(f"{PARTY_LIST}, _work FROM {{lines}}", lines=rows).select("seq", F.col("_work").alias("work_key"), *PARTY_COLUMNS[1:]), n
 
 
 def royalty_shares(spark, sf_dir):
@@ -58,7 +73,8 @@ def royalty_groups(spark, sf_dir):
 
 
 def royalty_wide(spark, sf_dir):
-    rows = stored(royalty.allocate(royalty_parties(spark, sf_dir)), "shares")
+    report, n = _report(spark, sf_dir)
+    rows = stored_by(royalty.allocate(_parties(report)), "shares", "work_key", n)
     moved = royalty.demoted(rows, ["title", "territory", "duration", "publ_date", "dist_ref"])
     works = [c for c in ("title", "territory", "duration", "publ_date", "dist_ref") if c not in moved]
     table = royalty.blocks(rows, works, [*FIELDS, *moved])  # columns that vary in a work are their parties'
