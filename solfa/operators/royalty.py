@@ -240,21 +240,25 @@ def compared(rows: DataFrame, table: DataFrame, work_columns: list[str], fields:
 
 def evenly_held(rows: DataFrame) -> DataFrame:
     """seq and near of each party that draws from a pool: whether its share is an even part of its pools, worked out anew from
-    the numbers of their holders, but for what rounding to four places leaves to a pool's last holder."""
+    the numbers of their holders, but for what rounding to four places leaves to a pool's last holder. Every step groups by work
+    and more, so that rows dealt by work stay where they are."""
     total = F.create_map(*(F.lit(x) for p in POOLS.items() for x in p))
     held = rows.select("seq", "work_key", F.col("share").cast("double").alias("share"), F.explode(share_pools(F.col("role"))).alias("pool"))
-    n = held.groupBy("work_key", "pool").agg(F.count(F.lit(1)).alias("n"))
-    own = held.join(n, ["work_key", "pool"]).groupBy("seq").agg(F.first("share").alias("share"), F.sum(total[F.col("pool")] / F.col("n")).alias("due"), F.sum("n").alias("slack"))
+    counted = held.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("work_key", "pool")))
+    own = counted.groupBy("work_key", "seq").agg(F.first("share").alias("share"), F.sum(total[F.col("pool")] / F.col("n")).alias("due"), F.sum("n").alias("slack"))
     return own.select("seq", (F.abs(F.col("share") - F.col("due")) <= 0.0001 * F.col("slack")).alias("near"))
 
 
-def source_checks(raw: DataFrame, kept: DataFrame) -> DataFrame:
+def source_checks(raw: DataFrame, kept: DataFrame, key: str | None = None) -> DataFrame:
     """raw rows (name and society as in the report, and as changed: new_name, new_society, with n rows alike) as counts to
-    check: commas, turned, prefixed, stripped, repeats; and kept, how many rows are left of them."""
+    check: commas, turned, prefixed, stripped, repeats; and kept, how many rows are left of them. key: a column of raw that whole
+    holds too, so that different rows can be counted key by key, where they were dealt by it."""
     comma, prefix = F.contains(F.trim("name"), F.lit(",")), F.trim("society").rlike("^\\d+\\s*:")
-    counts = raw.agg(
+    counts = raw.groupBy(*([key] if key else [])).agg(
         F.count_if(comma).alias("commas"), F.count_if(comma & ~F.contains("new_name", F.lit(","))).alias("turned"),
         F.count_if(prefix).alias("prefixed"), F.count_if(prefix & ~F.col("new_society").rlike("^\\d+\\s*:")).alias("stripped"), F.count(F.lit(1)).alias("n"), F.count_distinct("whole").alias("different"),
     )
+    if key:
+        counts = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns if c != key))
     left = kept.agg(F.count(F.lit(1)).alias("left"))
     return counts.join(left, F.lit(True)).withColumns({"repeats": F.col("n") - F.col("different"), "removed": F.col("n") - F.col("left")})

@@ -88,15 +88,16 @@ _WORK_COLUMNS = ["title", "territory", "duration", "publ_date", "dist_ref"]
 
 def royalty_checks(spark, sf_dir):
     """The consolidation checked against the report: a row a check, what is expected and what was found."""
-    raw = spark_table(spark, sf_dir, RAW_PARTIES).filter(F.trim("work_key") != "")
-    shares = stored(royalty.allocate(royalty_parties(spark, sf_dir)), "shares")
+    report, n = _report(spark, sf_dir)
+    raw = stored_by(report, "report", "work_key", n)
+    shares = stored_by(royalty.allocate(_parties(raw)), "shares", "work_key", n)
     moved = royalty.demoted(shares, _WORK_COLUMNS)
     works, fields = [c for c in _WORK_COLUMNS if c not in moved], [*FIELDS, *moved]
-    table = stored(royalty.blocks(shares, works, fields), "blocks")
-    whole = F.sha2(F.concat_ws("\x01", F.trim("work_key"), *(royalty_change(c) for c in PARTY_COLUMNS[1:])), 256)
-    source = raw.select("name", "society", royalty_change("name").alias("new_name"), royalty_change("society").alias("new_society"), whole.alias("whole"))
+    table = stored_by(royalty.blocks(shares, works, fields), "blocks", "work_key", n)
+    whole = F.sha2(F.concat_ws("\x01", "work_key", *(royalty_change(c) for c in PARTY_COLUMNS[1:])), 256)
+    source = raw.select("work_key", "name", "society", royalty_change("name").alias("new_name"), royalty_change("society").alias("new_society"), whole.alias("whole"))
     kinds = set(table.schema["parties"].dataType.valueType.elementType.names)
-    return consolidation_checks(royalty.compared(shares, table, works, fields), royalty.source_checks(source, shares), royalty.evenly_held(shares), fields, moved, kinds)
+    return consolidation_checks(royalty.compared(shares, table, works, fields), royalty.source_checks(source, shares, "work_key"), royalty.evenly_held(shares), fields, moved, kinds)
 
 
 def royalty_change(c: str):

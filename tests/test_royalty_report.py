@@ -62,5 +62,15 @@ def test_a_table_stays_as_it_was_dealt(spark, by_work):
     table = royalty.blocks(rows, works, fields)
     assert rows.groupBy("work_key").count().rdd.getNumPartitions() == n
     assert exchanges(table) == 0
-    assert exchanges(rows.groupBy("work_key").agg(F.min("title"))) == 0
-    assert sorted(map(tuple, table.select("work_key", "issue").collect())) == sorted(map(tuple, royalty.issues(rows).collect()))
+    back = stored_by(table, "blocks", "work_key", n)
+    for df in (royalty.compared(rows, back, works, fields), royalty.evenly_held(rows), rows.groupBy("work_key").agg(F.min("title"))):
+        assert exchanges(df) == 0
+    assert sorted(map(tuple, back.select("work_key", "issue").collect())) == sorted(map(tuple, royalty.issues(rows).collect()))
+
+
+def test_rows_alike_are_counted_key_by_key(spark):
+    raw = spark.createDataFrame([("W1", "A, B", "1:x", "B A", "x", "W1a"), ("W1", "A, B", "1:x", "B A", "x", "W1a"), ("W2", "c", "y", "c", "y", "W2a")], "work_key string, name string, society string, new_name string, new_society string, whole string")
+    kept = spark.range(2)
+    whole, dealt = royalty.source_checks(raw.drop("work_key"), kept), royalty.source_checks(raw, kept, "work_key")
+    assert dealt.first().asDict() == whole.first().asDict() and dealt.first()["repeats"] == 1
+    assert royalty.source_checks(raw.limit(0), kept.limit(0), "work_key").first()["n"] == 0
