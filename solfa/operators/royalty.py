@@ -90,7 +90,7 @@ def format_share(value: Column) -> Column:
 
 
 #: Rows of a partition of works, so that a task's memory doesn't grow with the report.
-ROWS_A_PART = 1_000_000
+ROWS_A_PART = 250_000
 
 
 def parts_of(rows: DataFrame, n: int) -> int:
